@@ -200,6 +200,17 @@ def derive(raw: dict[str, DataFrame]) -> Tables:
     return Tables(**{name: _conform(df, name) for name, df in frames.items()})
 
 
-def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
-    """The eight tables derived from ``<sf_dir>/<raw>.parquet``."""
-    return derive(read_raw(spark, sf_dir))
+_DERIVED: dict[tuple[int, str], Tables] = {}
+
+
+def from_testdata(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Tables:
+    """The eight tables derived from ``<sf_dir>/<raw>.parquet``.
+
+    The result is only a set of lazy plans, so it is kept per session and
+    directory: building it costs a few hundred driver-side expression calls,
+    reading it costs nothing until a job runs.
+    """
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    if not reuse or key not in _DERIVED:
+        _DERIVED[key] = derive(read_raw(spark, sf_dir))
+    return _DERIVED[key]
