@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.functions.rules import TESTDATA_AS_OF
-from marketlens.operators import customers, delivery, payments, quality, revenue, sellers
+from marketlens.operators import customers, delivery, payments, quality, report, revenue, sellers
 from marketlens.plans import oracle
 from marketlens.sources.tables import Tables
 from marketlens.sources.testdata import from_testdata
@@ -66,9 +66,13 @@ QUERIES: dict[str, Query] = {
     "installment_satisfaction": _on_testdata(payments.installment_satisfaction),
     "payment_risk_tiers": _on_testdata(payments.payment_risk_tiers),
     "payment_risk_by_payment": _on_testdata(payments.payment_risk_by_payment),
+    # executive summary, computed from the analyses above
+    "kpi_dashboard": _on_testdata(lambda t: report.kpi_dashboard(t, AS_OF)),
+    "recommendations": _on_testdata(lambda t: report.recommendations(t, AS_OF)),
+    "dashboard_cards": _on_testdata(lambda t: report.dashboard_cards(t, AS_OF)),
 }
 
-_AS_OF_SQL = {"rfm_scores", "rfm_segments", "rfm_segment_summary"}
+_AS_OF_SQL = {"rfm_scores", "rfm_segments", "rfm_segment_summary", "kpi_dashboard", "recommendations", "dashboard_cards"}
 
 ORACLE_SQL: dict[str, str] = {
     name: (getattr(oracle, name)(AS_OF) if name in _AS_OF_SQL else getattr(oracle, name)())
