@@ -5,7 +5,17 @@ them; this is the same step.  ``orders``, ``order_items``, ``reviews`` and
 ``payments`` are all joined on ``order_id``, so they are written bucketed
 and sorted on it with one bucket count: joins and per-order aggregates
 between them then need no shuffle at all (sort-merge join on co-located
-buckets).  The small dimensions are plain Parquet.
+buckets).  The dimensions are plain Parquet.
+
+Bucketing only behind a skew check: a bucket is read by exactly one task
+and a shuffle-free join cannot be split by AQE, so if one ``order_id`` (or
+bucket) holds a large share of a table, bucketing would serialise it.
+Before writing, the exact bucket sizes are measured (Spark's bucket id is
+``pmod(murmur3(order_id), n)``, i.e. ``F.hash``) with one partial aggregate
+per table; if any bucket exceeds ``max_bucket_skew`` × the mean, all four
+tables are written unbucketed instead (files sorted by ``order_id``, split
+freely on read), and hot keys are left to partial aggregation and AQE's
+skew-join splitting.
 
 Marts live under the cluster's shared ``spark.checkpoint.dir`` (never a
 machine-local folder), in a fresh sub-folder per publication, so a stale
@@ -18,6 +28,7 @@ import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketlens.session import ensure_checkpoint_dir
 from marketlens.sources.schemas import SCHEMAS
@@ -31,33 +42,57 @@ def _table_name(root: str, table: str) -> str:
     return f"marketlens_{tag}_{table}"
 
 
-def publish_marts(t: Tables, root: str, buckets: int) -> Tables:
-    """Write every table under ``root`` and return Tables reading them back."""
+MAX_RECORDS_PER_FILE = 5_000_000
+
+
+def bucket_skew(df: DataFrame, buckets: int, key: str = "order_id") -> float:
+    """Largest bucket's rows over the mean bucket's rows (1.0 = perfectly even).
+
+    One partial aggregate to at most ``buckets`` rows; only that small
+    summary reaches the driver.
+    """
+    sizes = df.groupBy(F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")).count()
+    row = sizes.agg(F.max("count").alias("top"), F.sum("count").alias("total")).first()
+    if not row or not row["total"]:
+        return 1.0
+    return row["top"] * buckets / row["total"]
+
+
+def publish_marts(t: Tables, root: str, buckets: int, max_bucket_skew: float | None = 4.0) -> Tables:
+    """Write every table under ``root`` and return Tables reading them back.
+
+    ``max_bucket_skew=None`` buckets without checking.
+    """
     spark = t.spark
     root = root.rstrip("/")
+    bucketed = max_bucket_skew is None or all(
+        bucket_skew(getattr(t, name), buckets) <= max_bucket_skew for name in ORDER_KEYED
+    )
     for name, df in t.as_dict().items():
         path = f"{root}/{name}"
-        if name in ORDER_KEYED:
-            (
-                df.write.mode("overwrite")
-                .bucketBy(buckets, "order_id")
-                .sortBy("order_id")
-                .option("path", path)
-                .saveAsTable(_table_name(root, name))
-            )
+        writer = df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        if name in ORDER_KEYED and bucketed:
+            writer.bucketBy(buckets, "order_id").sortBy("order_id").option("path", path).saveAsTable(_table_name(root, name))
+        elif name in ORDER_KEYED:
+            df.sortWithinPartitions("order_id").write.mode("overwrite").option(
+                "maxRecordsPerFile", MAX_RECORDS_PER_FILE
+            ).parquet(path)
         else:
-            df.write.mode("overwrite").parquet(path)
-    return open_marts(spark, root, buckets)
+            writer.parquet(path)
+    spark.createDataFrame([(bucketed, buckets)], "bucketed boolean, buckets int").write.mode("overwrite").json(f"{root}/_layout")
+    return open_marts(spark, root)
 
 
-def open_marts(spark: SparkSession, root: str, buckets: int) -> Tables:
+def open_marts(spark: SparkSession, root: str) -> Tables:
     """Tables over published marts; registers the bucketed tables if this
     session's catalog does not know them yet."""
     root = root.rstrip("/")
+    layout = spark.read.schema("bucketed boolean, buckets int").json(f"{root}/_layout").first()
     frames: dict[str, DataFrame] = {}
     for name, schema in SCHEMAS.items():
         path = f"{root}/{name}"
-        if name in ORDER_KEYED:
+        if name in ORDER_KEYED and layout.bucketed:
+            buckets = layout.buckets
             table = _table_name(root, name)
             if not spark.catalog.tableExists(table):
                 cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
