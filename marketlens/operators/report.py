@@ -20,6 +20,7 @@ from marketlens.functions import rules as R
 from marketlens.functions.numeric import r, ratio
 from marketlens.operators import customers, delivery, payments, revenue, sellers
 from marketlens.operators.common import review_score_cnt, review_score_sum, review_stats
+from marketlens.session import ensure_checkpoint_dir
 from marketlens.sources.tables import Tables
 
 
@@ -188,14 +189,23 @@ def _kpi_rows(f: DataFrame) -> DataFrame:
     return f.select(F.explode(F.array(*structs)).alias("k")).select("k.*")
 
 
+def kpi_table(f: DataFrame) -> DataFrame:
+    """P19 from a figures row."""
+    return _kpi_rows(f).select("category", "kpi", "value", "position", "value_num").orderBy("position")
+
+
 def kpi_dashboard(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFrame:
-    return _kpi_rows(figures(t, as_of)).select("category", "kpi", "value", "position", "value_num").orderBy("position")
+    return kpi_table(figures(t, as_of))
 
 
 # ---------------------------------------------------------------- recommendations
 
 def recommendations(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFrame:
-    f = figures(t, as_of)
+    return recommendation_rows(figures(t, as_of))
+
+
+def recommendation_rows(f: DataFrame) -> DataFrame:
+    """P20 from a figures row."""
     c = F.col
 
     def txt(*parts) -> Column:
@@ -253,7 +263,11 @@ def recommendations(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFr
 
 def dashboard_cards(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFrame:
     """The page's cards as data: section, label, value, note, tone."""
-    f = figures(t, as_of)
+    return card_rows(figures(t, as_of))
+
+
+def card_rows(f: DataFrame) -> DataFrame:
+    """Dashboard cards from a figures row."""
     c = F.col
 
     def txt(*parts) -> Column:
@@ -298,3 +312,17 @@ def dashboard_cards(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFr
         for pos, (section, label, value, note, tone) in enumerate(cards, 1)
     ]
     return f.select(F.explode(F.array(*structs)).alias("x")).select("x.*").orderBy("position")
+
+
+# ---------------------------------------------------------------- all three at once
+
+def executive_summary(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """KPI table, recommendations and cards from ONE computation of the figures.
+
+    The fourteen analyses run once; their one-row result is checkpointed to
+    the shared ``spark.checkpoint.dir`` (lineage cut, survives executor loss)
+    and the three outputs are read from it.
+    """
+    ensure_checkpoint_dir(t.spark)
+    f = figures(t, as_of).checkpoint(eager=True)
+    return kpi_table(f), recommendation_rows(f), card_rows(f)

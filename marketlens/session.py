@@ -37,9 +37,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; set a scratch one only when unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    """Return the cluster's ``spark.checkpoint.dir``.
+
+    Only a local-mode session (tests, the bench) without one gets a scratch
+    folder; on a cluster a driver-local folder would be invisible to the
+    executors, so an unset value is an error there.
+    """
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or object storage)")
         current = tempfile.mkdtemp(prefix="marketlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

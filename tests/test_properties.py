@@ -85,3 +85,14 @@ def test_parity_equals_corrected_with_one_review_per_order(spark):
     assert sorted(sellers.seller_classification(u, min_orders=1, k=None).collect()) == sorted(
         sellers.seller_classification_by_order(u, min_orders=1, k=None).collect()
     )
+
+
+def test_executive_summary_equals_separate_reports(spark):
+    from marketlens.operators import report
+
+    t = _t(spark)
+    kpis, recs, cards = report.executive_summary(t, AS_OF)
+    assert sorted(kpis.collect()) == sorted(report.kpi_dashboard(t, AS_OF).collect())
+    assert sorted(recs.collect()) == sorted(report.recommendations(t, AS_OF).collect())
+    assert sorted(cards.collect()) == sorted(report.dashboard_cards(t, AS_OF).collect())
+    assert kpis.count() == 25 and recs.count() == 8 and cards.count() == 24
