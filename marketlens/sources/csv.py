@@ -83,4 +83,4 @@ def ingest_csv(spark: SparkSession, paths: dict[str, str], out_root: str, lenien
     from marketlens.sources.marts import default_buckets, publish_marts
 
     tables = load_csv(spark, paths, lenient)
-    return publish_marts(tables, out_root, buckets or default_buckets(spark))
+    return publish_marts(tables, out_root, buckets or default_buckets(spark, tables))

@@ -83,8 +83,11 @@ def publish_marts(t: Tables, root: str, buckets: int, max_bucket_skew: float | N
     def write(name: str, df: DataFrame) -> None:
         path = f"{root}/{name}"
         if name in ORDER_KEYED and bucketed:
+            # Hash partitioning on order_id with the bucket count puts each
+            # bucket in one task, so each bucket is one file (not one per task).
             (
-                df.write.mode("overwrite")
+                df.repartition(buckets, "order_id")
+                .write.mode("overwrite")
                 .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
                 .bucketBy(buckets, "order_id")
                 .sortBy("order_id")
@@ -133,5 +136,18 @@ def marts_root(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/marts/{uuid.uuid4().hex}"
 
 
-def default_buckets(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+TARGET_BUCKET_BYTES = 256 * 1024 * 1024
+MAX_BUCKETS = 65536
+
+
+def default_buckets(spark: SparkSession, t: Tables | None = None) -> int:
+    """Bucket count: about one bucket per 256 MB of line items (Catalyst's size
+    estimate, no data read), at least one per core, at most 65536."""
+    floor = spark.sparkContext.defaultParallelism
+    if t is None:
+        return floor
+    try:
+        size = int(str(t.order_items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return floor
+    return max(floor, min(MAX_BUCKETS, -(-size // TARGET_BUCKET_BYTES)))
