@@ -15,6 +15,14 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int | None) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
+def sort_small(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Sort a result whose size is bounded by the groups of a low-cardinality
+    key (statuses, tiers, segments, months, audit rows): one partition and a
+    local sort, instead of a range-partition sampling job and a shuffle.
+    Never used on anything that grows with the input."""
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
 

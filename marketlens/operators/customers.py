@@ -28,7 +28,7 @@ from marketlens.functions.rules import (
     SegmentRuleA,
     SegmentRuleB,
 )
-from marketlens.operators.common import top_k
+from marketlens.operators.common import sort_small, top_k
 from marketlens.sources.tables import Tables
 
 
@@ -137,7 +137,7 @@ def rfm_segment_summary(
         avg2(as_dec2("monetary")).alias("avg_spend"),
         avg2("recency_days", 0).alias("avg_days_since_purchase"),
         avg2("frequency").alias("avg_orders"),
-    ).orderBy(F.col("total_customers").desc(), F.col("customer_segment").asc_nulls_first())
+    ).transform(sort_small, F.col("total_customers").desc(), F.col("customer_segment").asc_nulls_first())
 
 
 def person_orders(t: Tables, excluded: tuple[str, ...] = EXCLUDED_STATUSES) -> DataFrame:
@@ -163,7 +163,7 @@ def cohort_retention(t: Tables, excluded: tuple[str, ...] = EXCLUDED_STATUSES) -
         sum_if(n >= 3).alias("returned_for_3rd_order"),
         sum_if(n >= 4).alias("returned_4th_plus"),
         pct(sum_if(n >= 2), F.count("customer_unique_id")).alias("retention_rate_pct"),
-    ).orderBy(F.col("cohort_month").asc_nulls_first())
+    ).transform(sort_small, F.col("cohort_month").asc_nulls_first())
 
 
 def overall_retention(t: Tables, excluded: tuple[str, ...] = EXCLUDED_STATUSES) -> DataFrame:

@@ -17,6 +17,7 @@ from marketlens.operators.common import (
     review_score_cnt,
     review_score_sum,
     review_stats,
+    sort_small,
     top_k,
     with_scalar,
 )
@@ -93,7 +94,7 @@ def delivery_scorecard(t: Tables, rule: DeliveryRule = DeliveryRule()) -> DataFr
         pct("total_orders", "delivered_orders").alias("pct_of_delivered"),
         "avg_review_score",
         "avg_days_late",
-    ).orderBy(F.col("delivery_tier").asc_nulls_first())
+    ).transform(sort_small, F.col("delivery_tier").asc_nulls_first())
 
 
 def delivery_scorecard_by_order(t: Tables, rule: DeliveryRule = DeliveryRule()) -> DataFrame:
@@ -112,4 +113,4 @@ def delivery_scorecard_by_order(t: Tables, rule: DeliveryRule = DeliveryRule())
         pct("total_orders", "delivered_orders").alias("pct_of_delivered"),
         "avg_review_score",
         "avg_days_late",
-    ).orderBy(F.col("delivery_tier").asc_nulls_first())
+    ).transform(sort_small, F.col("delivery_tier").asc_nulls_first())

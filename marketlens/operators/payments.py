@@ -12,6 +12,7 @@ from marketlens.operators.common import (
     review_score_cnt,
     review_score_sum,
     review_stats,
+    sort_small,
     with_scalar,
 )
 from marketlens.sources.tables import Tables
@@ -34,7 +35,7 @@ def payment_type_breakdown(t: Tables) -> DataFrame:
         "avg_payment_value",
         "avg_installments",
         pct("total_orders", "paid_orders").alias("pct_of_orders"),
-    ).orderBy(F.col("total_orders").desc(), F.col("payment_type").asc_nulls_first())
+    ).transform(sort_small, F.col("total_orders").desc(), F.col("payment_type").asc_nulls_first())
 
 
 def credit_payments(t: Tables, payment_type: str = CREDIT_CARD) -> DataFrame:
@@ -54,7 +55,7 @@ def installment_satisfaction(t: Tables, payment_type: str = CREDIT_CARD) -> Data
         r(ratio(F.sum(review_score_sum()), F.sum(review_score_cnt()))).alias("avg_review_score"),
         _weighted_avg("payment_value", w).alias("avg_order_value"),
         r(F.sum(F.col("payment_value") * w)).alias("total_revenue"),
-    ).orderBy(F.col("payment_installments").asc_nulls_first())
+    ).transform(sort_small, F.col("payment_installments").asc_nulls_first())
 
 
 def payment_risk_tiers(t: Tables, rule: PaymentRiskRule = PaymentRiskRule(), payment_type: str = CREDIT_CARD) -> DataFrame:
@@ -68,7 +69,7 @@ def payment_risk_tiers(t: Tables, rule: PaymentRiskRule = PaymentRiskRule(), pay
         _weighted_avg("payment_installments", w).alias("avg_installments"),
         r(ratio(F.sum(review_score_sum()), F.sum(review_score_cnt()))).alias("avg_review_score"),
         r(F.sum(F.col("payment_value") * w)).alias("total_exposure"),
-    ).orderBy(F.col("total_exposure").desc_nulls_last(), F.col("payment_risk_tier").asc_nulls_first())
+    ).transform(sort_small, F.col("total_exposure").desc_nulls_last(), F.col("payment_risk_tier").asc_nulls_first())
 
 
 def payment_risk_by_payment(t: Tables, rule: PaymentRiskRule = PaymentRiskRule(), payment_type: str = CREDIT_CARD) -> DataFrame:
@@ -85,4 +86,4 @@ def payment_risk_by_payment(t: Tables, rule: PaymentRiskRule = PaymentRiskRule()
         avg2("payment_installments").alias("avg_installments"),
         avg2("order_review").alias("avg_review_score"),
         r(F.sum("payment_value")).alias("total_exposure"),
-    ).orderBy(F.col("total_exposure").desc_nulls_last(), F.col("payment_risk_tier").asc_nulls_first())
+    ).transform(sort_small, F.col("total_exposure").desc_nulls_last(), F.col("payment_risk_tier").asc_nulls_first())

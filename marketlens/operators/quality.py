@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from marketlens.sources.schemas import PRIMARY_KEYS, SCHEMAS, VARCHAR_WIDTHS
+from marketlens.operators.common import sort_small
 from marketlens.sources.tables import TABLE_NAMES, Tables
 
 
@@ -45,7 +46,7 @@ def key_uniqueness_audit(t: Tables) -> DataFrame:
                 F.coalesce(F.sum(F.when(F.col("k").isNotNull(), F.col("c") - 1)), F.lit(0)).cast("bigint").alias("duplicate_rows"),
             )
         )
-    return _union(frames).orderBy("table_name")
+    return _union(frames).transform(sort_small, "table_name")
 
 
 def blank_value_audit(t: Tables) -> DataFrame:
@@ -67,7 +68,7 @@ def blank_value_audit(t: Tables) -> DataFrame:
             f"stack({len(schema)}, {pairs}) AS (column_name, null_values, blank_values)",
         )
         frames.append(long)
-    return _union(frames).orderBy("table_name", "column_name")
+    return _union(frames).transform(sort_small, "table_name", "column_name")
 
 
 # Reference checks: (child table, child column, parent table, parent column).
@@ -111,4 +112,4 @@ def orphan_and_length_audit(t: Tables) -> DataFrame:
                 f"stack({len(widths)}, {triples}) AS (column_name, rule, violations)",
             )
         )
-    return _union(frames).orderBy("audit", "table_name", "column_name")
+    return _union(frames).transform(sort_small, "audit", "table_name", "column_name")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import rules as R
 from marketlens.functions.numeric import r, ratio
 from marketlens.operators import customers, delivery, payments, revenue, sellers
-from marketlens.operators.common import review_score_cnt, review_score_sum, review_stats
+from marketlens.operators.common import review_score_cnt, review_score_sum, review_stats, sort_small
 from marketlens.session import ensure_checkpoint_dir
 from marketlens.sources.tables import Tables
 
@@ -191,7 +191,7 @@ def _kpi_rows(f: DataFrame) -> DataFrame:
 
 def kpi_table(f: DataFrame) -> DataFrame:
     """P19 from a figures row."""
-    return _kpi_rows(f).select("category", "kpi", "value", "position", "value_num").orderBy("position")
+    return _kpi_rows(f).select("category", "kpi", "value", "position", "value_num").transform(sort_small, "position")
 
 
 def kpi_dashboard(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFrame:
@@ -256,7 +256,7 @@ def recommendation_rows(f: DataFrame) -> DataFrame:
         )
         for p, area, action, evidence, impact in rows
     ]
-    return f.select(F.explode(F.array(*structs)).alias("x")).select("x.*").orderBy("priority")
+    return f.select(F.explode(F.array(*structs)).alias("x")).select("x.*").transform(sort_small, "priority")
 
 
 # ---------------------------------------------------------------- dashboard cards
@@ -311,7 +311,7 @@ def card_rows(f: DataFrame) -> DataFrame:
         )
         for pos, (section, label, value, note, tone) in enumerate(cards, 1)
     ]
-    return f.select(F.explode(F.array(*structs)).alias("x")).select("x.*").orderBy("position")
+    return f.select(F.explode(F.array(*structs)).alias("x")).select("x.*").transform(sort_small, "position")
 
 
 # ---------------------------------------------------------------- all three at once

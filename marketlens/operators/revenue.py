@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import as_dec10, pct, r, ratio, sum_if, wavg2
 from marketlens.functions.rules import CANCELED, FreightRule
-from marketlens.operators.common import top_k, with_scalar
+from marketlens.operators.common import sort_small, top_k, with_scalar
 from marketlens.sources.tables import Tables
 
 
@@ -24,7 +24,7 @@ def order_status_breakdown(t: Tables) -> DataFrame:
         "order_status",
         "total_orders",
         pct("total_orders", "all_orders").alias("percentage_of_all_orders"),
-    ).orderBy(F.col("total_orders").desc(), F.col("order_status").asc_nulls_first())
+    ).transform(sort_small, F.col("total_orders").desc(), F.col("order_status").asc_nulls_first())
 
 
 def order_item_sums(t: Tables) -> DataFrame:
@@ -50,7 +50,7 @@ def revenue_leakage_by_status(t: Tables) -> DataFrame:
         r(F.sum("freight_sum")).alias("total_freight_charged"),
         r(F.sum("gross_sum")).alias("total_revenue_at_risk"),
         wavg2("price_sum", "price_cnt").alias("avg_order_value"),
-    ).orderBy(F.col("total_revenue_at_risk").desc_nulls_last(), F.col("order_status").asc_nulls_first())
+    ).transform(sort_small, F.col("total_revenue_at_risk").desc_nulls_last(), F.col("order_status").asc_nulls_first())
 
 
 def average_order_value(t: Tables) -> DataFrame:
@@ -60,7 +60,7 @@ def average_order_value(t: Tables) -> DataFrame:
         r(F.sum("price_sum")).alias("total_product_revenue"),
         wavg2("price_sum", "price_cnt").alias("avg_item_price"),
         r(ratio(F.sum("price_sum"), F.countDistinct("order_id"))).alias("avg_order_value"),
-    ).orderBy(F.col("order_status").asc_nulls_first())
+    ).transform(sort_small, F.col("order_status").asc_nulls_first())
 
 
 def _seller_item_status(t: Tables) -> DataFrame:

@@ -19,6 +19,7 @@ from marketlens.operators.common import (
     review_score_cnt,
     review_score_sum,
     review_stats,
+    sort_small,
     top_k,
     with_scalar,
 )
@@ -157,4 +158,4 @@ def seller_classification_summary(
         "avg_revenue",
         "avg_review_score",
         "avg_cancellation_rate",
-    ).orderBy(F.col("total_sellers").desc(), F.col("seller_classification").asc_nulls_first())
+    ).transform(sort_small, F.col("total_sellers").desc(), F.col("seller_classification").asc_nulls_first())
