@@ -55,6 +55,7 @@ def _on_testdata(job: Callable[[Tables], DataFrame]) -> Query:
         return job(tables_for(spark, sf_dir))
 
     run.__name__ = getattr(job, "__name__", "query")
+    run.__wrapped__ = job  # the same job on any Tables (tests use hand-made ones)
     return run
 
 
