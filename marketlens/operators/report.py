@@ -69,27 +69,34 @@ def _side_by_side(frames: list[DataFrame]) -> DataFrame:
 
 def figures(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFrame:
     """One row with every number the summary needs."""
-    p02 = revenue.revenue_leakage_by_status(t)
+    # Revenue figures and the item average come from one per-status rollup
+    # (exact decimal sums); a status's rounded P02 value is r(its sum).
+    rollup = revenue.status_rollup(t)
     status = F.col("order_status")
-    rev = p02.agg(
-        r(F.sum("total_product_revenue")).alias("gross_revenue"),
-        _pick("order_status", R.CANCELED, "total_product_revenue").alias("cancel_revenue"),
-        _pick("order_status", R.CANCELED, "total_orders").alias("cancel_orders"),
-        r(F.sum(F.when(status.isin(*R.PIPELINE_STATUSES), F.col("total_product_revenue")))).alias("pipeline_revenue"),
-        F.sum(F.when(status.isin(*R.PIPELINE_STATUSES), F.col("total_orders"))).alias("pipeline_orders"),
+    pipeline = status.isin(*R.PIPELINE_STATUSES)
+    rev = rollup.agg(
+        r(F.sum("price_sum")).alias("gross_revenue"),
+        r(F.max(F.when(status == R.CANCELED, F.col("price_sum")))).alias("cancel_revenue"),
+        F.max(F.when(status == R.CANCELED, F.col("total_orders"))).alias("cancel_orders"),
+        r(F.sum(F.when(pipeline, F.col("price_sum")))).alias("pipeline_revenue"),
+        F.sum(F.when(pipeline, F.col("total_orders"))).alias("pipeline_orders"),
         F.sum("total_orders").alias("orders_with_items"),
-    )
-    item_avg = revenue._status_totals(t).agg(
-        r(ratio(F.sum("price_sum"), F.sum("price_cnt"))).alias("avg_item_price")
+        r(ratio(F.sum("price_sum"), F.sum("price_cnt"))).alias("avg_item_price"),
     )
     p01 = revenue.order_status_breakdown(t).agg(
         _pick("order_status", R.CANCELED, "percentage_of_all_orders").alias("cancel_share_pct")
     )
+    # Top-5 loss categories once; the first of them by the report order
+    # (loss desc, category asc with NULL first) is the top category.
     top5 = revenue.category_margin_risk(t, k=5)
-    freight = top5.agg(r(F.sum("total_money_lost")).alias("freight_loss_top5"))
-    top1 = revenue.category_margin_risk(t, k=1).agg(
-        F.max("product_category_name").alias("top_freight_category"),
-        F.max("avg_freight_pct").alias("top_freight_pct"),
+    first = F.min_by(
+        F.struct("product_category_name", "avg_freight_pct"),
+        F.struct((-F.col("total_money_lost")).alias("neg_loss"), F.col("product_category_name")),
+    )
+    freight = top5.agg(r(F.sum("total_money_lost")).alias("freight_loss_top5"), first.alias("top1")).select(
+        "freight_loss_top5",
+        F.col("top1.product_category_name").alias("top_freight_category"),
+        F.col("top1.avg_freight_pct").alias("top_freight_pct"),
     )
 
     p07 = delivery.delivery_scorecard(t)
@@ -140,7 +147,7 @@ def figures(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFrame:
         _pick("payment_risk_tier", R.PAY_NONE, "total_orders").alias("paid_in_full_rows"),
         _pick("payment_risk_tier", R.PAY_NONE, "avg_review_score").alias("paid_in_full_review"),
     )
-    wide = _side_by_side([rev, item_avg, p01, freight, top1, dlv, worst, ret, seg, seller_count, platform, cls, p16, p18])
+    wide = _side_by_side([rev, p01, freight, dlv, worst, ret, seg, seller_count, platform, cls, p16, p18])
     return wide.withColumn("dormant_value", F.col("cold_customers").cast("double") * F.col("cold_spend"))
 
 

@@ -43,23 +43,38 @@ def _status_totals(t: Tables) -> DataFrame:
     return orders.join(order_item_sums(t), "order_id")
 
 
-def revenue_leakage_by_status(t: Tables) -> DataFrame:
+def status_rollup(t: Tables) -> DataFrame:
+    """Per status: distinct orders with items and exact (decimal) item sums.
+
+    P02, C02 and the KPI report are projections of this one aggregate."""
     return _status_totals(t).groupBy("order_status").agg(
         F.countDistinct("order_id").alias("total_orders"),
-        r(F.sum("price_sum")).alias("total_product_revenue"),
-        r(F.sum("freight_sum")).alias("total_freight_charged"),
-        r(F.sum("gross_sum")).alias("total_revenue_at_risk"),
-        wavg2("price_sum", "price_cnt").alias("avg_order_value"),
+        F.sum("price_sum").alias("price_sum"),
+        F.sum("price_cnt").alias("price_cnt"),
+        F.sum("freight_sum").alias("freight_sum"),
+        F.sum("gross_sum").alias("gross_sum"),
+    )
+
+
+def revenue_leakage_by_status(t: Tables) -> DataFrame:
+    return status_rollup(t).select(
+        "order_status",
+        "total_orders",
+        r("price_sum").alias("total_product_revenue"),
+        r("freight_sum").alias("total_freight_charged"),
+        r("gross_sum").alias("total_revenue_at_risk"),
+        r(ratio("price_sum", "price_cnt")).alias("avg_order_value"),
     ).transform(sort_small, F.col("total_revenue_at_risk").desc_nulls_last(), F.col("order_status").asc_nulls_first())
 
 
 def average_order_value(t: Tables) -> DataFrame:
     """Corrected AOV: revenue per distinct order, next to the mean item price."""
-    return _status_totals(t).groupBy("order_status").agg(
-        F.countDistinct("order_id").alias("total_orders"),
-        r(F.sum("price_sum")).alias("total_product_revenue"),
-        wavg2("price_sum", "price_cnt").alias("avg_item_price"),
-        r(ratio(F.sum("price_sum"), F.countDistinct("order_id"))).alias("avg_order_value"),
+    return status_rollup(t).select(
+        "order_status",
+        "total_orders",
+        r("price_sum").alias("total_product_revenue"),
+        r(ratio("price_sum", "price_cnt")).alias("avg_item_price"),
+        r(ratio("price_sum", "total_orders")).alias("avg_order_value"),
     ).transform(sort_small, F.col("order_status").asc_nulls_first())
 
 
