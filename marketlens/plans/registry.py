@@ -9,6 +9,7 @@ derived data ends in 1998, so the recency reference date is
 from __future__ import annotations
 
 import os
+import threading
 import warnings
 from collections.abc import Callable
 
@@ -27,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 USE_MARTS = os.environ.get("MARKETLENS_MARTS", "1") != "0"
 
 _PUBLISHED: dict[tuple[int, str], Tables] = {}
+_PUBLISH_LOCK = threading.Lock()
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
@@ -40,13 +42,17 @@ def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     if not USE_MARTS:
         return from_testdata(spark, sf_dir)
     key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
-    if key not in _PUBLISHED:
-        derived = from_testdata(spark, sf_dir, reuse=False)
-        try:
-            _PUBLISHED[key] = publish_marts(derived, marts_root(spark), default_buckets(spark, derived))
-        except Exception as exc:  # e.g. no writable shared folder or catalog: same results, no layout
-            warnings.warn(f"marts not published ({exc!r:.200}); querying the derivation directly")
-            _PUBLISHED[key] = derived
+    with _PUBLISH_LOCK:
+        return _PUBLISHED[key] if key in _PUBLISHED else _publish(spark, sf_dir, key)
+
+
+def _publish(spark: SparkSession, sf_dir: str, key: tuple[int, str]) -> Tables:
+    derived = from_testdata(spark, sf_dir, reuse=False)
+    try:
+        _PUBLISHED[key] = publish_marts(derived, marts_root(spark), default_buckets(spark, derived))
+    except Exception as exc:  # e.g. no writable shared folder or catalog: same results, no layout
+        warnings.warn(f"marts not published ({exc!r:.200}); querying the derivation directly")
+        _PUBLISHED[key] = derived
     return _PUBLISHED[key]
 
 
