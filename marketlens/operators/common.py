@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,13 @@ def sort_small(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.coalesce(1).sortWithinPartitions(*order)
 
 
+def with_group_total(df: DataFrame, col: str, alias: str) -> DataFrame:
+    """Add ``sum(col)`` over all rows of a grouped result bounded by a
+    low-cardinality key (a handful of statuses or tiers).  A window over those
+    few rows, instead of a second aggregate that would scan the input again."""
+    return df.withColumn(alias, F.sum(col).over(Window.partitionBy()))
+
+
 def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row of ``df``.
 

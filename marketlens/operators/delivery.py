@@ -19,8 +19,9 @@ from marketlens.operators.common import (
     review_stats,
     sort_small,
     top_k,
-    with_scalar,
+    with_group_total,
 )
+from marketlens.session import ensure_checkpoint_dir
 from marketlens.sources.tables import Tables
 
 DELIVERED_AT = "order_delivered_customer_date"
@@ -40,7 +41,9 @@ def late_delivery_orders(t: Tables, rule: DeliveryRule = DeliveryRule(), k: int
     With ``k`` set, the k latest orders are chosen first (every order yields
     at least one joined row, so the top k joined rows come from them); only
     reviews of those k orders are then read through a broadcast semi-join of
-    at most k keys.  The whole reviews table is never shuffled.
+    at most k keys.  The whole reviews table is never shuffled.  The k rows
+    are checkpointed (shared checkpoint folder) because they are used twice:
+    otherwise the orders scan and its top-k would run once per use.
     """
     orders = delivered_orders(t).select(
         "order_id",
@@ -54,7 +57,8 @@ def late_delivery_orders(t: Tables, rule: DeliveryRule = DeliveryRule(), k: int
     order_rank = [F.col("days_late").desc_nulls_last(), F.col("order_id").asc_nulls_first()]
     reviews = t.reviews.select("order_id", "review_score")
     if k is not None:
-        orders = top_k(orders, order_rank, k)
+        ensure_checkpoint_dir(t.spark)
+        orders = top_k(orders, order_rank, k).checkpoint(eager=True)
         reviews = reviews.join(F.broadcast(orders.select("order_id")), "order_id", "left_semi")
     joined = orders.join(reviews, "order_id", "left").select(
         "order_id",
@@ -87,8 +91,8 @@ def delivery_scorecard(t: Tables, rule: DeliveryRule = DeliveryRule()) -> DataFr
         r(ratio(F.sum(review_score_sum()), F.sum(review_score_cnt()))).alias("avg_review_score"),
         r(ratio(F.sum(F.col("days_late") * w), F.sum(F.when(F.col("days_late").isNotNull(), w))), 1).alias("avg_days_late"),
     )
-    base = tiers.agg(F.sum("tier_orders").alias("delivered_orders"))
-    return with_scalar(tiers, base).select(
+    # Each delivered order is in exactly one tier: the base is the sum of the tiers.
+    return with_group_total(tiers, "tier_orders", "delivered_orders").select(
         "delivery_tier",
         "total_orders",
         pct("total_orders", "delivered_orders").alias("pct_of_delivered"),
@@ -106,8 +110,7 @@ def delivery_scorecard_by_order(t: Tables, rule: DeliveryRule = DeliveryRule())
         avg2("order_review").alias("avg_review_score"),
         avg2("days_late", 1).alias("avg_days_late"),
     )
-    base = tiers.agg(F.sum("total_orders").alias("delivered_orders"))
-    return with_scalar(tiers, base).select(
+    return with_group_total(tiers, "total_orders", "delivered_orders").select(
         "delivery_tier",
         "total_orders",
         pct("total_orders", "delivered_orders").alias("pct_of_delivered"),

@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import as_dec10, pct, r, ratio, sum_if, wavg2
 from marketlens.functions.rules import CANCELED, FreightRule
-from marketlens.operators.common import sort_small, top_k, with_scalar
+from marketlens.operators.common import sort_small, top_k, with_group_total
 from marketlens.sources.tables import Tables
 
 
 def order_status_breakdown(t: Tables) -> DataFrame:
     by_status = t.orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("total_orders"))
     # Every order falls in exactly one status group, so the total is the sum of the groups.
-    total = by_status.agg(F.sum("total_orders").alias("all_orders"))
-    return with_scalar(by_status, total).select(
+    return with_group_total(by_status, "total_orders", "all_orders").select(
         "order_status",
         "total_orders",
         pct("total_orders", "all_orders").alias("percentage_of_all_orders"),
