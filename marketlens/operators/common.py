@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.session import ensure_checkpoint_dir
+
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int | None) -> DataFrame:
     """Sorted report; with ``k`` it plans as TakeOrderedAndProject (per-partition
@@ -23,6 +25,22 @@ def sort_small(df: DataFrame, *order: Column | str) -> DataFrame:
     return df.coalesce(1).sortWithinPartitions(*order)
 
 
+def checkpoint_once(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (shared ``spark.checkpoint.dir``) computed once.
+
+    An eager checkpoint runs one job to evaluate and a second to write the
+    files; persisting first makes the second job read the cached rows
+    instead of recomputing the plan.  The cache is dropped once the files
+    are written.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    df.persist()
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+
+
 def with_group_total(df: DataFrame, col: str, alias: str) -> DataFrame:
     """Add ``sum(col)`` over all rows of a grouped result bounded by a
     low-cardinality key (a handful of statuses or tiers).  A window over those

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.numeric import as_dec10, avg2, pct, r, ratio
 from marketlens.functions.rules import DELIVERED, DeliveryRule
 from marketlens.operators.common import (
+    checkpoint_once,
     fanout_weight,
     review_score_cnt,
     review_score_sum,
@@ -21,7 +22,6 @@ from marketlens.operators.common import (
     top_k,
     with_group_total,
 )
-from marketlens.session import ensure_checkpoint_dir
 from marketlens.sources.tables import Tables
 
 DELIVERED_AT = "order_delivered_customer_date"
@@ -57,8 +57,7 @@ def late_delivery_orders(t: Tables, rule: DeliveryRule = DeliveryRule(), k: int
     order_rank = [F.col("days_late").desc_nulls_last(), F.col("order_id").asc_nulls_first()]
     reviews = t.reviews.select("order_id", "review_score")
     if k is not None:
-        ensure_checkpoint_dir(t.spark)
-        orders = top_k(orders, order_rank, k).checkpoint(eager=True)
+        orders = checkpoint_once(top_k(orders, order_rank, k))
         reviews = reviews.join(F.broadcast(orders.select("order_id")), "order_id", "left_semi")
     joined = orders.join(reviews, "order_id", "left").select(
         "order_id",

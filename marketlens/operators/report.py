@@ -4,7 +4,7 @@ The published summary is typed in by hand.  Here every number is computed
 from the analyses above: each analysis is reduced to one row of figures,
 the rows are placed side by side (cross join of one-row frames: bounded,
 broadcast) and the KPI / recommendation rows are produced from that one
-wide row with ``stack``.  Nothing is collected to the driver; all text is
+wide row.  Nothing is collected to the driver; all text is
 formatted by Spark expressions after the numbers are rounded.
 """
 
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import rules as R
 from marketlens.functions.numeric import r, ratio
 from marketlens.operators import customers, delivery, payments, revenue, sellers
-from marketlens.operators.common import review_score_cnt, review_score_sum, review_stats, sort_small
-from marketlens.session import ensure_checkpoint_dir
+from marketlens.operators.common import checkpoint_once, review_score_cnt, review_score_sum, review_stats, sort_small
 from marketlens.sources.tables import Tables
 
 
@@ -330,6 +329,5 @@ def executive_summary(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> tupl
     the shared ``spark.checkpoint.dir`` (lineage cut, survives executor loss)
     and the three outputs are read from it.
     """
-    ensure_checkpoint_dir(t.spark)
-    f = figures(t, as_of).checkpoint(eager=True)
+    f = checkpoint_once(figures(t, as_of))
     return kpi_table(f), recommendation_rows(f), card_rows(f)
