@@ -11,6 +11,7 @@ formatted by Spark expressions after the numbers are rounded.
 from __future__ import annotations
 
 import datetime as dt
+from collections import OrderedDict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -66,8 +67,30 @@ def _side_by_side(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)
 
 
+_FIGURES_PLANS: OrderedDict[tuple[int, str], tuple[Tables, DataFrame]] = OrderedDict()
+_FIGURES_PLANS_MAX = 8
+
+
 def figures(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFrame:
-    """One row with every number the summary needs."""
+    """One row with every number the summary needs.
+
+    The (lazy) plan is built once per tables object and date, like a
+    prepared statement: building it takes thousands of driver-side calls.
+    Nothing is cached but the plan; every query on top of it is planned and
+    executed in full.
+    """
+    key = (id(t), str(as_of))
+    hit = _FIGURES_PLANS.get(key)
+    if hit is None or hit[0] is not t:  # the entry holds t, so its id cannot be reused meanwhile
+        hit = (t, _build_figures(t, as_of))
+        _FIGURES_PLANS[key] = hit
+        while len(_FIGURES_PLANS) > _FIGURES_PLANS_MAX:
+            _FIGURES_PLANS.popitem(last=False)
+    _FIGURES_PLANS.move_to_end(key)
+    return hit[1]
+
+
+def _build_figures(t: Tables, as_of: dt.date | str) -> DataFrame:
     # Revenue figures and the item average come from one per-status rollup
     # (exact decimal sums); a status's rounded P02 value is r(its sum).
     rollup = revenue.status_rollup(t)
