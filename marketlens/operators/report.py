@@ -348,7 +348,7 @@ def card_rows(f: DataFrame) -> DataFrame:
 def executive_summary(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> tuple[DataFrame, DataFrame, DataFrame]:
     """KPI table, recommendations and cards from ONE computation of the figures.
 
-    The fourteen analyses run once; their one-row result is checkpointed to
+    The twelve analyses run once; their one-row result is checkpointed to
     the shared ``spark.checkpoint.dir`` (lineage cut, survives executor loss)
     and the three outputs are read from it.
     """
