@@ -71,14 +71,20 @@ def seller_category_benchmark(t: Tables, cancelled: str = CANCELED, min_orders:
     return top_k(out, order, k)
 
 
-def seller_base(t: Tables, cancelled: str = CANCELED, min_orders: int = 10) -> DataFrame:
+def _known(t: Tables, df: DataFrame, check: bool) -> DataFrame:
+    # Sellers missing from the sellers table drop out, as the inner join does.
+    return df.join(t.sellers.select("seller_id"), "seller_id", "left_semi") if check else df
+
+
+def seller_base(t: Tables, cancelled: str = CANCELED, min_orders: int = 10, check_sellers: bool = True) -> DataFrame:
     """Per seller with at least ``min_orders`` distinct orders: rounded revenue,
-    review and cancellation rate over item × review rows (as published)."""
+    review and cancellation rate over item × review rows (as published).
+
+    ``check_sellers=False`` leaves the existence check to a caller that joins
+    the sellers table anyway (one scan of the dimension instead of two)."""
     per_seller = _item_rows(t).groupBy("seller_id").agg(*_fanout_metrics(cancelled))
-    known = t.sellers.select("seller_id")
     return (
-        per_seller.where(F.col("total_orders") >= min_orders)
-        .join(known, "seller_id", "left_semi")
+        _known(t, per_seller.where(F.col("total_orders") >= min_orders), check_sellers)
         .select(
             "seller_id",
             "total_revenue",
@@ -88,7 +94,7 @@ def seller_base(t: Tables, cancelled: str = CANCELED, min_orders: int = 10) -> D
     )
 
 
-def seller_base_by_order(t: Tables, cancelled: str = CANCELED, min_orders: int = 10) -> DataFrame:
+def seller_base_by_order(t: Tables, cancelled: str = CANCELED, min_orders: int = 10, check_sellers: bool = True) -> DataFrame:
     """Corrected base: reviews averaged per order before the join, so nothing is multiplied."""
     items = t.order_items.select("order_id", "seller_id", "price")
     orders = t.orders.select("order_id", "order_status")
@@ -102,10 +108,8 @@ def seller_base_by_order(t: Tables, cancelled: str = CANCELED, min_orders: int =
         avg2("order_review").alias("avg_review_score"),
         F.sum(F.when(F.col("order_status") == cancelled, 1).otherwise(0)).alias("cancellations"),
     )
-    known = t.sellers.select("seller_id")
     return (
-        per_seller.where(F.col("total_orders") >= min_orders)
-        .join(known, "seller_id", "left_semi")
+        _known(t, per_seller.where(F.col("total_orders") >= min_orders), check_sellers)
         .select(
             "seller_id",
             "total_revenue",
@@ -131,13 +135,13 @@ def _listing(t: Tables, base: DataFrame, rule: SellerRule, k: int | None) -> Dat
 def seller_classification(
     t: Tables, rule: SellerRule = SellerRule(), cancelled: str = CANCELED, min_orders: int = 10, k: int | None = 40
 ) -> DataFrame:
-    return _listing(t, seller_base(t, cancelled, min_orders), rule, k)
+    return _listing(t, seller_base(t, cancelled, min_orders, check_sellers=False), rule, k)
 
 
 def seller_classification_by_order(
     t: Tables, rule: SellerRule = SellerRule(), cancelled: str = CANCELED, min_orders: int = 10, k: int | None = 40
 ) -> DataFrame:
-    return _listing(t, seller_base_by_order(t, cancelled, min_orders), rule, k)
+    return _listing(t, seller_base_by_order(t, cancelled, min_orders, check_sellers=False), rule, k)
 
 
 def seller_classification_summary(
