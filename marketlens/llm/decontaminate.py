@@ -22,6 +22,7 @@ texts alone; texts are judged row by row; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,7 +217,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span:
     strings, sorted) and, on request, ``cleaned``: the text without spans of ``min_span`` words or more."""
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark)]
-    key = f"{window}-{'-'.join(str(b.id) for b in blocks)}"
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,7 +34,7 @@ def fails() -> dict[str, Column]:
         "few_words": c("n_words") < 10,
         "repeated_windows": 100 * c("n_repeat_words") > 20 * c("n_words"),
         "symbols": 100 * c("n_symbols") > 10 * c("word_chars"),
-        "repeated_lines": 100 * c("n_dup_lines") > 30 * c("n_lines"),
+        "repeated_lines": 100 * c("n_dup_lines") > 60 * c("n_lines"),
         "short_words": c("word_chars") < 2 * c("n_words"),
         "long_words": c("word_chars") > 20 * c("n_words"),
         "shouting": 100 * c("n_upper") > 60 * c("word_chars"),
@@ -151,7 +151,7 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
-  SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM d
+  SELECT r, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d
 ), grams AS (
   SELECT r, i, ws[i:i + 4] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
 ), twins AS (
@@ -159,7 +159,7 @@ WITH d AS (
 ), covered AS (
   SELECT r, count(DISTINCT i + k) AS n FROM twins, (SELECT unnest(range(0, 5)) AS k) GROUP BY r
 ), lines AS (
-  SELECT r, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+  SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
 ), m AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words,
          length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
@@ -171,7 +171,7 @@ WITH d AS (
   FROM d JOIN w USING (r) JOIN lines USING (r) LEFT JOIN covered c USING (r)
 ), f AS (
   SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT
-    + 4 * (100 * n_symbols > 10 * word_chars)::INT + 8 * (100 * n_dup_lines > 30 * n_lines)::INT
+    + 4 * (100 * n_symbols > 10 * word_chars)::INT + 8 * (100 * n_dup_lines > 60 * n_lines)::INT
     + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 20 * n_words)::INT
     + 64 * (100 * n_upper > 60 * word_chars)::INT)::BIGINT AS fail_bits FROM m
 )
