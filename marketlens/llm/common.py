@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,17 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (on a cluster:
+    from the same path, or from what was given with --py-files)."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,11 +58,13 @@ def text_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, text, _h): the two columns the operators read and a hash that tells
     apart different texts under one doc_id.  Other columns are not looked at, so
     they may have any name."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.xxhash64(F.col("text").cast("string")).alias("_h"),
-    )
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
+
+
+def same_row(docs: DataFrame, doc_id: str, h: str):
+    """Join condition: a row of ``docs`` and a result's (doc_id, text hash) columns."""
+    return docs["doc_id"].cast("long").eqNullSafe(F.col(doc_id)) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col(h))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -69,3 +83,26 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 def crc_mod(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``: the fold a document belongs to."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
+
+
+#: Bits of a key bitmap: 8 MB whatever the number of keys.
+BITMAP_BITS = 26
+
+
+class KeyBitmap:
+    """A one-hash Bloom filter of 64-bit keys with a fixed size.
+
+    A "no" is certain.  Wrongly passed keys are few while there are fewer keys than bits
+    and become more beyond that; they cost rows in a later exact join, never a result.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        slot = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+        words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("b"))
+        found = words.toPandas()
+        self.words = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+        self.words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys & np.uint64((1 << BITMAP_BITS) - 1)
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

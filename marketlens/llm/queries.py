@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, decontaminate, rules
+from marketlens.llm import bpe, decontaminate, quality, rlz, rules
 from marketlens.llm.common import table
 
 #: Vocabulary of the encoding query: the installed package's file, the same on every executor.
@@ -17,10 +17,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_h")
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz.report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir, "documents"))
 
@@ -29,5 +37,5 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {q.__name__: q for q in (op4_bpe_round_trip, op6_quality_rules, op7_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_quality_classifier, op4_bpe_round_trip, op5_substring_dedup, op6_quality_rules, op7_decontamination)}
 ORACLE_SQL = {"op6_quality_rules": rules.ORACLE_SQL}
