@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, decontaminate, quality, rlz, rules
+from marketlens.llm import bpe, decontaminate, quality, rlz, rules, suffix
 from marketlens.llm.common import table
 
 #: Vocabulary of the encoding query: the installed package's file, the same on every executor.
@@ -37,5 +37,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_classifier, op4_bpe_round_trip, op5_substring_dedup, op6_quality_rules, op7_decontamination)}
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op1_quality_classifier, op4_bpe_round_trip, op5_substring_dedup, op6_quality_rules, op7_decontamination, op8_suffix_dedup)}
 ORACLE_SQL = {"op6_quality_rules": rules.ORACLE_SQL}

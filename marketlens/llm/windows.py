@@ -17,11 +17,12 @@ from marketlens.llm.textvec import U, grams, run_hash, sliding_min
 
 def window_blocks(x: np.ndarray, bounds: np.ndarray, width: int, k: int) -> dict[str, np.ndarray]:
     """Blocks of the texts x[bounds[i]:bounds[i+1]]: row, start (symbols from the text's
-    start), n (windows), key and hash (of all symbols of the block), in text order."""
+    start), n (windows), gram (place of the key's gram), key and hash (of all symbols of the
+    block), in text order."""
     n_windows = len(x) - width + 1
     if n_windows <= 0:
         empty = np.zeros(0, np.int64)
-        return {"row": empty, "start": empty, "n": empty, "key": np.zeros(0, U), "hash": np.zeros(0, U)}
+        return {"row": empty, "start": empty, "n": empty, "gram": empty, "key": np.zeros(0, U), "hash": np.zeros(0, U)}
     g = grams(x, k)
     bits = U(max(20, len(g).bit_length()))
     low = U((1 << int(bits)) - 1)
@@ -36,5 +37,5 @@ def window_blocks(x: np.ndarray, bounds: np.ndarray, width: int, k: int) -> dict
     keep = room[edges]
     start, n = edges[keep], (ends - edges)[keep]
     row = np.searchsorted(bounds, start, side="right") - 1
-    key = g[(least[start] & low).astype(np.int64)]
-    return {"row": row, "start": start - bounds[row], "n": n, "key": key, "hash": run_hash(x, start, start + n - 1 + width)}
+    gram = (least[start] & low).astype(np.int64)
+    return {"row": row, "start": start - bounds[row], "n": n, "gram": gram - bounds[row], "key": g[gram], "hash": run_hash(x, start, start + n - 1 + width)}
