@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.llm import bpe, decontaminate, quality, rlz, rules, suffix
+from marketlens.llm import bpe, decontaminate, minhash, quality, rlz, rules, suffix
 from marketlens.llm.common import table
 
 #: Vocabulary of the encoding query: the installed package's file, the same on every executor.
@@ -21,6 +21,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_h")
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents"), size=4).drop("_h")
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -41,5 +45,5 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality_classifier, op4_bpe_round_trip, op5_substring_dedup, op6_quality_rules, op7_decontamination, op8_suffix_dedup)}
+QUERIES = {q.__name__: q for q in (op1_quality_classifier, op2_minhash_dedup, op4_bpe_round_trip, op5_substring_dedup, op6_quality_rules, op7_decontamination, op8_suffix_dedup)}
 ORACLE_SQL = {"op6_quality_rules": rules.ORACLE_SQL}
