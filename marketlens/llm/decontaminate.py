@@ -23,11 +23,11 @@ texts alone; texts are judged row by row; other columns are ignored.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import slices, text_rows
@@ -209,28 +209,37 @@ def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def hit_finder(spark: SparkSession, benchmark: DataFrame, window: int) -> Callable[[Words], tuple[dict[int, list], dict[int, set]]]:
+    """A function for tasks: hit spans and items of the rows of a batch that have any."""
+    blocks = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark)]
+    key = uuid.uuid4().hex
+
+    def hits(words: Words) -> tuple[dict[int, list], dict[int, set]]:
+        spans: dict[int, list] = {}
+        items: dict[int, set] = {}
+        for n, block in enumerate(blocks):
+            for row, some, found in matcher(f"{key}/{n}", block, window).scan(words):
+                spans.setdefault(row, []).extend(some)
+                items.setdefault(row, set()).update(found)
+        return {row: union_spans(s) for row, s in spans.items()}, items
+
+    return hits
+
+
 SCHEMA = "doc_id long, _h long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>, cleaned string"
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = WINDOW, with_text: bool = False) -> DataFrame:
     """Per document row: n_words, n_hit, hit ``spans`` (word positions), ``items`` (ids as
     strings, sorted) and, on request, ``cleaned``: the text without spans of ``min_span`` words or more."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark)]
-    key = uuid.uuid4().hex
+    hits = hit_finder(docs.sparkSession, benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), ALNUM)
                 counts = np.diff(words.first)
-                spans: dict[int, list] = {}
-                items: dict[int, set] = {}
-                for n, block in enumerate(blocks):
-                    for row, some, found in matcher(f"{key}/{n}", block, window).scan(words):
-                        spans.setdefault(row, []).extend(some)
-                        items.setdefault(row, set()).update(found)
-                spans = {row: union_spans(s) for row, s in spans.items()}
+                spans, items = hits(words)
                 hit = [sum(b - a for a, b in spans.get(row, ())) for row in range(len(counts))]
                 cleaned = [None] * len(counts)
                 if with_text:
@@ -274,6 +283,23 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that the rule leaves, with all their columns, filtered where they are read."""
+    hits = hit_finder(docs.sparkSession, benchmark, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words = Words(part.column("text"), ALNUM)
+                counts = np.diff(words.first)
+                hit = np.zeros(len(counts), np.int64)
+                for row, spans in hits(words)[0].items():
+                    hit[row] = sum(b - a for a, b in spans)
+                yield part.filter(pa.array((hit == 0) | (20 * hit < counts)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated and the hit spans."""
     return scan(docs, benchmark).select(
