@@ -12,7 +12,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     for i in range(7):  # the first seven symbols as one number
         packed <<= 9
         packed[: max(0, n - i)] |= text[i:]
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed)
     known = 7
     while True:
         new = np.ones(n, bool)
@@ -31,7 +31,7 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
         inside = suffix + known < n
         follow[inside] = rank[suffix[inside] + known]
         packed[suffix] += follow
-        order[places] = suffix[np.argsort(packed[suffix], kind="stable")]
+        order[places] = suffix[np.argsort(packed[suffix])]
         known *= 2
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import KeyBitmap, materialize, same_row, slices, text_rows
-from marketlens.llm.textvec import PLAIN, Words, grams, signed
+from marketlens.llm.textvec import PLAIN, Runs, Words, signed
 from marketlens.llm.windows import window_blocks
 
 WINDOW, GRAM = 50, 12
@@ -53,7 +53,7 @@ def blocks(docs: DataFrame, width: int = WINDOW, k: int = GRAM) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), PLAIN)
-                b = window_blocks(words.hash, words.first, width, k)
+                b = window_blocks(Runs(words.hash), words.first, width, k)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(b["row"])), pa.array(b["start"].astype(np.int32)), pa.array(signed(b["key"])), pa.array(signed(b["hash"]))],
                     ["doc_id", "start", "key", "hash"],
@@ -73,12 +73,13 @@ def candidates(docs: DataFrame, repeated: KeyBitmap, shared: KeyBitmap, width: i
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), PLAIN)
-                b = window_blocks(words.hash, words.first, width, k)
+                hashes = Runs(words.hash)
+                b = window_blocks(hashes, words.first, width, k)
                 some = shared.has(b["key"])
                 pick = np.flatnonzero(some | repeated.has(b["key"] ^ b["hash"]))
                 some = some[pick]
                 start, n, row = b["start"][pick], b["n"][pick], b["row"][pick]
-                g = signed(grams(words.hash, width))
+                g = signed(hashes.grams(width))
                 counts = np.where(some, n, 0)
                 ends = np.cumsum(counts)
                 at = np.repeat(words.first[row] + start - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)

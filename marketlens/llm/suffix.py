@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.bwt import repeated_windows
 from marketlens.llm.common import KeyBitmap, materialize, slices, text_rows
-from marketlens.llm.textvec import U, buffers, grams, mix, run_hash, signed
+from marketlens.llm.textvec import Runs, U, buffers, grams, mix, signed
 from marketlens.llm.windows import window_blocks
 
 LENGTH, GRAM = 200, 48
@@ -45,10 +45,10 @@ LENGTH, GRAM = 200, 48
 GROUP_BYTES = 1 << 20
 
 
-def byte_blocks(part: pa.RecordBatch, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+def byte_blocks(part: pa.RecordBatch, length: int, k: int) -> tuple[np.ndarray, np.ndarray, Runs, dict]:
     raw, bounds = buffers(part.column("text"))
-    x = mix(raw.astype(U) + U(1))
-    return raw, bounds, x, window_blocks(x, bounds, length, k)
+    runs = Runs(raw.astype(U) + U(1))
+    return raw, bounds, runs, window_blocks(runs, bounds, length, k)
 
 
 def row_ids(part: pa.RecordBatch, b: dict) -> np.ndarray:
@@ -80,7 +80,7 @@ def candidates(docs: DataFrame, repeated: KeyBitmap, shared: KeyBitmap, length:
         repeated, shared = sent.value
         for batch in batches:
             for part in slices(batch):
-                _, bounds, x, b = byte_blocks(part, length, k)
+                _, bounds, hashes, b = byte_blocks(part, length, k)
                 some = shared.has(b["key"])
                 pick = some | repeated.has(b["key"] ^ b["hash"])
                 rid = row_ids(part, b)[pick]
@@ -91,7 +91,7 @@ def candidates(docs: DataFrame, repeated: KeyBitmap, shared: KeyBitmap, length:
                 pieces = []
                 for mask, a in ((left, gram - side), (right, gram + k)):
                     h = np.zeros(len(gram), U)
-                    h[mask] = run_hash(x, a[mask], a[mask] + side)
+                    h[mask] = hashes.hash(a[mask], a[mask] + side)
                     pieces.append(pa.array(signed(h), mask=~mask))
                 row = pa.array(b["row"])
                 yield pa.RecordBatch.from_arrays(
@@ -190,7 +190,7 @@ def counted(blocks: DataFrame, length: int) -> DataFrame:
                 counts = np.array([len(b) for b in raw]) - length + 1
                 row = np.repeat(np.arange(len(raw)), counts)
                 off = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                g = grams(mix(np.frombuffer(b"".join(raw), np.uint8).astype(U) + U(1)), length)
+                g = grams(np.frombuffer(b"".join(raw), np.uint8).astype(U) + U(1), length)
                 at = (ends - [len(b) for b in raw])[row] + off
                 take = pa.array(row)
                 start = part.column("start").to_numpy(zero_copy_only=False)[row] + off

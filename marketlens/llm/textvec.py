@@ -44,10 +44,11 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> U(30))
-    h = h * U(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> U(27))
-    h = h * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
+    h *= U(0xBF58476D1CE4E5B9)
+    h ^= h >> U(27)
+    h *= U(0x94D049BB133111EB)
+    h ^= h >> U(31)
+    return h
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,20 +112,33 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
-def run_hash(x: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """Hash of the symbol runs x[start:end] (any spans) from one running total over x."""
-    up, down = powers(len(x) + 1, base)
-    total = np.zeros(len(x) + 1, U)
-    np.cumsum(x * up[: len(x)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(_BASE2))
+class Runs:
+    """Hashes of runs of symbols, from one running total over all of them."""
 
+    def __init__(self, x: np.ndarray, base: int = _BASE):
+        up, self.down = powers(len(x) + 1, base)
+        self.total = np.zeros(len(x) + 1, U)
+        np.cumsum(x * up[: len(x)], out=self.total[1:])
 
-def grams(x: np.ndarray, n: int, base: int = _BASE) -> np.ndarray:
-    """Hash of every n consecutive symbols (across text bounds too; callers mask those)."""
-    if len(x) < n:
-        return np.zeros(0, U)
-    i = np.arange(len(x) - n + 1)
-    return run_hash(x, i, i + n, base)
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of x[start:end] for any spans."""
+        return mix((self.total[end] - self.total[start]) * self.down[start] + (end - start).astype(U) * U(_BASE2))
+
+    def grams(self, n: int) -> np.ndarray:
+        """Hash of every n consecutive symbols (across text bounds too; callers mask those)."""
+        m = max(0, len(self.total) - n)
+        h = self.total[n:] - self.total[:m]
+        h *= self.down[:m]
+        h += U((n * _BASE2) & _MASK)
+        return mix(h)
+
+
+def run_hash(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return Runs(x).hash(start, end)
+
+
+def grams(x: np.ndarray, n: int) -> np.ndarray:
+    return Runs(x).grams(n)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

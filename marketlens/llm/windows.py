@@ -12,24 +12,30 @@ from __future__ import annotations
 
 import numpy as np
 
-from marketlens.llm.textvec import U, grams, run_hash, sliding_min
+from marketlens.llm.textvec import Runs, U, sliding_min
 
 
-def window_blocks(x: np.ndarray, bounds: np.ndarray, width: int, k: int) -> dict[str, np.ndarray]:
-    """Blocks of the texts x[bounds[i]:bounds[i+1]]: row, start (symbols from the text's
+def window_blocks(runs: Runs, bounds: np.ndarray, width: int, k: int) -> dict[str, np.ndarray]:
+    """Blocks of the texts, the symbols bounds[i] to bounds[i+1] of ``runs``: row, start (symbols from the text's
     start), n (windows), gram (place of the key's gram), key and hash (of all symbols of the
     block), in text order."""
-    n_windows = len(x) - width + 1
+    n_windows = len(runs.total) - width
     if n_windows <= 0:
         empty = np.zeros(0, np.int64)
         return {"row": empty, "start": empty, "n": empty, "gram": empty, "key": np.zeros(0, U), "hash": np.zeros(0, U)}
-    g = grams(x, k)
+    g = runs.grams(k)
     bits = U(max(20, len(g).bit_length()))
     low = U((1 << int(bits)) - 1)
-    packed = (g & ~low) | np.arange(len(g), dtype=U)
+    packed = g & ~low
+    packed |= np.arange(len(g), dtype=U)
     least = sliding_min(packed, width - k + 1)
+    # a window has room if no text ends inside it
+    room = np.zeros(n_windows + 1, np.int32)
     sizes = np.diff(bounds)
-    room = np.repeat(bounds[1:], sizes)[:n_windows] - np.arange(n_windows) >= width
+    fits = sizes >= width
+    room[bounds[:-1][fits]] += 1
+    room[bounds[:-1][fits] + sizes[fits] - width + 1] -= 1
+    room = np.cumsum(room[:-1], dtype=np.int32) > 0
     new = np.ones(n_windows, bool)
     new[1:] = (least[1:] != least[:-1]) | (room[1:] != room[:-1])
     edges = np.flatnonzero(new)
@@ -38,4 +44,4 @@ def window_blocks(x: np.ndarray, bounds: np.ndarray, width: int, k: int) -> dict
     start, n = edges[keep], (ends - edges)[keep]
     row = np.searchsorted(bounds, start, side="right") - 1
     gram = (least[start] & low).astype(np.int64)
-    return {"row": row, "start": start - bounds[row], "n": n, "gram": gram - bounds[row], "key": g[gram], "hash": run_hash(x, start, start + n - 1 + width)}
+    return {"row": row, "start": start - bounds[row], "n": n, "gram": gram - bounds[row], "key": g[gram], "hash": runs.hash(start, start + n - 1 + width)}
