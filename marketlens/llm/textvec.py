@@ -15,6 +15,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Word bytes are kept, 0 separates: words are runs without ASCII white space.
 PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[0] = 0xFF  # a NUL is a word byte, too; 0xFF does not occur in UTF-8
 PLAIN[[0x20, *range(0x09, 0x0E)]] = 0
 #: The same with A-Z lower-cased.
 LOWER = PLAIN.copy()
@@ -93,7 +94,7 @@ class Words:
         return self._hash
 
     def bytes_of(self, i: int) -> bytes:
-        return self.data[self.start[i] : self.end[i]].tobytes()
+        return self.raw[self.start[i] : self.end[i]].tobytes()
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
