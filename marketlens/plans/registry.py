@@ -8,9 +8,6 @@ derived data ends in 1998, so the recency reference date is
 
 from __future__ import annotations
 
-import os
-import threading
-import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,42 +15,30 @@ from pyspark.sql import DataFrame, SparkSession
 from marketlens.functions.rules import TESTDATA_AS_OF
 from marketlens.operators import customers, delivery, payments, quality, report, revenue, sellers
 from marketlens.plans import oracle
-from marketlens.sources.marts import default_buckets, marts_root, publish_marts
+from marketlens.sources.marts import open_marts
 from marketlens.sources.tables import Tables
 from marketlens.sources.testdata import from_testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Set to False to run every query straight on the derivation (no ingest step).
-USE_MARTS = os.environ.get("MARKETLENS_MARTS", "1") != "0"
+#: Input directory -> root of marts published from it (see ``use_marts``).
+_MARTS: dict[str, str] = {}
 
-_PUBLISHED: dict[tuple[int, str], Tables] = {}
-_PUBLISH_LOCK = threading.Lock()
+
+def use_marts(sf_dir: str, root: str | None) -> None:
+    """From now on queries on ``sf_dir`` read the marts published at ``root``
+    (``sources.marts.publish_marts``); None goes back to the derivation."""
+    if root is None:
+        _MARTS.pop(sf_dir.rstrip("/"), None)
+    else:
+        _MARTS[sf_dir.rstrip("/")] = root
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
-    """The eight tables for ``sf_dir``.
-
-    By default they are derived from the raw parquet by Spark and published
-    once per session as marts (bucketed on ``order_id``) in the shared
-    checkpoint folder, like the reference's one-time load; later queries in
-    the session read the marts.  Every query still reads the whole tables.
-    """
-    if not USE_MARTS:
-        return from_testdata(spark, sf_dir)
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
-    with _PUBLISH_LOCK:
-        return _PUBLISHED[key] if key in _PUBLISHED else _publish(spark, sf_dir, key)
-
-
-def _publish(spark: SparkSession, sf_dir: str, key: tuple[int, str]) -> Tables:
-    derived = from_testdata(spark, sf_dir, reuse=False)
-    try:
-        _PUBLISHED[key] = publish_marts(derived, marts_root(spark), default_buckets(spark, derived))
-    except Exception as exc:  # e.g. no writable shared folder or catalog: same results, no layout
-        warnings.warn(f"marts not published ({exc!r:.200}); querying the derivation directly")
-        _PUBLISHED[key] = derived
-    return _PUBLISHED[key]
+    """The eight tables for ``sf_dir``: published marts if the caller named some,
+    otherwise lazy projections of the raw tables.  Nothing is written here."""
+    root = _MARTS.get(sf_dir.rstrip("/"))
+    return open_marts(spark, root) if root else from_testdata(spark, sf_dir)
 
 
 def _on_testdata(job: Callable[[Tables], DataFrame]) -> Query:

@@ -79,8 +79,7 @@ def corrupt_row_counts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def ingest_csv(spark: SparkSession, paths: dict[str, str], out_root: str, lenient: bool = True, buckets: int | None = None) -> Tables:
-    """CSV exports -> published marts (Parquet; order-keyed tables bucketed on order_id)."""
-    from marketlens.sources.marts import default_buckets, publish_marts
+    """CSV exports -> published marts (Parquet; with ``buckets`` order-keyed tables are bucketed on order_id)."""
+    from marketlens.sources.marts import publish_marts
 
-    tables = load_csv(spark, paths, lenient)
-    return publish_marts(tables, out_root, buckets or default_buckets(spark, tables))
+    return publish_marts(load_csv(spark, paths, lenient), out_root, buckets)

@@ -1,25 +1,21 @@
-"""Published marts: the eight tables written once, laid out for the joins.
+"""Published marts: the eight tables written once, for many queries.
 
 The reference loads its tables once and then runs every statement against
-them; this is the same step.  ``orders``, ``order_items``, ``reviews`` and
-``payments`` are all joined on ``order_id``, so they are written bucketed
-and sorted on it with one bucket count: joins and per-order aggregates
-between them then need no shuffle at all (sort-merge join on co-located
-buckets).  The dimensions are plain Parquet.
-
-Bucketing only behind a skew check: a bucket is read by exactly one task
-and a shuffle-free join cannot be split by AQE, so if one ``order_id`` (or
-bucket) holds a large share of a table, bucketing would serialise it.
-Before writing, the exact bucket sizes are measured (Spark's bucket id is
-``pmod(murmur3(order_id), n)``, i.e. ``F.hash``) with one partial aggregate
-per table; if any bucket exceeds ``max_bucket_skew`` × the mean, all four
-tables are written unbucketed instead (files sorted by ``order_id``, split
-freely on read), and hot keys are left to partial aggregation and AQE's
-skew-join splitting.
-
-Marts live under the cluster's shared ``spark.checkpoint.dir`` (never a
-machine-local folder), in a fresh sub-folder per publication, so a stale
-copy from another run is never read.
+them; this is the same step, and it happens only when a caller asks for it.
+``publish_marts`` writes the tables under a root of the caller's choice and
+``open_marts`` reads them in any later session.
+
+``orders``, ``order_items``, ``reviews`` and ``payments`` are all joined on
+``order_id``.  With ``buckets`` they are written bucketed on it, so joins and
+per-order aggregates between them need no shuffle.  A bucket is read by one
+task and a shuffle-free join cannot be split by AQE, so the choice is the
+caller's: ``suggested_buckets`` gives a count for a table size, and
+``bucket_skews`` measures how even the buckets would be.  Without ``buckets``
+the tables are plain Parquet and hot keys are left to partial aggregation
+and AQE's skew-join splitting.
+
+Bucketed reads need the tables in the session's catalog; ``drop_marts`` takes
+them out of it again (the files stay).
 """
 
 from __future__ import annotations
@@ -69,20 +65,18 @@ def bucket_skews(frames: dict[str, DataFrame], buckets: int, key: str = "order_i
     return out
 
 
-def publish_marts(t: Tables, root: str, buckets: int, max_bucket_skew: float | None = 4.0) -> Tables:
+def publish_marts(t: Tables, root: str, buckets: int | None = None) -> Tables:
     """Write every table under ``root`` and return Tables reading them back.
 
-    ``max_bucket_skew=None`` buckets without checking.
+    ``buckets``: number of ``order_id`` buckets of the order-keyed tables; None writes
+    plain files.  A failing write raises.
     """
     spark = t.spark
     root = root.rstrip("/")
-    bucketed = max_bucket_skew is None or all(
-        skew <= max_bucket_skew for skew in bucket_skews({n: getattr(t, n) for n in ORDER_KEYED}, buckets).values()
-    )
 
     def write(name: str, df: DataFrame) -> None:
         path = f"{root}/{name}"
-        if name in ORDER_KEYED and bucketed:
+        if name in ORDER_KEYED and buckets:
             # Hash partitioning on order_id with the bucket count puts each
             # bucket in one task, so each bucket is one file (not one per task).
             (
@@ -90,13 +84,10 @@ def publish_marts(t: Tables, root: str, buckets: int, max_bucket_skew: float | N
                 .write.mode("overwrite")
                 .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
                 .bucketBy(buckets, "order_id")
-                .sortBy("order_id")
                 .option("path", path)
                 .saveAsTable(_table_name(root, name))
             )
         else:
-            if name in ORDER_KEYED:
-                df = df.sortWithinPartitions("order_id")
             df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).parquet(path)
 
     # The eight writes are independent Spark jobs; submitting them together
@@ -104,7 +95,7 @@ def publish_marts(t: Tables, root: str, buckets: int, max_bucket_skew: float | N
     with ThreadPoolExecutor(max_workers=4) as pool:
         for f in [pool.submit(write, name, df) for name, df in t.as_dict().items()]:
             f.result()
-    spark.createDataFrame([(bucketed, buckets)], "bucketed boolean, buckets int").write.mode("overwrite").json(f"{root}/_layout")
+    spark.createDataFrame([(buckets or 0,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{root}/_layout")
     return open_marts(spark, root)
 
 
@@ -112,18 +103,17 @@ def open_marts(spark: SparkSession, root: str) -> Tables:
     """Tables over published marts; registers the bucketed tables if this
     session's catalog does not know them yet."""
     root = root.rstrip("/")
-    layout = spark.read.schema("bucketed boolean, buckets int").json(f"{root}/_layout").first()
+    buckets = spark.read.schema("buckets int").json(f"{root}/_layout").first().buckets
     frames: dict[str, DataFrame] = {}
     for name, schema in SCHEMAS.items():
         path = f"{root}/{name}"
-        if name in ORDER_KEYED and layout.bucketed:
-            buckets = layout.buckets
+        if name in ORDER_KEYED and buckets:
             table = _table_name(root, name)
             if not spark.catalog.tableExists(table):
                 cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
                 spark.sql(
                     f"CREATE TABLE {table} ({cols}) USING parquet "
-                    f"CLUSTERED BY (order_id) SORTED BY (order_id) INTO {buckets} BUCKETS LOCATION '{path}'"
+                    f"CLUSTERED BY (order_id) INTO {buckets} BUCKETS LOCATION '{path}'"
                 )
             frames[name] = spark.table(table).select([f.name for f in schema])
         else:
@@ -131,23 +121,21 @@ def open_marts(spark: SparkSession, root: str) -> Tables:
     return Tables(**frames)
 
 
+def drop_marts(spark: SparkSession, root: str) -> None:
+    """Take the tables of ``root`` out of the session's catalog; their files stay."""
+    for name in ORDER_KEYED:
+        spark.sql(f"DROP TABLE IF EXISTS {_table_name(root.rstrip('/'), name)}")
+
+
 def marts_root(spark: SparkSession) -> str:
     """A fresh folder for one publication inside the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/marts/{uuid.uuid4().hex}"
 
 
 TARGET_BUCKET_BYTES = 256 * 1024 * 1024
-MAX_BUCKETS = 65536
-
-
-def default_buckets(spark: SparkSession, t: Tables | None = None) -> int:
-    """Bucket count: about one bucket per 256 MB of line items (Catalyst's size
-    estimate, no data read), at least one per core, at most 65536."""
-    floor = spark.sparkContext.defaultParallelism
-    if t is None:
-        return floor
-    try:
-        size = int(str(t.order_items._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return floor
-    return max(floor, min(MAX_BUCKETS, -(-size // TARGET_BUCKET_BYTES)))
+
+
+def suggested_buckets(items_bytes: int, cores: int) -> int:
+    """One bucket per 256 MB of line items, and at least one per core: a bucket's
+    size does not grow with the table."""
+    return max(cores, -(-items_bytes // TARGET_BUCKET_BYTES))

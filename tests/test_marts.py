@@ -1,13 +1,19 @@
-"""Published marts: bucketed when keys are even, unbucketed when one key is hot."""
+"""Published marts: written when asked, read back in any session, nothing behind a caller's back."""
 
 from __future__ import annotations
 
 import datetime as dt
+import os
 from decimal import Decimal as D
 
+import pytest
+from conftest import SF001
+
 from marketlens.operators import revenue, sellers
-from marketlens.sources.marts import bucket_skew, publish_marts
+from marketlens.plans import registry
+from marketlens.sources.marts import bucket_skew, drop_marts, open_marts, publish_marts, suggested_buckets
 from marketlens.sources.tables import from_rows
+from marketlens.sources.testdata import from_testdata
 
 TS = dt.datetime(2018, 1, 1)
 
@@ -32,18 +38,52 @@ def _is_bucketed(t) -> bool:
     return "Bucketed: true" in plan
 
 
-def test_even_keys_are_bucketed(spark, tmp_path):
-    t = _tables(spark, hot=False)
-    assert bucket_skew(t.order_items, 4) <= 4.0
-    m = publish_marts(t, str(tmp_path / "even"), 4)
-    assert _is_bucketed(m)
-    assert sorted(revenue.revenue_leakage_by_status(m).collect()) == sorted(revenue.revenue_leakage_by_status(t).collect())
-
-
-def test_hot_key_falls_back_to_unbucketed(spark, tmp_path):
-    t = _tables(spark, hot=True)
-    assert bucket_skew(t.order_items, 4) > 2.0
-    m = publish_marts(t, str(tmp_path / "hot"), 4, max_bucket_skew=2.0)
-    assert not _is_bucketed(m)
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_layout_is_the_callers_choice(spark, tmp_path, hot, buckets):
+    t = _tables(spark, hot)
+    root = str(tmp_path / "m")
+    m = publish_marts(t, root, buckets)
+    assert _is_bucketed(m) == bool(buckets)
     for job in (revenue.revenue_leakage_by_status, lambda x: sellers.seller_category_benchmark(x, min_orders=1)):
         assert sorted(job(m).collect()) == sorted(job(t).collect())
+    drop_marts(spark, root)  # the files stay and can be opened again
+    assert open_marts(spark, root).order_items.count() == t.order_items.count()
+    drop_marts(spark, root)
+
+
+def test_skew_is_reported(spark):
+    assert bucket_skew(_tables(spark, False).order_items, 4) <= 4.0 < bucket_skew(_tables(spark, True).order_items, 8)
+
+
+def test_suggested_buckets_follow_the_size():
+    assert suggested_buckets(10, 8) == 8
+    assert suggested_buckets(100 << 40, 8) == (100 << 40) // (256 << 20)
+
+
+def test_a_failing_publish_raises(spark, tmp_path):
+    (tmp_path / "file").write_text("")
+    with pytest.raises(Exception):
+        publish_marts(_tables(spark, False), str(tmp_path / "file" / "below"))
+
+
+def test_a_query_writes_nothing_and_reads_its_columns(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = sorted(os.listdir(root))
+    df = registry.QUERIES["order_status_breakdown"](spark, SF001)
+    assert df.count() > 0
+    assert sorted(os.listdir(root)) == before
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_orderkey:" in plan and plan.count("FileScan") == plan.count("ReadSchema: struct<o_orderkey:bigint>")
+
+
+def test_queries_read_named_marts(spark, tmp_path):
+    root = str(tmp_path / "m")
+    publish_marts(from_testdata(spark, SF001), root)
+    want = registry.QUERIES["payment_type_breakdown"](spark, SF001).collect()
+    registry.use_marts(SF001, root)
+    try:
+        got = registry.QUERIES["payment_type_breakdown"](spark, SF001)
+        assert root in " ".join(got.inputFiles()) and got.collect() == want
+    finally:
+        registry.use_marts(SF001, None)
