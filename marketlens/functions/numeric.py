@@ -58,4 +58,4 @@ def as_dec2(x: ColumnOrName) -> Column:
 
 def as_dec10(x: ColumnOrName) -> Column:
     """A DOUBLE ratio pinned to ten places before it is summed."""
-    return _c(x).cast("decimal(18,10)")
+    return _c(x).cast("decimal(38,10)")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,7 +64,8 @@ TESTDATA_AS_OF = dt.date(2001, 8, 31)
 
 
 def _lit_dec(v: float) -> Column:
-    return F.lit(str(v)).cast("decimal(12,2)")
+    """The threshold as the exact decimal it is written as."""
+    return F.lit(Decimal(str(v)))
 
 
 @dataclass(frozen=True)
@@ -85,9 +87,18 @@ class DeliveryRule:
     slight_days: int = 7
     very_days: int = 30
 
+    def names(self) -> tuple[str, str, str, str]:
+        """The labels; with the published thresholds they are DELIVERY_LABELS."""
+        return (
+            DELIVERY_ON_TIME,
+            f"slightly late (1-{self.slight_days} days)",
+            f"very late ({self.slight_days + 1}-{self.very_days} days)",
+            f"critically late ({self.very_days}+ days)",
+        )
+
     def label(self, delivered: Column, estimated: Column, tiered: bool = False) -> Column:
         days = F.datediff(delivered, estimated)
-        names = [f"{i} — {n}" for i, n in enumerate(DELIVERY_LABELS, 1)] if tiered else list(DELIVERY_LABELS)
+        names = [f"{i} — {n}" for i, n in enumerate(self.names(), 1)] if tiered else list(self.names())
         return (
             F.when(delivered <= estimated, names[0])
             .when(days <= self.slight_days, names[1])
@@ -99,7 +110,7 @@ class DeliveryRule:
 @dataclass(frozen=True)
 class RfmRule:
     recency_days: tuple[int, int, int] = (90, 180, 270)  # <= each -> 4, 3, 2; else 1
-    frequency_orders: tuple[int, int, int] = (3, 2, 1)  # >= 3 -> 4, = 2 -> 3, = 1 -> 2; else 1
+    frequency_orders: tuple[int, int, int] = (3, 2, 1)  # >= each -> 4, 3, 2; else 1
     monetary: tuple[float, float, float] = (500, 200, 100)  # >= each -> 4, 3, 2; else 1
 
     def recency_score(self, days: Column) -> Column:
@@ -108,7 +119,7 @@ class RfmRule:
 
     def frequency_score(self, orders: Column) -> Column:
         a, b, c = self.frequency_orders
-        return F.when(orders >= a, 4).when(orders == b, 3).when(orders == c, 2).otherwise(1)
+        return F.when(orders >= a, 4).when(orders >= b, 3).when(orders >= c, 2).otherwise(1)
 
     def monetary_score(self, spend: Column) -> Column:
         a, b, c = self.monetary
@@ -121,15 +132,21 @@ class SegmentRuleA:
 
     champion_total: int = 10
     loyal_total: int = 8
+    promising_recency: int = 3
+    promising_frequency: int = 2
+    at_risk_recency: int = 2
+    at_risk_frequency: int = 3
+    cannot_lose_recency: int = 1
+    cannot_lose_monetary: int = 3
 
     def label(self, r: Column, f: Column, m: Column) -> Column:
         total = r + f + m
         return (
             F.when(total >= self.champion_total, SEG_CHAMPION)
             .when(total >= self.loyal_total, SEG_LOYAL)
-            .when((r >= 3) & (f <= 2), SEG_PROMISING)
-            .when((r <= 2) & (f >= 3), SEG_AT_RISK)
-            .when((r == 1) & (m >= 3), SEG_CANNOT_LOSE)
+            .when((r >= self.promising_recency) & (f <= self.promising_frequency), SEG_PROMISING)
+            .when((r <= self.at_risk_recency) & (f >= self.at_risk_frequency), SEG_AT_RISK)
+            .when((r <= self.cannot_lose_recency) & (m >= self.cannot_lose_monetary), SEG_CANNOT_LOSE)
             .otherwise(SEG_LOST)
         )
 
@@ -141,6 +158,7 @@ class SegmentRuleB:
     champion_total: int = 10
     loyal_total: int = 8
     promising_days: int = 180
+    promising_orders: int = 1
     cold_days: int = 270
     at_risk_orders: int = 3
     cannot_lose_spend: float = 500
@@ -150,7 +168,7 @@ class SegmentRuleB:
         return (
             F.when(total >= self.champion_total, SEG_CHAMPION)
             .when(total >= self.loyal_total, SEG_LOYAL)
-            .when((days <= self.promising_days) & (orders == 1), SEG_PROMISING)
+            .when((days <= self.promising_days) & (orders <= self.promising_orders), SEG_PROMISING)
             .when((days > self.cold_days) & (orders >= self.at_risk_orders), SEG_AT_RISK)
             .when((days > self.cold_days) & (spend >= self.cannot_lose_spend), SEG_CANNOT_LOSE)
             .otherwise(SEG_LOST)
