@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from marketlens.functions.numeric import as_dec10, avg2, pct, r, ratio
 from marketlens.functions.rules import DELIVERED, DeliveryRule
 from marketlens.operators.common import (
-    checkpoint_once,
     fanout_weight,
     review_score_cnt,
     review_score_sum,
@@ -38,12 +37,8 @@ def delivered_orders(t: Tables, delivered: str = DELIVERED) -> DataFrame:
 def late_delivery_orders(t: Tables, rule: DeliveryRule = DeliveryRule(), k: int | None = 20) -> DataFrame:
     """Delivered orders × their reviews, worst delay first.
 
-    With ``k`` set, the k latest orders are chosen first (every order yields
-    at least one joined row, so the top k joined rows come from them); only
-    reviews of those k orders are then read through a broadcast semi-join of
-    at most k keys.  The whole reviews table is never shuffled.  The k rows
-    are checkpointed (shared checkpoint folder) because they are used twice:
-    otherwise the orders scan and its top-k would run once per use.
+    One join on order_id (co-located on order-keyed marts) under a top-k:
+    nothing runs until the result is read, and each table is read once.
     """
     orders = delivered_orders(t).select(
         "order_id",
@@ -56,9 +51,6 @@ def late_delivery_orders(t: Tables, rule: DeliveryRule = DeliveryRule(), k: int
     )
     order_rank = [F.col("days_late").desc_nulls_last(), F.col("order_id").asc_nulls_first()]
     reviews = t.reviews.select("order_id", "review_score")
-    if k is not None:
-        orders = checkpoint_once(top_k(orders, order_rank, k))
-        reviews = reviews.join(F.broadcast(orders.select("order_id")), "order_id", "left_semi")
     joined = orders.join(reviews, "order_id", "left").select(
         "order_id",
         "order_status",
