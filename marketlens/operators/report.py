@@ -11,16 +11,17 @@ formatted by Spark expressions after the numbers are rounded.
 from __future__ import annotations
 
 import datetime as dt
-from collections import OrderedDict
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import rules as R
-from marketlens.functions.numeric import r, ratio
-from marketlens.operators import customers, delivery, payments, revenue, sellers
-from marketlens.operators.common import checkpoint_once, review_score_cnt, review_score_sum, review_stats, sort_small
+from marketlens.functions import published as P
+from marketlens.functions.numeric import as_dec2, avg2, pct, r, ratio
+from marketlens.operators import delivery, payments, revenue, sellers
+from marketlens.operators.common import checkpoint_once, fanout_weight, review_score_cnt, review_score_sum, review_stats, sort_small
 from marketlens.sources.tables import Tables
 
 
@@ -58,6 +59,26 @@ def na(x: Column) -> Column:
 
 # ---------------------------------------------------------------- figures
 
+@dataclass(frozen=True)
+class SummaryRules:
+    """Every threshold and status of the analyses behind the summary."""
+
+    delivery: R.DeliveryRule = R.DeliveryRule()
+    rfm: R.RfmRule = R.RfmRule()
+    segments: R.SegmentRuleB = R.SegmentRuleB()
+    seller: R.SellerRule = R.SellerRule()
+    payment: R.PaymentRiskRule = R.PaymentRiskRule()
+    cancelled: str = R.CANCELED
+    delivered: str = R.DELIVERED
+    excluded: tuple[str, ...] = R.EXCLUDED_STATUSES
+    pipeline: tuple[str, ...] = R.PIPELINE_STATUSES
+    credit: str = R.CREDIT_CARD
+    min_orders: int = 10
+
+
+DEFAULT_RULES = SummaryRules()
+
+
 def _pick(label_col: str, label: str, value_col: str, agg=F.max) -> Column:
     return agg(F.when(F.col(label_col) == label, F.col(value_col)))
 
@@ -67,109 +88,161 @@ def _side_by_side(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)
 
 
-_FIGURES_PLANS: OrderedDict[tuple[int, str], tuple[Tables, DataFrame]] = OrderedDict()
-_FIGURES_PLANS_MAX = 8
+def _order_facts(t: Tables, rules: SummaryRules) -> DataFrame:
+    """One row per order (or order id of items): status, dates, item sums, review stats, person."""
+    orders = t.orders.select(
+        "order_id",
+        "customer_id",
+        F.lit(1).alias("is_order"),
+        "order_status",
+        F.col("order_purchase_timestamp").alias("bought"),
+        F.col(delivery.DELIVERED_AT).alias("arrived"),
+        F.col(delivery.ESTIMATED_AT).alias("promised"),
+    )
+    items = t.order_items.groupBy("order_id").agg(
+        F.sum("price").alias("price_sum"), F.count("price").alias("price_cnt"), F.count(F.lit(1)).alias("items")
+    )
+    people = t.customers.select("customer_id", "customer_unique_id", F.lit(1).alias("known"))
+    return orders.join(items, "order_id", "full").join(review_stats(t.reviews), "order_id", "left").join(people, "customer_id", "left")
 
 
-def figures(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFrame:
-    """One row with every number the summary needs.
+def _order_figures(t: Tables, as_of: dt.date | str, rules: SummaryRules) -> DataFrame:
+    """Revenue, delivery and customer figures from one pass over orders, items and reviews.
 
-    The (lazy) plan is built once per tables object and date, like a
-    prepared statement: building it takes thousands of driver-side calls.
-    Nothing is cached but the plan; every query on top of it is planned and
-    executed in full.
+    Every order goes to up to three groups: its status and delivery tier, its person and,
+    if critically late, its delivery date.  One aggregation makes all groups, a second one
+    the figures.
     """
-    key = (id(t), str(as_of))
-    hit = _FIGURES_PLANS.get(key)
-    if hit is None or hit[0] is not t:  # the entry holds t, so its id cannot be reused meanwhile
-        hit = (t, _build_figures(t, as_of))
-        _FIGURES_PLANS[key] = hit
-        while len(_FIGURES_PLANS) > _FIGURES_PLANS_MAX:
-            _FIGURES_PLANS.popitem(last=False)
-    _FIGURES_PLANS.move_to_end(key)
-    return hit[1]
-
-
-def _build_figures(t: Tables, as_of: dt.date | str) -> DataFrame:
-    # Revenue figures and the item average come from one per-status rollup
-    # (exact decimal sums); a status's rounded P02 value is r(its sum).
-    rollup = revenue.status_rollup(t)
-    status = F.col("order_status")
-    pipeline = status.isin(*R.PIPELINE_STATUSES)
-    rev = rollup.agg(
-        r(F.sum("price_sum")).alias("gross_revenue"),
-        r(F.max(F.when(status == R.CANCELED, F.col("price_sum")))).alias("cancel_revenue"),
-        F.max(F.when(status == R.CANCELED, F.col("total_orders"))).alias("cancel_orders"),
-        r(F.sum(F.when(pipeline, F.col("price_sum")))).alias("pipeline_revenue"),
-        F.sum(F.when(pipeline, F.col("total_orders"))).alias("pipeline_orders"),
-        F.sum("total_orders").alias("orders_with_items"),
-        r(ratio(F.sum("price_sum"), F.sum("price_cnt"))).alias("avg_item_price"),
+    c = F.col
+    status = c("order_status")
+    late = F.datediff("arrived", "promised")
+    dated = (status == rules.delivered) & c("arrived").isNotNull() & c("promised").isNotNull()
+    tier = F.when(dated, F.substring(rules.delivery.label(c("arrived"), c("promised"), tiered=True), 1, 1))
+    kept = (c("is_order") == 1) & ~status.isin(*rules.excluded)
+    none = F.lit(None).cast("string")
+    grain = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    groups = F.array(
+        grain("status", status, tier),
+        F.when(kept & (c("known") == 1), grain("person", c("customer_unique_id"), none)),
+        F.when(tier == "4", grain("date", F.to_date("arrived").cast("string"), none)),
+    )
+    has_items = (c("is_order") == 1) & c("items").isNotNull()
+    w = fanout_weight()
+    rows = _order_facts(t, rules).withColumn("late", late).withColumn("w", w).withColumn("has_items", has_items).withColumn("g", F.explode(groups))
+    grouped = rows.where(c("g").isNotNull()).groupBy("g.kind", "g.a", "g.b").agg(
+        F.sum("is_order").alias("n"),
+        F.count(F.when(c("has_items"), 1)).alias("n_items"),
+        F.sum(F.when(c("has_items"), c("price_sum"))).alias("price_sum"),
+        F.sum(F.when(c("has_items"), c("price_cnt"))).alias("price_cnt"),
+        F.sum(F.when(c("is_order") == 1, c("w"))).alias("w"),
+        F.sum(F.when(c("is_order") == 1, review_score_sum())).alias("rv_sum"),
+        F.sum(F.when(c("is_order") == 1, review_score_cnt())).alias("rv_cnt"),
+        F.sum(c("items") * review_score_sum()).alias("item_rv_sum"),
+        F.sum(c("items") * review_score_cnt()).alias("item_rv_cnt"),
+        F.min("late").alias("least_late"),
+        F.max("late").alias("most_late"),
+        F.max(F.struct("late", F.to_date("arrived").alias("on"))).alias("worst"),
+        F.max(F.when(c("has_items"), c("bought"))).alias("last_bought"),
     )
-    p01 = revenue.order_status_breakdown(t).agg(
-        _pick("order_status", R.CANCELED, "percentage_of_all_orders").alias("cancel_share_pct")
+    copies = t.customers.groupBy("customer_unique_id").agg(F.count(F.lit(1)).alias("customer_rows"))
+    grouped = grouped.join(copies, (c("kind") == "person") & (c("a") == c("customer_unique_id")), "left")
+
+    is_status, is_person = c("kind") == "status", c("kind") == "person"
+    spend, days = r("price_sum"), F.datediff(F.lit(str(as_of)).cast("date"), c("last_bought"))
+    segment = rules.segments.label(rules.rfm.recency_score(c("days")), rules.rfm.frequency_score(c("n_items")), rules.rfm.monetary_score(c("spend")), c("days"), c("n_items"), c("spend"))
+    grouped = grouped.withColumns({"spend": spend, "days": days}).withColumn("segment", F.when(is_person & (c("n_items") > 0), segment))
+
+    def of(condition: Column, value: Column | str) -> Column:
+        return F.sum(F.when(condition, c(value) if isinstance(value, str) else value))
+
+    cancelled = is_status & (c("a") == rules.cancelled)
+    pipeline = is_status & c("a").isin(*rules.pipeline)
+    on_time, critical = is_status & (c("b") == "1"), is_status & (c("b") == "4")
+    some = is_status & (c("n_items") > 0)
+    person = is_person & c("a").isNotNull()
+    champion, cold = c("segment") == R.SEG_CHAMPION, c("segment") == R.SEG_CANNOT_LOSE
+
+    def mean(condition: Column, value: Column, n: int = 2) -> Column:
+        return r(ratio(of(condition, value), F.count(F.when(condition, value))), n)
+
+    repeat = of(person, F.when(c("n") >= 2, c("customer_rows")).otherwise(0)).cast("bigint")
+    date = F.max(F.when(c("kind") == "date", F.struct(c("n"), c("a").alias("on"), "least_late", "most_late")))
+    figures = grouped.agg(
+        r(of(some, "price_sum")).alias("gross_revenue"),
+        r(of(cancelled & some, "price_sum")).alias("cancel_revenue"),
+        of(cancelled & some, "n_items").alias("cancel_orders"),
+        r(of(pipeline & some, "price_sum")).alias("pipeline_revenue"),
+        of(pipeline & some, "n_items").alias("pipeline_orders"),
+        of(some, "n_items").alias("orders_with_items"),
+        r(ratio(of(some, "price_sum"), of(some, "price_cnt"))).alias("avg_item_price"),
+        pct(of(cancelled, "n"), of(is_status, "n")).alias("cancel_share_pct"),
+        pct(of(on_time, "w"), of(is_status & c("b").isNotNull(), "n")).alias("on_time_pct"),
+        r(ratio(of(on_time, "rv_sum"), of(on_time, "rv_cnt"))).alias("on_time_review"),
+        r(ratio(of(critical, "rv_sum"), of(critical, "rv_cnt"))).alias("critical_review"),
+        of(critical, "w").alias("critical_rows"),
+        F.max(F.when(is_status & c("b").isNotNull(), c("worst"))).alias("worst"),
+        date.alias("date"),
+        F.count(F.when(person, 1)).alias("total_unique_customers"),
+        repeat.alias("repeat_customers"),
+        pct(repeat, F.count(F.when(person, 1))).alias("retention_rate_pct"),
+        of(champion, F.lit(1)).alias("champions"),
+        mean(champion, as_dec2("spend")).alias("champion_spend"),
+        of(cold, F.lit(1)).alias("cold_customers"),
+        mean(cold, as_dec2("spend")).alias("cold_spend"),
+        mean(cold, c("days"), 0).alias("cold_days"),
+        r(ratio(of(is_status, "item_rv_sum"), of(is_status, "item_rv_cnt"))).alias("platform_review"),
     )
+    return figures.select(
+        "*",
+        c("worst.late").alias("worst_delay_days"),
+        F.year("worst.on").alias("worst_year"),
+        c("date.on").alias("date_on"),
+        c("date.n").alias("date_orders"),
+        c("date.least_late").alias("date_least"),
+        c("date.most_late").alias("date_most"),
+    ).drop("worst", "date")
+
+
+def figures(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF, rules: SummaryRules = DEFAULT_RULES) -> DataFrame:
+    """One row with every number the summary needs."""
     # Top-5 loss categories once; the first of them by the report order
     # (loss desc, category asc with NULL first) is the top category.
-    top5 = revenue.category_margin_risk(t, k=5)
     first = F.min_by(
         F.struct("product_category_name", "avg_freight_pct"),
         F.struct((-F.col("total_money_lost")).alias("neg_loss"), F.col("product_category_name")),
     )
-    freight = top5.agg(r(F.sum("total_money_lost")).alias("freight_loss_top5"), first.alias("top1")).select(
+    freight = revenue.category_margin_risk(t, k=5).agg(r(F.sum("total_money_lost")).alias("freight_loss_top5"), first.alias("top1")).select(
         "freight_loss_top5",
         F.col("top1.product_category_name").alias("top_freight_category"),
         F.col("top1.avg_freight_pct").alias("top_freight_pct"),
     )
-
-    p07 = delivery.delivery_scorecard(t)
-    tier = F.col("delivery_tier")
-    dlv = p07.agg(
-        F.max(F.when(tier.startswith("1 "), F.col("pct_of_delivered"))).alias("on_time_pct"),
-        F.max(F.when(tier.startswith("1 "), F.col("avg_review_score"))).alias("on_time_review"),
-        F.max(F.when(tier.startswith("4 "), F.col("avg_review_score"))).alias("critical_review"),
-        F.max(F.when(tier.startswith("4 "), F.col("total_orders"))).alias("critical_rows"),
-    )
-    worst = delivery.delivered_orders(t).agg(
-        F.max(F.datediff(delivery.DELIVERED_AT, delivery.ESTIMATED_AT)).alias("worst_delay_days")
-    )
-
-    ret = customers.overall_retention(t)
-    seg = customers.rfm_segment_summary(t, as_of).agg(
-        _pick("customer_segment", R.SEG_CHAMPION, "total_customers").alias("champions"),
-        _pick("customer_segment", R.SEG_CHAMPION, "avg_spend").alias("champion_spend"),
-        _pick("customer_segment", R.SEG_CANNOT_LOSE, "total_customers").alias("cold_customers"),
-        _pick("customer_segment", R.SEG_CANNOT_LOSE, "avg_spend").alias("cold_spend"),
-        _pick("customer_segment", R.SEG_CANNOT_LOSE, "avg_days_since_purchase").alias("cold_days"),
-    )
-
     seller_count = t.sellers.agg(F.count(F.lit(1)).alias("sellers"))
-    items_reviews = t.order_items.select("order_id").join(review_stats(t.reviews), "order_id", "left")
-    platform = items_reviews.agg(
-        r(ratio(F.sum(review_score_sum()), F.sum(review_score_cnt()))).alias("platform_review")
-    )
-    p15 = sellers.seller_classification_summary(t)
-    cls = p15.agg(
-        _pick("seller_classification", R.SELLER_ELITE, "total_sellers").alias("elite_sellers"),
-        _pick("seller_classification", R.SELLER_ELITE, "avg_revenue").alias("elite_revenue"),
-        _pick("seller_classification", R.SELLER_HIGH_CANCEL, "total_sellers").alias("high_cancel_sellers"),
-        _pick("seller_classification", R.SELLER_HIGH_CANCEL, "avg_cancellation_rate").alias("high_cancel_rate"),
-        _pick("seller_classification", R.SELLER_UNDERMONETISED, "total_sellers").alias("undermonetised_sellers"),
-        _pick("seller_classification", R.SELLER_UNDERMONETISED, "avg_review_score").alias("undermonetised_review"),
-        _pick("seller_classification", R.SELLER_UNDERMONETISED, "avg_revenue").alias("undermonetised_revenue"),
-    )
-
-    p16 = payments.payment_type_breakdown(t).agg(
-        _pick("payment_type", R.CREDIT_CARD, "pct_of_orders").alias("credit_share"),
-        _pick("payment_type", R.CREDIT_CARD, "avg_installments").alias("credit_installments"),
+    label = "seller_classification"
+    cls = sellers.seller_classification_summary(t, rules.seller, rules.cancelled, rules.min_orders).agg(
+        _pick(label, R.SELLER_ELITE, "total_sellers").alias("elite_sellers"),
+        _pick(label, R.SELLER_ELITE, "avg_revenue").alias("elite_revenue"),
+        _pick(label, R.SELLER_HIGH_CANCEL, "total_sellers").alias("high_cancel_sellers"),
+        _pick(label, R.SELLER_HIGH_CANCEL, "avg_cancellation_rate").alias("high_cancel_rate"),
+        _pick(label, R.SELLER_UNDERMONETISED, "total_sellers").alias("undermonetised_sellers"),
+        _pick(label, R.SELLER_UNDERMONETISED, "avg_review_score").alias("undermonetised_review"),
+        _pick(label, R.SELLER_UNDERMONETISED, "avg_revenue").alias("undermonetised_revenue"),
     )
-    p18 = payments.payment_risk_tiers(t).agg(
+    by_credit = F.col("payment_type") == rules.credit
+    paid = t.payments.agg(
+        F.countDistinct(F.when(by_credit, F.col("order_id"))).alias("credit_orders"),
+        F.countDistinct("order_id").alias("paid_orders"),
+        avg2(F.when(by_credit, F.col("payment_installments"))).alias("credit_installments"),
+        F.count(F.when(by_credit, 1)).alias("credit_rows"),
+    ).select(F.when(F.col("credit_rows") > 0, pct("credit_orders", "paid_orders")).alias("credit_share"), "credit_installments")
+    tiers = payments.payment_risk_tiers(t, rules.payment, rules.credit).agg(
         _pick("payment_risk_tier", R.PAY_HIGH, "total_exposure").alias("high_risk_exposure"),
         _pick("payment_risk_tier", R.PAY_HIGH, "total_orders").alias("high_risk_rows"),
         _pick("payment_risk_tier", R.PAY_HIGH, "avg_review_score").alias("high_risk_review"),
+        F.min("avg_review_score").alias("least_tier_review"),
         _pick("payment_risk_tier", R.PAY_NONE, "total_orders").alias("paid_in_full_rows"),
         _pick("payment_risk_tier", R.PAY_NONE, "avg_review_score").alias("paid_in_full_review"),
     )
-    wide = _side_by_side([rev, p01, freight, dlv, worst, ret, seg, seller_count, platform, cls, p16, p18])
+    wide = _side_by_side([_order_figures(t, as_of, rules), freight, seller_count, cls, paid, tiers])
     return wide.withColumn("dormant_value", F.col("cold_customers").cast("double") * F.col("cold_spend"))
 
 
@@ -177,34 +250,38 @@ def _build_figures(t: Tables, as_of: dt.date | str) -> DataFrame:
 
 def _kpi_rows(f: DataFrame) -> DataFrame:
     c = F.col
-    rows = [
-        # (category, kpi, numeric value, display text)
-        ("REVENUE", "Total Gross Revenue", c("gross_revenue"), money0(c("gross_revenue"))),
-        ("REVENUE", "Avg Order Value", c("avg_item_price"), money2(c("avg_item_price"))),
-        ("REVENUE", "Revenue Lost to Cancellations", c("cancel_revenue"), money0(c("cancel_revenue"))),
-        ("REVENUE", "Revenue Stuck in Pipeline", c("pipeline_revenue"), money0(c("pipeline_revenue"))),
-        ("REVENUE", "Freight Margin Losses (Top 5 Categories)", c("freight_loss_top5"), money0(c("freight_loss_top5"))),
-        ("DELIVERY", "Total Orders", c("orders_with_items"), count0(c("orders_with_items"))),
-        ("DELIVERY", "On Time Delivery Rate", c("on_time_pct"), F.concat(dec2(c("on_time_pct")), F.lit("%"))),
-        ("DELIVERY", "Worst Single Delivery Delay", c("worst_delay_days"), F.concat(c("worst_delay_days").cast("string"), F.lit(" days"))),
-        ("DELIVERY", "On Time Avg Review Score", c("on_time_review"), F.concat(dec2(c("on_time_review")), F.lit(" / 5"))),
-        ("DELIVERY", "Critically Late Avg Review Score", c("critical_review"), F.concat(dec2(c("critical_review")), F.lit(" / 5"))),
-        ("CUSTOMERS", "Total Unique Customers", c("total_unique_customers"), count0(c("total_unique_customers"))),
-        ("CUSTOMERS", "Repeat Customers", c("repeat_customers"), count0(c("repeat_customers"))),
-        ("CUSTOMERS", "Retention Rate", c("retention_rate_pct"), F.concat(dec2(c("retention_rate_pct")), F.lit("%"))),
-        ("CUSTOMERS", "Champion Customers", c("champions"), count0(c("champions"))),
-        ("CUSTOMERS", "High Value Gone Cold", c("cold_customers"), count0(c("cold_customers"))),
-        ("CUSTOMERS", "Dormant Revenue Opportunity", c("dormant_value"), millions(c("dormant_value"))),
-        ("SELLERS", "Total Active Sellers", c("sellers"), count0(c("sellers"))),
-        ("SELLERS", "Platform Avg Review Score", c("platform_review"), F.concat(dec2(c("platform_review")), F.lit(" / 5"))),
-        ("SELLERS", "Elite Top Performers", c("elite_sellers"), F.concat(count0(c("elite_sellers")), F.lit(" sellers"))),
-        ("SELLERS", "High Cancellation Sellers", c("high_cancel_sellers"), F.concat(count0(c("high_cancel_sellers")), F.lit(" sellers"))),
-        ("SELLERS", "Undermonetised Quality Sellers", c("undermonetised_sellers"), F.concat(count0(c("undermonetised_sellers")), F.lit(" sellers"))),
-        ("PAYMENTS", "Credit Card Share", c("credit_share"), F.concat(dec2(c("credit_share")), F.lit("%"))),
-        ("PAYMENTS", "Avg Credit Instalments", c("credit_installments"), F.concat(dec2(c("credit_installments")), F.lit(" months"))),
-        ("PAYMENTS", "High Risk Instalment Exposure", c("high_risk_exposure"), money0(c("high_risk_exposure"))),
-        ("PAYMENTS", "No Risk (Paid in Full) Orders", c("paid_in_full_rows"), count0(c("paid_in_full_rows"))),
+    out_of_5 = lambda x: F.concat(dec2(x), F.lit(" / 5"))
+    percent = lambda x: F.concat(dec2(x), F.lit("%"))
+    n_sellers = lambda x: F.concat(count0(x), F.lit(" sellers"))
+    # column and display text, in the order of P.KPIS
+    shown = [
+        ("gross_revenue", money0),
+        ("avg_item_price", money2),
+        ("cancel_revenue", money0),
+        ("pipeline_revenue", money0),
+        ("freight_loss_top5", money0),
+        ("orders_with_items", count0),
+        ("on_time_pct", percent),
+        ("worst_delay_days", lambda x: F.concat(x.cast("string"), F.lit(" days"))),
+        ("on_time_review", out_of_5),
+        ("critical_review", out_of_5),
+        ("total_unique_customers", count0),
+        ("repeat_customers", count0),
+        ("retention_rate_pct", percent),
+        ("champions", count0),
+        ("cold_customers", count0),
+        ("dormant_value", millions),
+        ("sellers", count0),
+        ("platform_review", out_of_5),
+        ("elite_sellers", n_sellers),
+        ("high_cancel_sellers", n_sellers),
+        ("undermonetised_sellers", n_sellers),
+        ("credit_share", percent),
+        ("credit_installments", lambda x: F.concat(dec2(x), F.lit(" months"))),
+        ("high_risk_exposure", money0),
+        ("paid_in_full_rows", count0),
     ]
+    rows = [(category, kpi, c(x), text(c(x))) for (category, kpi), (x, text) in zip(P.KPIS, shown, strict=True)]
     structs = [
         F.struct(
             F.lit(cat).alias("category"),
@@ -223,14 +300,14 @@ def kpi_table(f: DataFrame) -> DataFrame:
     return _kpi_rows(f).select("category", "kpi", "value", "position", "value_num").transform(sort_small, "position")
 
 
-def kpi_dashboard(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFrame:
-    return kpi_table(figures(t, as_of))
+def kpi_dashboard(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF, rules: SummaryRules = DEFAULT_RULES) -> DataFrame:
+    return kpi_table(figures(t, as_of, rules))
 
 
 # ---------------------------------------------------------------- recommendations
 
-def recommendations(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFrame:
-    return recommendation_rows(figures(t, as_of))
+def recommendations(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF, rules: SummaryRules = DEFAULT_RULES) -> DataFrame:
+    return recommendation_rows(figures(t, as_of, rules))
 
 
 def recommendation_rows(f: DataFrame) -> DataFrame:
@@ -240,41 +317,36 @@ def recommendation_rows(f: DataFrame) -> DataFrame:
     def txt(*parts) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else na(p) for p in parts])
 
-    rows = [
-        # (priority, area, action, evidence, impact) — areas and action wording are fixed text
-        ("1", "Revenue Recovery",
-         txt("Cancel high-freight low-value listings"),
+    lowest = F.when(c("high_risk_review") <= c("least_tier_review"), F.lit("lowest satisfaction ")).otherwise(F.lit("satisfaction "))
+    moves = F.when(c("critical_review") < c("on_time_review"), F.lit("drops")).otherwise(F.lit("goes"))
+    # action, evidence and impact, in the order of P.AREAS
+    texts = [
+        (txt("Cancel high-freight low-value listings"),
          txt("Category ", c("top_freight_category"), " leads freight losses at ", dec2(c("top_freight_pct")), "% average freight ratio"),
          txt(money0(c("freight_loss_top5")), " direct losses recoverable")),
-        ("2", "Pipeline Fix",
-         txt("Investigate ", count0(c("pipeline_orders")), " paid but unshipped orders immediately"),
+        (txt("Investigate ", count0(c("pipeline_orders")), " paid but unshipped orders immediately"),
          txt("Invoiced + processing orders sitting idle with customer money held"),
          txt(money0(c("pipeline_revenue")), " stuck in pipeline")),
-        ("3", "Seller Management",
-         txt("Place ", count0(c("high_cancel_sellers")), " high-cancellation sellers on performance review"),
-         txt(dec2(c("high_cancel_rate")), "% avg cancellation rate vs ", dec2(c("cancel_share_pct")), "% platform average"),
+        (txt("Place ", count0(c("high_cancel_sellers")), " high-cancellation sellers on performance review"),
+         txt(dec2(c("high_cancel_rate")), "% avg cancellation rate vs ", dec2(c("cancel_share_pct")), "% of all orders cancelled"),
          txt("Reduces ", money0(c("cancel_revenue")), " annual cancellation losses")),
-        ("4", "Customer Retention",
-         txt("Launch win-back campaign for ", count0(c("cold_customers")), " high-value cold customers"),
+        (txt("Launch win-back campaign for ", count0(c("cold_customers")), " high-value cold customers"),
          txt("Avg spend ", money0(c("cold_spend")), " each, not purchased in ", count0(c("cold_days")), " days"),
          txt(millions(c("dormant_value")), " potential repeat revenue")),
-        ("5", "Delivery Operations",
-         txt("Investigate logistics failures behind critically late deliveries"),
-         txt(count0(c("critical_rows")), " order-review rows more than 30 days late; worst delay ", c("worst_delay_days").cast("string"), " days"),
-         txt("Review score drops from ", dec2(c("on_time_review")), " to ", dec2(c("critical_review")), " when orders are late")),
-        ("6", "Credit Risk",
-         txt("Set maximum instalment limits per product category"),
-         txt(count0(c("high_risk_rows")), " high-risk orders with ", millions(c("high_risk_exposure")), " exposure, lowest satisfaction ", dec2(c("high_risk_review"))),
+        (txt("Investigate ", c("worst_year").cast("string"), " logistics failure"),
+         txt(count0(c("date_orders")), " orders ", c("date_least").cast("string"), "-", c("date_most").cast("string"), " days late all sharing the delivery date ", c("date_on")),
+         txt("Review score ", moves, " from ", dec2(c("on_time_review")), " to ", dec2(c("critical_review")), " when orders are late")),
+        (txt("Set maximum instalment limits per product category"),
+         txt(count0(c("high_risk_rows")), " high-risk orders with ", millions(c("high_risk_exposure")), " exposure, ", lowest, dec2(c("high_risk_review"))),
          txt("Reduces refund risk on high-instalment purchases")),
-        ("7", "Seller Development",
-         txt("Create growth programme for ", count0(c("undermonetised_sellers")), " undermonetised quality sellers"),
+        (txt("Create growth programme for ", count0(c("undermonetised_sellers")), " undermonetised quality sellers"),
          txt("Avg review ", dec2(c("undermonetised_review")), " but revenue only ", money0(c("undermonetised_revenue")), " vs ", money0(c("elite_revenue")), " for top performers"),
          txt(dec1(ratio(c("elite_revenue"), c("undermonetised_revenue"))), "x revenue potential without quality risk")),
-        ("8", "Platform Health",
-         txt("Protect top ", count0(c("elite_sellers")), " elite sellers with dedicated account management"),
+        (txt("Protect top ", count0(c("elite_sellers")), " elite sellers with dedicated account management"),
          txt("Top ", count0(c("elite_sellers")), " sellers avg ", money0(c("elite_revenue")), " revenue each, carry disproportionate platform share"),
          txt("Losing 3 elite sellers = ", money0(c("elite_revenue") * F.lit(3.0)), " revenue risk")),
     ]
+    rows = [(str(i), area, *text) for i, (area, text) in enumerate(zip(P.AREAS, texts, strict=True), 1)]
     structs = [
         F.struct(
             F.lit(p).alias("priority"),
@@ -290,9 +362,9 @@ def recommendation_rows(f: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- dashboard cards
 
-def dashboard_cards(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> DataFrame:
+def dashboard_cards(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF, rules: SummaryRules = DEFAULT_RULES) -> DataFrame:
     """The page's cards as data: section, label, value, note, tone."""
-    return card_rows(figures(t, as_of))
+    return card_rows(figures(t, as_of, rules))
 
 
 def card_rows(f: DataFrame) -> DataFrame:
@@ -303,32 +375,34 @@ def card_rows(f: DataFrame) -> DataFrame:
         return F.concat(*[F.lit(p) if isinstance(p, str) else na(p) for p in parts])
 
     satisfaction_drop = r(ratio((c("on_time_review") - c("critical_review")) * F.lit(100.0), c("on_time_review")), 0)
-    cards = [
-        ("Revenue", "Gross Revenue", money0(c("gross_revenue")), txt("across ", count0(c("orders_with_items")), " orders"), "info"),
-        ("Revenue", "Avg Order Value", money2(c("avg_item_price")), txt("mean item price"), "neutral"),
-        ("Revenue", "Lost to Cancellations", money0(c("cancel_revenue")), txt(count0(c("cancel_orders")), " cancelled orders"), "negative"),
-        ("Revenue", "Stuck in Pipeline", money0(c("pipeline_revenue")), txt(count0(c("pipeline_orders")), " paid, unshipped"), "warning"),
-        ("Revenue", "Freight Losses (Top 5)", money0(c("freight_loss_top5")), txt("freight above product price"), "negative"),
-        ("Delivery", "Total Orders", count0(c("orders_with_items")), txt("orders with items"), "info"),
-        ("Delivery", "On Time Rate", txt(dec2(c("on_time_pct")), "%"), txt("of delivered orders"), "positive"),
-        ("Delivery", "Worst Delay", txt(c("worst_delay_days").cast("string"), " days"), txt("single order"), "negative"),
-        ("Delivery", "On Time Review", txt(dec2(c("on_time_review")), " / 5"), txt("delivered on time"), "positive"),
-        ("Delivery", "Critically Late Review", txt(dec2(c("critical_review")), " / 5"), txt(count0(satisfaction_drop), "% satisfaction drop"), "negative"),
-        ("Customers", "Unique Customers", count0(c("total_unique_customers")), txt("with a kept order"), "info"),
-        ("Customers", "Retention Rate", txt(dec2(c("retention_rate_pct")), "%"), txt("as published"), "warning"),
-        ("Customers", "Champions", count0(c("champions")), txt("Avg spend ", money0(c("champion_spend"))), "positive"),
-        ("Customers", "High Value Gone Cold", count0(c("cold_customers")), txt("Avg spend ", money0(c("cold_spend"))), "warning"),
-        ("Customers", "Dormant Opportunity", millions(c("dormant_value")), txt("cold customers × avg spend"), "warning"),
-        ("Sellers", "Active Sellers", count0(c("sellers")), txt("in the sellers table"), "info"),
-        ("Sellers", "Platform Review", txt(dec2(c("platform_review")), " / 5"), txt("over order items"), "neutral"),
-        ("Sellers", "Elite Performers", count0(c("elite_sellers")), txt("Avg revenue ", money0(c("elite_revenue"))), "positive"),
-        ("Sellers", "High Cancellation", count0(c("high_cancel_sellers")), txt(dec2(c("high_cancel_rate")), "% avg rate"), "negative"),
-        ("Sellers", "Undermonetised", count0(c("undermonetised_sellers")), txt("Avg review ", dec2(c("undermonetised_review"))), "warning"),
-        ("Payments", "Credit Card Share", txt(dec2(c("credit_share")), "%"), txt("of paid orders"), "info"),
-        ("Payments", "Avg Instalments", dec2(c("credit_installments")), txt("credit card"), "neutral"),
-        ("Payments", "High Risk Exposure", money0(c("high_risk_exposure")), txt(count0(c("high_risk_rows")), " payments, 10+ instalments, 300+ value"), "negative"),
-        ("Payments", "Paid in Full", count0(c("paid_in_full_rows")), txt("Score ", dec2(c("paid_in_full_review")), "/5"), "positive"),
+    # value and note, in the order of P.CARDS
+    texts = [
+        (millions(c("gross_revenue")), txt("")),
+        (money2(c("avg_item_price")), txt("")),
+        (money0(c("cancel_revenue")), txt(count0(c("cancel_orders")), " cancelled orders")),
+        (money0(c("pipeline_revenue")), txt(count0(c("pipeline_orders")), " paid, unshipped")),
+        (money0(c("freight_loss_top5")), txt("Top 5 categories")),
+        (count0(c("orders_with_items")), txt("")),
+        (txt(dec2(c("on_time_pct")), "%"), txt("")),
+        (txt(c("worst_delay_days").cast("string"), " days"), txt(c("worst_year").cast("string"), " logistics failure")),
+        (txt(dec2(c("on_time_review")), "/5"), txt("")),
+        (txt(dec2(c("critical_review")), "/5"), txt(count0(satisfaction_drop), "% satisfaction drop")),
+        (count0(c("total_unique_customers")), txt("")),
+        (txt(dec2(c("retention_rate_pct")), "%"), txt("Industry avg 20–30%")),
+        (count0(c("champions")), txt("Avg spend ", money0(c("champion_spend")))),
+        (count0(c("cold_customers")), txt("Avg spend ", money0(c("cold_spend")))),
+        (millions(c("dormant_value")), txt("Win-back potential")),
+        (count0(c("sellers")), txt("")),
+        (txt(dec2(c("platform_review")), "/5"), txt("")),
+        (count0(c("elite_sellers")), txt("Avg ", money0(c("elite_revenue")), " revenue")),
+        (count0(c("high_cancel_sellers")), txt(dec2(c("high_cancel_rate")), "% cancel rate")),
+        (count0(c("undermonetised_sellers")), txt(dec2(c("undermonetised_review")), " avg review")),
+        (txt(dec2(c("credit_share")), "%"), txt("")),
+        (dec2(c("credit_installments")), txt("Credit card orders")),
+        (millions(c("high_risk_exposure")), txt("10+ instalment orders")),
+        (count0(c("paid_in_full_rows")), txt("Score ", dec2(c("paid_in_full_review")), "/5")),
     ]
+    cards = [(section, label, *text, tone) for (section, label, tone), text in zip(P.CARDS, texts, strict=True)]
     structs = [
         F.struct(
             F.lit(pos).alias("position"),
@@ -345,12 +419,12 @@ def card_rows(f: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- all three at once
 
-def executive_summary(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF) -> tuple[DataFrame, DataFrame, DataFrame]:
+def executive_summary(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF, rules: SummaryRules = DEFAULT_RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """KPI table, recommendations and cards from ONE computation of the figures.
 
-    The twelve analyses run once; their one-row result is checkpointed to
+    The analyses run once; their one-row result is checkpointed to
     the shared ``spark.checkpoint.dir`` (lineage cut, survives executor loss)
     and the three outputs are read from it.
     """
-    f = checkpoint_once(figures(t, as_of))
+    f = checkpoint_once(figures(t, as_of, rules))
     return kpi_table(f), recommendation_rows(f), card_rows(f)
