@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -22,9 +22,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def table_row_counts(t: Tables) -> DataFrame:
-    """One row, one column per table (eight global counts side by side)."""
-    frames = [getattr(t, name).agg(F.count(F.lit(1)).alias(name)) for name in TABLE_NAMES]
-    return reduce(lambda a, b: a.crossJoin(b), frames)
+    """One row, one column per table (eight global counts pivoted into columns)."""
+    frames = [getattr(t, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name in TABLE_NAMES]
+    return _union(frames).agg(*(F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in TABLE_NAMES))
 
 
 def key_uniqueness_audit(t: Tables) -> DataFrame:
@@ -84,32 +84,35 @@ FOREIGN_REFERENCES = (
 
 def orphan_and_length_audit(t: Tables) -> DataFrame:
     """Rows an inner join would silently drop (no foreign keys are declared),
-    and strings longer than their declared VARCHAR width."""
-    frames = []
-    for child, ccol, parent, pcol in FOREIGN_REFERENCES:
-        # Child keys are counted first (partial aggregate), so a hot key is a
-        # single row on the probe side of the anti join.
-        child_keys = getattr(t, child).groupBy(ccol).agg(F.count(F.lit(1)).alias("n"))
-        parents = getattr(t, parent).select(F.col(pcol).alias(ccol))
-        orphans = child_keys.join(parents, ccol, "left_anti")
-        frames.append(
-            orphans.agg(
-                F.lit("orphan").alias("audit"),
-                F.lit(child).alias("table_name"),
-                F.lit(ccol).alias("column_name"),
-                F.lit(f"{parent}.{pcol}").alias("rule"),
-                F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("violations"),
-            )
-        )
-    for table, widths in VARCHAR_WIDTHS.items():
-        df = getattr(t, table)
-        wide = df.agg(*[F.sum(F.when(F.length(c) > n, 1).otherwise(0)).cast("bigint").alias(c) for c, n in widths.items()])
-        triples = ", ".join(f"'{c}', 'length <= {n}', coalesce(`{c}`, 0L)" for c, n in widths.items())
-        frames.append(
-            wide.selectExpr(
-                "'length' AS audit",
-                f"'{table}' AS table_name",
-                f"stack({len(widths)}, {triples}) AS (column_name, rule, violations)",
-            )
-        )
-    return _union(frames).transform(sort_small, "audit", "table_name", "column_name")
+    and strings longer than their declared VARCHAR width.
+
+    Each table is read once for both checks: a row gives one entry per reference and
+    one per overlong string.  Entries are counted per key first (partial aggregate), so
+    a hot key is a single row on the probe side of the one anti join with all parent keys.
+    """
+    found, checks = [], []
+    for table in TABLE_NAMES:
+        entries = []
+        for child, ccol, parent, pcol in FOREIGN_REFERENCES:
+            if child == table:
+                names = ("orphan", table, ccol, f"{parent}.{pcol}")
+                checks.append(names)
+                entries.append(_entry(names, F.col(ccol).cast("string")))
+        for c, n in VARCHAR_WIDTHS.get(table, {}).items():
+            names = ("length", table, c, f"length <= {n}")
+            checks.append(names)
+            entries.append(F.when(F.length(c) > n, _entry(names, F.lit(None).cast("string"))))
+        rows = getattr(t, table).select(F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+        found.append(rows.groupBy("e").agg(F.count(F.lit(1)).alias("n")).select("e.*", "n"))
+    parents = {(parent, pcol) for _, _, parent, pcol in FOREIGN_REFERENCES}
+    keys = _union([getattr(t, p).select(F.lit(f"{p}.{c}").alias("rule"), F.col(c).cast("string").alias("value")) for p, c in sorted(parents)])
+    names = ["audit", "table_name", "column_name", "rule"]
+    broken = _union(found).join(keys, ["rule", "value"], "left_anti").groupBy(*names).agg(F.sum("n").alias("violations"))
+    every = t.spark.createDataFrame(checks, ", ".join(f"{c} string" for c in names))
+    out = every.join(broken, names, "left").select(*names, F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"))
+    return out.transform(sort_small, "audit", "table_name", "column_name")
+
+
+def _entry(names: tuple[str, str, str, str], value: Column) -> Column:
+    audit, table, column, rule = names
+    return F.struct(F.lit(audit).alias("audit"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), F.lit(rule).alias("rule"), value.alias("value"))
