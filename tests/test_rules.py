@@ -221,3 +221,99 @@ def test_percent_base_is_unjoined(spark):
 def test_half_cent_rounds_half_up(spark):
     t = from_rows(spark, orders=[order("o1")], order_items=[item("o1", D("0.14")), item("o1", D("0.15"), line=2)])
     assert revenue.revenue_leakage_by_status(t).first().avg_order_value == 0.15
+
+
+# ---------------------------------------------------------------- thresholds other than the published ones
+
+def test_published_thresholds_give_published_labels():
+    assert R.DeliveryRule().names() == R.DELIVERY_LABELS
+
+
+def test_delivery_labels_follow_the_thresholds(spark):
+    rule = R.DeliveryRule(slight_days=3, very_days=10)
+    est = dt.datetime(2018, 1, 10)
+    t = from_rows(spark, orders=[order(f"o{d}", delivered=est + dt.timedelta(days=d), estimated=est) for d in (0, 3, 4, 10, 11)])
+    got = {r.order_id: r.delivery_status for r in delivery.late_delivery_orders(t, rule, k=None).collect()}
+    assert got == {
+        "o0": "on time",
+        "o3": "slightly late (1-3 days)",
+        "o4": "very late (4-10 days)",
+        "o10": "very late (4-10 days)",
+        "o11": "critically late (10+ days)",
+    }
+    tiers = [r.delivery_tier for r in delivery.delivery_scorecard(t, rule).collect()]
+    assert tiers == [f"{i} — {n}" for i, n in enumerate(rule.names(), 1)]
+
+
+def test_frequency_ladder_rises_for_other_thresholds(spark):
+    assert labels(spark, [0, 1, 2, 3, 4, 5, 6], R.RfmRule(frequency_orders=(5, 3, 1)).frequency_score) == [1, 2, 2, 3, 3, 4, 4]
+
+
+def test_other_recency_and_spend_ladders(spark):
+    rule = R.RfmRule(recency_days=(10, 20, 30), monetary=(50.5, 20.25, 1))
+    assert labels(spark, [10, 11, 20, 21, 30, 31], rule.recency_score) == [4, 3, 3, 2, 2, 1]
+    assert labels(spark, [50.5, 50.49, 20.25, 20.24, 1.0, 0.99], rule.monetary_score) == [4, 3, 3, 2, 2, 1]
+
+
+def test_freight_thresholds_keep_their_digits(spark):
+    rule = R.FreightRule(high_share=0.5005, moderate_share=0.334)
+    items = [item(f"o{f}", D("1000.00"), D(f)) for f in ("332.00", "335.00", "500.40", "500.50")]
+    t = from_rows(spark, order_items=items, products=[PRODUCT], sellers=[SELLER])
+    got = {r.order_id: r.margin_risk_category for r in revenue.freight_margin_risk_items(t, rule, k=None).collect()}
+    assert got == {"o332.00": R.FREIGHT_OK, "o335.00": R.FREIGHT_MODERATE, "o500.40": R.FREIGHT_MODERATE, "o500.50": R.FREIGHT_HIGH}
+
+
+def test_payment_thresholds_keep_their_digits(spark):
+    rule = R.PaymentRiskRule(high=(4, 100.005), medium=(2, 50.555), low=(2, 10.0))
+    t = from_rows(spark, payments=[payment("a", 4, D("100.01")), payment("b", 4, D("100.00")), payment("c", 2, D("50.55")), payment("d", 2, D("50.56"))])
+    got = {r.payment_risk_tier: r.total_orders for r in payments.payment_risk_tiers(t, rule).collect()}
+    assert got == {R.PAY_HIGH: 1, R.PAY_MEDIUM: 2, R.PAY_LOW: 1}
+
+
+@pytest.mark.parametrize(
+    "scores,rule,want",
+    [
+        ((4, 1, 1), R.SegmentRuleA(promising_recency=4), R.SEG_PROMISING),
+        ((3, 1, 1), R.SegmentRuleA(promising_recency=4), R.SEG_LOST),
+        ((1, 2, 1), R.SegmentRuleA(at_risk_frequency=2), R.SEG_AT_RISK),
+        ((2, 1, 2), R.SegmentRuleA(cannot_lose_recency=2, cannot_lose_monetary=2), R.SEG_CANNOT_LOSE),
+        ((2, 2, 2), R.SegmentRuleA(champion_total=6), R.SEG_CHAMPION),
+        ((2, 2, 1), R.SegmentRuleA(loyal_total=5), R.SEG_LOYAL),
+    ],
+)
+def test_segment_a_arms(spark, scores, rule, want):
+    df = spark.createDataFrame([scores], "r int, f int, m int")
+    assert df.select(rule.label(F.col("r"), F.col("f"), F.col("m"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    "days,orders,spend,rule,want",
+    [
+        (30, 2, 1.0, R.SegmentRuleB(promising_orders=2), R.SEG_PROMISING),
+        (31, 1, 1.0, R.SegmentRuleB(promising_days=30), R.SEG_LOST),
+        (50, 2, 1.0, R.SegmentRuleB(cold_days=40, at_risk_orders=2, promising_days=10), R.SEG_AT_RISK),
+        (300, 1, 99.0, R.SegmentRuleB(cannot_lose_spend=99), R.SEG_CANNOT_LOSE),
+    ],
+)
+def test_segment_b_arms(spark, days, orders, spend, rule, want):
+    df = spark.createDataFrame([(1, 1, 1, days, orders, spend)], "r int, f int, m int, d int, n long, s double")
+    assert df.select(rule.label(*(F.col(c) for c in "rfmdns"))).first()[0] == want
+
+
+def test_seller_thresholds(spark):
+    rule = R.SellerRule(elite_revenue=10, good_review=3, risky_review=2, gem_revenue_low=5, niche_revenue_low=2, niche_review=4, cancel_rate=1)
+    rows = [(11.0, 3.0, 0.0), (11.0, 1.9, 0.0), (10.0, 3.0, 0.0), (5.0, 2.9, 0.0), (4.0, 4.0, 0.0), (1.0, 5.0, 1.1), (1.0, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = [r[0] for r in df.select(rule.label(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert got == [R.SELLER_ELITE, R.SELLER_QUALITY_RISK, R.SELLER_HIDDEN_GEM, R.SELLER_AVERAGE, R.SELLER_UNDERMONETISED, R.SELLER_HIGH_CANCEL, R.SELLER_AVERAGE]
+
+
+def test_the_largest_legal_freight_share(spark):
+    """Price 0.01 with freight 10,000.00: 100,000,000 per cent."""
+    from marketlens.operators import report
+
+    t = from_rows(spark, orders=[order("o1")], order_items=[item("o1", D("0.01"), D("10000.00"))], products=[PRODUCT], sellers=[SELLER])
+    row = revenue.category_margin_risk(t).first()
+    assert row.avg_freight_pct == 100_000_000.0 and row.total_money_lost == 9999.99
+    for job in (report.kpi_dashboard, report.recommendations, report.dashboard_cards):
+        assert job(t).count() > 0
