@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import crc_mod, materialize, slices, text_rows
+from marketlens.llm.common import columns, crc_mod, materialize, slices, text_rows
 from marketlens.llm.textvec import LOWER, U, Words, signed
 
 TYPES, SHAPES, CLASSES, HEAD = 1024, 256, 48, 1 << 17
@@ -124,9 +124,10 @@ def type_bigrams(docs: DataFrame, top: np.ndarray) -> np.ndarray:
         which = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(total[which])], ["pair", "n"])
 
-    rows = training(text_rows(docs)).select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    rows = training(text_rows(docs)).select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = columns(rows)
     out = np.zeros(N_TYPES * N_TYPES)
-    out[rows["pair"].to_numpy(np.int64)] = rows["n"]
+    out[found["pair"]] = found["n"]
     return out.reshape(N_TYPES, N_TYPES)
 
 
@@ -231,12 +232,12 @@ class Model:
 def train(docs: DataFrame, counts: DataFrame) -> Model:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("w") == END, F.col("c"))), F.lit(0)).alias("e")).first()
     words = counts.where(F.col("w") != END)
-    head = words.orderBy(F.desc("c"), "w").limit(HEAD).toPandas()
-    w, c = head["w"].to_numpy(np.int64), head["c"].to_numpy(np.float64)
-    by_shape = words.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()
+    head = columns(words.orderBy(F.desc("c"), "w").limit(HEAD))
+    w, c = head["w"], head["c"].astype(np.float64)
+    by_shape = columns(words.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")))
     size, kinds = np.zeros(SHAPES), np.zeros(SHAPES)
     size[by_shape["shape"]], kinds[by_shape["shape"]] = by_shape["c"], by_shape["v"]
-    top = head["shape"].to_numpy(np.int64)[:TYPES]
+    top = head["shape"][:TYPES]
     np.subtract.at(size, top, c[:TYPES])
     np.subtract.at(kinds, top, 1)
     bigrams = type_bigrams(docs, w[:TYPES])

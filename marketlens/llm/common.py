@@ -85,6 +85,12 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a result of bounded size as arrays on the driver, by Arrow and not row by row."""
+    got = df.toArrow()
+    return {name: got.column(name).to_numpy() for name in got.column_names}
+
+
 #: Bits of a key bitmap: 8 MB whatever the number of keys.
 BITMAP_BITS = 26
 
@@ -99,9 +105,9 @@ class KeyBitmap:
     def __init__(self, keys: DataFrame, column: str):
         slot = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
         words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("b"))
-        found = words.toPandas()
+        found = columns(words)
         self.words = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-        self.words[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
+        self.words[found["w"]] = found["b"].view(np.uint64)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         slot = keys & np.uint64((1 << BITMAP_BITS) - 1)

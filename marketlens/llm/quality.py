@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import materialize, same_row, slices
+from marketlens.llm.common import columns, materialize, same_row, slices
 from marketlens.llm.textvec import LOWER, U, Words, run_hash, signed, span_hash
 
 #: At most so many labelled documents are used to fit the classifier.
@@ -48,7 +48,7 @@ HEADS = ("low", "toxic")
 def _letters() -> np.ndarray:
     """Like LOWER, with ASCII punctuation and digits as separators."""
     table = LOWER.copy()
-    table[[*range(0x01, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0
+    table[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0
     return table
 
 
@@ -215,9 +215,10 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
     for h in HEADS:
         rate = (base[h] + 0.5) / (base["n"] + 1)
         odds = F.log((F.col(h) + rate * 2) / (F.col("n") - F.col(h) + (1 - rate) * 2)) - float(np.log(rate / (1 - rate)))
-        top = counts.select("feature", odds.alias("odds"), "n").where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.log(F.col("n"))), "feature").limit(LEXICON).toPandas()
-        top = top.sort_values("feature", key=lambda s: s.astype(np.int64).to_numpy().view(U))
-        lexicon.append((top["feature"].to_numpy(np.int64).view(U), top["odds"].to_numpy(np.float64)))
+        top = counts.select("feature", odds.alias("odds"), "n").where("odds > 1.5").orderBy(F.desc(F.col("odds") * F.log(F.col("n"))), "feature").limit(LEXICON)
+        top = columns(top)
+        order = np.argsort(top["feature"].view(U))
+        lexicon.append((top["feature"].view(U)[order], top["odds"][order]))
     blank = Model(lexicon, np.zeros((2, 1)), np.zeros(1), np.ones(1))
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +227,12 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
                 x = blank.matrix(Measured(part.column("text")))
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("low"), part.column("toxic")], ["x", "low", "toxic"])
 
-    sample = rows.mapInArrow(matrix, "x array<double>, low int, toxic int").toPandas()
+    sample = rows.mapInArrow(matrix, "x array<double>, low int, toxic int").toArrow()
     width = N_SURFACE + 4 * len(HEADS)
-    x = np.vstack(sample["x"].tolist()) if len(sample) else np.zeros((0, width))
+    x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width)
     center = x.mean(0) if len(x) else np.zeros(width)
     scale = np.where((s := x.std(0) if len(x) else np.ones(width)) > 1e-9, s, 1.0)
-    weights = np.vstack([logistic(np.clip((x - center) / scale, -20, 20), sample[h].to_numpy(np.float64)) for h in HEADS])
+    weights = np.vstack([logistic(np.clip((x - center) / scale, -20, 20), sample.column(h).to_numpy().astype(np.float64)) for h in HEADS])
     return Model(lexicon, weights, center, scale)
 
 
