@@ -36,6 +36,8 @@ from marketlens.llm.textvec import LOWER, U, Words
 
 FOLDS, HELD_OUT = 4, 2
 TRAIN_DOCS, TRAIN_BYTES = 500, 20_000
+#: The most frequent values of lang that are learned.
+MAX_LANGS = 200
 #: Rows of the weight table for affixes and trigrams, words per lexicon.
 TABLE, LEXICON = 1 << 16, 2000
 #: Training: sequences of so many words, words per segment, sequences a step, steps.
@@ -177,8 +179,9 @@ def training_rows(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> DataFrame:
     text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), lang.alias("lang"))
     rows = rows.where((crc_mod("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES))
-    share = rows.groupBy("lang").agg(F.least(F.lit(per_lang) / F.count(F.lit(1)), F.lit(1.0)).alias("share"))
-    picked = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(MAX_LANGS)
+    share = counts.select("lang", F.least(F.lit(per_lang) / F.col("c"), F.lit(1.0)).alias("share"))
+    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
     return picked.select("doc_id", "text", "lang")
 
 
@@ -198,14 +201,14 @@ def learn_lexicon(words: Words, label: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame) -> Model:
-    sample = materialize(training_rows(docs), "crf-sample").orderBy("doc_id", "lang", "text").toPandas()
-    langs = sorted(sample["lang"].unique().tolist())
+    sample = materialize(training_rows(docs), "crf-sample").orderBy("doc_id", "lang", "text").toArrow()
+    langs = sorted(set(sample.column("lang").to_pylist()))
     k = len(langs)
-    words = Words(pa.array(sample["text"].tolist(), pa.string()), LOWER)
+    words = Words(pa.array(sample.column("text").to_pylist(), pa.string()), LOWER)
     if not k or not len(words.start):
         return Model([], (np.zeros(0, U), np.zeros(0, np.int64)), np.zeros((TABLE, 1), np.float32), np.zeros((1, 1)), np.ones((1, 1)))
     index = {lang: j for j, lang in enumerate(langs)}
-    label = np.repeat(sample["lang"].map(index).to_numpy(), np.diff(words.first))
+    label = np.repeat(np.array([index[x] for x in sample.column("lang").to_pylist()], np.int64), np.diff(words.first))
     lexicon = learn_lexicon(words, label, k)
     f = Features(words, lexicon)
     weights = np.zeros((TABLE, k))
