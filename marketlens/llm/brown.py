@@ -10,7 +10,7 @@ class bigram, P(class | previous class) * P(word | class), with the word's own f
 3. Exchange clustering puts the types into ``CLASSES`` classes: each type in turn moves to
    the class that gains most mutual information between neighbouring classes, until a pass
    moves none.  This works on the table of step 2 alone, so its cost does not grow.
-4. Scores.  The ``HEAD`` most frequent words are broadcast with their counts (a fixed number).
+4. Scores.  At most ``HEAD`` of the most frequent words are broadcast with their counts (a fixed number).
    All rarer words meet their counts in a join by word hash: a rare word is in few texts, so
    no join key is hot.  Everything else of a text's score is known in its task.
 
@@ -229,15 +229,28 @@ class Model:
     end_count: float = 0.0
 
 
+def frequent(words: DataFrame, limit: int | None = None) -> DataFrame:
+    """The words above a frequency that at most ``limit`` (HEAD) words exceed.
+
+    The frequency comes from a histogram of logarithms (a few hundred rows), so that no
+    task has to merge the most frequent words of all others.
+    """
+    size = F.floor(F.log2("c") * 32)
+    bins = columns(words.groupBy(size.alias("bin")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("bin")))
+    fits = bins["bin"][np.cumsum(bins["k"]) <= (HEAD if limit is None else limit)]
+    return words.where(size >= int(fits.min())) if len(fits) else words.limit(0)
+
+
 def train(docs: DataFrame, counts: DataFrame) -> Model:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("w") == END, F.col("c"))), F.lit(0)).alias("e")).first()
     words = counts.where(F.col("w") != END)
-    head = columns(words.orderBy(F.desc("c"), "w").limit(HEAD))
-    w, c = head["w"], head["c"].astype(np.float64)
+    head = columns(frequent(words))
+    order = np.lexsort((head["w"], -head["c"]))
+    w, c = head["w"][order], head["c"][order].astype(np.float64)
     by_shape = columns(words.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")))
     size, kinds = np.zeros(SHAPES), np.zeros(SHAPES)
     size[by_shape["shape"]], kinds[by_shape["shape"]] = by_shape["c"], by_shape["v"]
-    top = head["shape"][:TYPES]
+    top = head["shape"][order][:TYPES].astype(np.int64)
     np.subtract.at(size, top, c[:TYPES])
     np.subtract.at(kinds, top, 1)
     bigrams = type_bigrams(docs, w[:TYPES])
