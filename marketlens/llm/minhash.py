@@ -8,7 +8,7 @@ A document's set is its distinct word shingles, as 64-bit hashes; its sketch is
 2. Inverted lists of the sketch values: a class goes on only if at least ``AGREE`` of its
    ``SKETCH`` retained values are retained by another class, too.  A linked pair is expected
    to agree in 0.8 of the union sketch, so a link is missed here with probability below
-   1e-9; classes of fewer shingles have whole sets as sketches and a lower bar in proportion.
+   1e-13; classes of fewer shingles have whole sets as sketches and a lower bar in proportion.
 3. For the classes left, lists of their rarest shingles generate overlaps.  A pair that
    is linked must share one of the ``n - ceil(0.8 n) + 1`` rarest of either set; with a
    shingle's place in that order and the number of shingles that no other class has, each
@@ -44,7 +44,7 @@ from marketlens.llm.common import KeyBitmap, materialize, slices, text_rows
 from marketlens.llm.graph import components
 from marketlens.llm.textvec import LOWER, U, Words, grams, mix, run_hash, signed
 
-SKETCH, AGREE = 48, 20
+SKETCH, AGREE = 48, 15
 
 
 def shingle_sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
