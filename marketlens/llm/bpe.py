@@ -31,7 +31,7 @@ from marketlens.llm.common import slices, text_rows
 
 _NONE = np.iinfo(np.int64).max
 _WIDE = 256
-_CACHE_PIECES = 250_000
+_CACHE_PIECES = 150_000
 _SPACES = b" \t\n\r\x0b\x0c"
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Texts are handed to the vectorised code in slices of about this many bytes;
 #: a longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def workers_import(spark: SparkSession) -> None:
@@ -27,8 +27,20 @@ def workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
+#: Rows handed to Python at a time: texts are long, so that fewer than Spark's default keep memory low.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS, unless the session has a smaller size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     workers_import(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
