@@ -74,6 +74,18 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not use, each made from one of ``names``."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def same_row(docs: DataFrame, doc_id: str, h: str):
     """Join condition: a row of ``docs`` and a result's (doc_id, text hash) columns."""
     return docs["doc_id"].cast("long").eqNullSafe(F.col(doc_id)) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col(h))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marketlens.llm.common import KeyBitmap, materialize, slices, text_rows
+from marketlens.llm.common import KeyBitmap, free_names, materialize, slices, text_rows
 from marketlens.llm.graph import components
 from marketlens.llm.textvec import LOWER, U, Words, grams, mix, run_hash, signed
 
@@ -202,8 +202,9 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group (of its smallest doc_id); rows without an id stay."""
-    kept = groups(docs, size, percent).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__m_id")).agg(F.min("_h").alias("__m_h"))
-    tagged = docs.withColumns({"__m_id": F.col("doc_id").cast("long"), "__m_h": F.xxhash64(F.col("text").cast("string"))})
-    nth = F.row_number().over(Window.partitionBy("__m_id", "__m_h").orderBy("__m_h"))
-    one = tagged.where("__m_id is not null").join(kept, ["__m_id", "__m_h"], "left_semi").withColumn("__m_n", nth).where("__m_n = 1")
-    return one.select(docs.columns).union(tagged.where("__m_id is null").select(docs.columns))
+    id_, h, n = free_names(docs, "kept_id", "kept_hash", "kept_nth")
+    kept = groups(docs, size, percent).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(id_)).agg(F.min("_h").alias(h))
+    tagged = docs.withColumns({id_: F.col("doc_id").cast("long"), h: F.xxhash64(F.col("text").cast("string"))})
+    nth = F.row_number().over(Window.partitionBy(id_, h).orderBy(h))
+    one = tagged.where(F.col(id_).isNotNull()).join(kept, [id_, h], "left_semi").withColumn(n, nth).where(F.col(n) == 1)
+    return one.select(docs.columns).union(tagged.where(F.col(id_).isNull()).select(docs.columns))

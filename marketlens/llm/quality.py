@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import columns, materialize, same_row, slices
+from marketlens.llm.common import columns, free_names, materialize, same_row, slices
 from marketlens.llm.textvec import LOWER, U, Words, run_hash, signed, span_hash
 
 #: At most so many labelled documents are used to fit the classifier.
@@ -304,6 +304,8 @@ def classify(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    kept = classify(docs, labels).where("kept").select(F.col("doc_id").alias("__q_id"), F.col("_h").alias("__q_h")).distinct()
-    return docs.join(kept, same_row(docs, "__q_id", "__q_h"), "left_semi")
+    """The rows of ``docs`` that the classifier keeps, with all their columns; rows of one id
+    and text stay together if one of them is kept."""
+    id_, h = free_names(docs, "kept_id", "kept_hash")
+    kept = classify(docs, labels).where("kept").select(F.col("doc_id").alias(id_), F.col("_h").alias(h)).distinct()
+    return docs.join(kept, same_row(docs, id_, h), "left_semi")

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import KeyBitmap, materialize, same_row, slices, text_rows
+from marketlens.llm.common import KeyBitmap, free_names, materialize, same_row, slices, text_rows
 from marketlens.llm.textvec import PLAIN, Runs, Words, signed
 from marketlens.llm.windows import window_blocks
 
@@ -235,10 +235,11 @@ def without_words(words: Words, row: int, gone: np.ndarray) -> str:
 def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with the duplicate spans cut out of its texts, same columns and rows."""
     found = deduplicate(docs).where("n_removed > 0")
-    found = found.groupBy(F.col("doc_id").alias("__r_id"), F.col("_h").alias("__r_h")).agg(F.first("cleaned").alias("__r_text"))
-    joined = docs.join(found, same_row(docs, "__r_id", "__r_h"), "left")
-    text = F.coalesce(F.col("__r_text"), docs["text"])
-    columns = [text.alias(c) if c == "text" else F.when(F.col("__r_text").isNotNull(), F.length(text)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    id_, h, cleaned = free_names(docs, "cut_id", "cut_hash", "cut_text")
+    found = found.groupBy(F.col("doc_id").alias(id_), F.col("_h").alias(h)).agg(F.first("cleaned").alias(cleaned))
+    joined = docs.join(found, same_row(docs, id_, h), "left")
+    text = F.coalesce(F.col(cleaned), docs["text"])
+    columns = [text.alias(c) if c == "text" else F.when(F.col(cleaned).isNotNull(), F.length(text)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     return joined.select(columns)
 
 

@@ -9,7 +9,7 @@ import pytest
 WORDS = [a + b for a in ("ba", "ke", "lo", "mi", "nu", "ra", "so", "ti") for b in ("ban", "del", "for", "gus", "hem", "jol", "kat", "lim")]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names the operators use inside.
-CLASH = "kept string, _h string, start string, key string, n string, x string, component_id string, __m_id string, r string"
+CLASH = "kept string, _h string, start string, key string, n string, x string, component_id string, kept_id string, kept_hash string, cut_text string, r string"
 
 
 def prose(rng: random.Random, n: int) -> str:

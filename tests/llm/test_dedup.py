@@ -71,6 +71,7 @@ def test_keep_one_keeps_columns_and_one_row_of_each_group(wide):
     want = {i for i, _, c in components([(r[0], r[1]) for r in corpus()], 5) if i == c and i is not None}
     assert sorted(i for i in ids if i is not None) == sorted(want)
     assert ids.count(None) == 2
+    assert all((r.kept_id, r.kept_hash, r.cut_text) == ("7", "8", "9") for r in got.collect())
 
 
 def removed_words(rows, window):
@@ -122,6 +123,7 @@ def test_factors_point_at_equal_earlier_words(documents):
 def test_clean_keeps_rows_and_columns_and_cuts_text(wide):
     got = rlz.clean(wide)
     assert got.columns == wide.columns and got.count() == wide.count()
+    assert all((r.kept_id, r.kept_hash, r.cut_text) == ("7", "8", "9") for r in got.collect())
     want = Counter()
     for i, n, gone, _ in removed_words([(r[0], r[1]) for r in corpus()], rlz.WINDOW):
         want[i] += n - gone
