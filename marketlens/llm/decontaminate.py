@@ -9,9 +9,9 @@ are removed or condemn the text.
 
 Scale: the texts are read once, in place, and never shuffled; only counts come back.
 Items are cut into blocks of at most ``BLOCK_WORDS`` words (an item stays whole, and one
-longer item is a block), each block is one automaton and one broadcast of bounded size,
-and the texts pass the blocks one after the other, so that a larger benchmark means more
-passes and not a larger broadcast.  Words that no item has reset every automaton, so only
+longer item is a block), each block is one automaton and one broadcast of bounded size.
+A pass over the texts takes ``GROUP_BLOCKS`` of them; a larger benchmark means more passes
+(the rows are written in between) and not larger broadcasts or more memory in a task.  Words that no item has reset every automaton, so only
 runs of known words are stepped through it; the others are skipped by a vectorised lookup.
 
 Defined results: null or empty text has no words and is never contaminated; an item
@@ -24,17 +24,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import slices, text_rows
+from marketlens.llm.common import free_names, materialize, slices, text_rows
 from marketlens.llm.textvec import ALNUM, Words
 
 WINDOW = 13
-BLOCK_WORDS = 500_000
+#: Words of items in one automaton, and automata in one pass over the texts.
+BLOCK_WORDS, GROUP_BLOCKS = 100_000, 4
 
 
 class Automaton:
@@ -209,61 +211,81 @@ def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hit_finder(spark: SparkSession, benchmark: DataFrame, window: int) -> Callable[[Words], tuple[dict[int, list], dict[int, set]]]:
-    """A function for tasks: hit spans and items of the rows of a batch that have any."""
-    blocks = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark)]
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def with_hits(rows: DataFrame, benchmark: DataFrame, window: int, n_words: str, spans: str, items: str) -> DataFrame:
+    """``rows`` and three columns: the text's words, hit spans (word positions) and the ids
+    (as strings, sorted) of the items with windows in it.
+
+    Each pass takes ``GROUP_BLOCKS`` blocks of items; between passes the rows are written."""
+    empty = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")
+    rows = rows.withColumns({n_words: F.lit(0).cast("long"), spans: empty[0], items: empty[1]})
+    spark = rows.sparkSession
+    blocks = item_blocks(benchmark)
+    group, passes = list(islice(blocks, GROUP_BLOCKS)), 0
+    while group or not passes:
+        if passes:
+            rows = materialize(rows, "hits")
+        rows = rows.mapInArrow(one_pass([spark.sparkContext.broadcast(b) for b in group], window, n_words, spans, items), rows.schema)
+        group, passes = list(islice(blocks, GROUP_BLOCKS)), passes + 1
+    return rows
+
+
+def one_pass(blocks: list, window: int, n_words: str, spans: str, items: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the hits of some blocks to the rows' spans and items."""
     key = uuid.uuid4().hex
 
-    def hits(words: Words) -> tuple[dict[int, list], dict[int, set]]:
-        spans: dict[int, list] = {}
-        items: dict[int, set] = {}
-        for n, block in enumerate(blocks):
-            for row, some, found in matcher(f"{key}/{n}", block, window).scan(words):
-                spans.setdefault(row, []).extend(some)
-                items.setdefault(row, set()).update(found)
-        return {row: union_spans(s) for row, s in spans.items()}, items
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                words = Words(part.column("text"), ALNUM)
+                hit = [[(s["start"], s["end"]) for s in old] for old in part.column(spans).to_pylist()]
+                found = [set(old) for old in part.column(items).to_pylist()]
+                for n, block in enumerate(blocks):
+                    for row, some, ids in matcher(f"{key}/{n}", block, window).scan(words):
+                        hit[row].extend(some)
+                        found[row].update(str(i) for i in ids if i is not None)
+                made = {
+                    n_words: pa.array(np.diff(words.first), pa.int64()),
+                    spans: pa.array([[{"start": a, "end": b} for a, b in union_spans(h)] for h in hit], SPANS),
+                    items: pa.array([sorted(f) for f in found], pa.list_(pa.string())),
+                }
+                columns = [made.get(name, part.column(i)) for i, name in enumerate(part.schema.names)]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+    return run
+
 
-    return hits
+def hit_words(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
-SCHEMA = "doc_id long, _h long, n_words long, n_hit long, spans array<struct<start:int,end:int>>, items array<string>, cleaned string"
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Per document row: doc_id, _h, text, n_words, n_hit, spans and items."""
+    rows = with_hits(text_rows(docs), benchmark, window, "n_words", "spans", "items")
+    return rows.withColumn("n_hit", hit_words("spans"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_span: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """Per document row: n_words, n_hit, hit ``spans`` (word positions), ``items`` (ids as
-    strings, sorted) and, on request, ``cleaned``: the text without spans of ``min_span`` words or more."""
-    hits = hit_finder(docs.sparkSession, benchmark, window)
+def without_spans(scanned: DataFrame, min_span: int = WINDOW) -> DataFrame:
+    """(doc_id, _h, cleaned): texts without their hit spans of ``min_span`` words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), ALNUM)
-                counts = np.diff(words.first)
-                spans, items = hits(words)
-                hit = [sum(b - a for a, b in spans.get(row, ())) for row in range(len(counts))]
-                cleaned = [None] * len(counts)
-                if with_text:
-                    raw = words.raw
-                    for row in range(len(counts)):
-                        cuts = [(int(words.start[words.first[row] + a]), int(words.end[words.first[row] + b - 1])) for a, b in spans.get(row, ()) if b - a >= min_span]
-                        at, kept = int(words.offsets[row]), []
-                        for a, b in cuts:
-                            kept.append(raw[at:a].tobytes())
-                            at = b
-                        cleaned[row] = b"".join([*kept, raw[at : words.offsets[row + 1]].tobytes()]).decode("utf-8", "replace")
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id"),
-                        "_h": part.column("_h"),
-                        "n_words": pa.array(counts, pa.int64()),
-                        "n_hit": pa.array(hit, pa.int64()),
-                        "spans": pa.array([[{"start": a, "end": b} for a, b in spans.get(row, ())] for row in range(len(counts))], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                        "items": pa.array([sorted(str(i) for i in items.get(row, ()) if i is not None) for row in range(len(counts))], pa.list_(pa.string())),
-                        "cleaned": pa.array(cleaned, pa.string()),
-                    }
-                )
-
-    return text_rows(docs).mapInArrow(run, SCHEMA)
+                cleaned = []
+                for row, spans in enumerate(part.column("spans").to_pylist()):
+                    at, kept, first = int(words.offsets[row]), [], int(words.first[row])
+                    for s in spans:
+                        if s["end"] - s["start"] >= min_span:
+                            kept.append(words.raw[at : words.start[first + s["start"]]].tobytes())
+                            at = int(words.end[first + s["end"] - 1])
+                    kept.append(words.raw[at : words.offsets[row + 1]].tobytes())
+                    cleaned.append(b"".join(kept).decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_h"), pa.array(cleaned, pa.string())], ["doc_id", "_h", "cleaned"])
+
+    return scanned.select("doc_id", "_h", "text", "spans").mapInArrow(run, "doc_id long, _h long, cleaned string")
 
 
 _matchers: dict[str, Matcher] = {}
@@ -272,7 +294,7 @@ _matchers: dict[str, Matcher] = {}
 def matcher(key: str, block, window: int) -> Matcher:
     """A block's automaton, built once per Python worker (the latest few are kept)."""
     if key not in _matchers:
-        if len(_matchers) >= 4:
+        if len(_matchers) >= GROUP_BLOCKS:
             _matchers.clear()
         _matchers[key] = Matcher(*block.value, window)
     return _matchers[key]
@@ -285,19 +307,9 @@ def contaminated(n_hit, n_words):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that the rule leaves, with all their columns, filtered where they are read."""
-    hits = hit_finder(docs.sparkSession, benchmark, window)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                words = Words(part.column("text"), ALNUM)
-                counts = np.diff(words.first)
-                hit = np.zeros(len(counts), np.int64)
-                for row, spans in hits(words)[0].items():
-                    hit[row] = sum(b - a for a, b in spans)
-                yield part.filter(pa.array((hit == 0) | (20 * hit < counts)))
-
-    return docs.mapInArrow(run, docs.schema)
+    n_words, spans, items = free_names(docs, "n_words", "spans", "items")
+    rows = with_hits(docs, benchmark, window, n_words, spans, items)
+    return rows.where(~contaminated(hit_words(spans), F.col(n_words))).select(docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

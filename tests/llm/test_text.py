@@ -157,6 +157,7 @@ def test_blocks_of_items_give_the_same_result(spark, monkeypatch):
     want = queries.op7_decontamination(spark, SF).collect()
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
     monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (300,))
+    monkeypatch.setattr(decontaminate, "GROUP_BLOCKS", 2)
     assert counted(queries.op7_decontamination(spark, SF).collect()) == counted(want)
     docs = [(r.doc_id, r.text) for r in sf(spark, "documents").select("doc_id", "text").collect()]
     items = [tuple(r) for r in sf(spark, "benchmark").select("item_id", "text").collect()]
@@ -166,8 +167,10 @@ def test_blocks_of_items_give_the_same_result(spark, monkeypatch):
 def test_cleaned_text_loses_its_spans(spark):
     docs = spark.createDataFrame([(1, "Before it. " + " ".join(f"w{i}" for i in range(20)) + " and after."), (2, "nothing here")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(5, " ".join(f"W{i}" for i in range(20)))], "item_id long, text string")
-    got = {r.doc_id: (r.cleaned, [tuple(s) for s in r.spans]) for r in decontaminate.scan(docs, benchmark, with_text=True).collect()}
-    assert got == {1: ("Before it.  and after.", [(2, 22)]), 2: ("nothing here", [])}
+    found = decontaminate.scan(docs, benchmark)
+    assert {r.doc_id: [tuple(s) for s in r.spans] for r in found.collect()} == {1: [(2, 22)], 2: []}
+    cleaned = decontaminate.without_spans(found)
+    assert {r.doc_id: r.cleaned for r in cleaned.collect()} == {1: "Before it.  and after.", 2: "nothing here"}
 
 
 # -- 9: html ------------------------------------------------------------------------------------
