@@ -4,17 +4,19 @@ A document is parsed into factors that occur in earlier documents (smaller doc_i
 of ``WINDOW`` words or more are duplicate spans.  The reference is every earlier document,
 cut into blocks and indexed by block key (``windows.window_blocks``):
 
-1. Index.  Per (key, block hash): the earliest place of that block and the last document
-   that has it.  A later document's equal block is a factor as it stands (``whole``).
-2. Factor boundaries.  Where a factor begins or ends inside a block, equal windows sit in
+1. Phrases.  A phrase is a run of blocks from one block whose hash is divisible by
+   ``PHRASE`` to the next.  Per phrase: its earliest place and the last document that has it.
+   A later document's equal phrase is a factor as it stands, for all its blocks at once.
+2. Index.  The same per (key, block hash), for the blocks of the phrases left over.
+3. Factor boundaries.  Where a factor begins or ends inside a block, equal windows sit in
    *different* blocks with one key.  For keys with several blocks, each block's windows
    are looked up one by one in the index of window hashes (``boundary``).
-3. Parse.  Per document the places found are joined greedily, left to right, into the
+4. Parse.  Per document the places found are joined greedily, left to right, into the
    longest factors (source document and position move along together); the words under
    factors are removed.
 
-Scale: texts are never compared in pairs.  What moves is one row per block (about one per
-20 words), then rows of candidate blocks only, which two fixed-size key bitmaps (8 MB each)
+Scale: texts are never compared in pairs.  What moves is one row per phrase and per block (about one per
+20 words), then rows of candidate phrases only, which fixed-size key bitmaps (8 MB each)
 pick out during the second scan; a false candidate is dropped by the exact join.  Equal
 blocks and windows are combined map-side to their minimum, so a passage in a third of all
 documents is one row per task and its copies meet the minimum in a join that AQE can split.
@@ -40,85 +42,139 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import KeyBitmap, free_names, materialize, same_row, slices, text_rows
-from marketlens.llm.textvec import PLAIN, Runs, Words, signed
+from marketlens.llm.textvec import PLAIN, Runs, U, Words, run_hash, signed
 from marketlens.llm.windows import window_blocks
 
 WINDOW, GRAM = 50, 12
-
-
-def blocks(docs: DataFrame, width: int = WINDOW, k: int = GRAM) -> DataFrame:
-    """(doc_id, start, key, hash) of every block of every document with an id."""
+#: One block in so many begins a phrase.
+PHRASE = 4
+
+
+class Phrases:
+    """Blocks of a slice, and the phrase that each is in."""
+
+    def __init__(self, words: Words, width: int, k: int):
+        self.hashes = Runs(words.hash)
+        b = window_blocks(self.hashes, words.first, width, k)
+        # text with a period repeats one block: it is kept once, with the number of its times
+        other = np.ones(len(b["row"]), bool)
+        other[1:] = np.logical_or.reduce([b[c][1:] != b[c][:-1] for c in ("row", "key", "hash")])
+        first = np.flatnonzero(other)
+        times = np.diff(np.append(first, len(other)))
+        self.block = b = {c: v[first] for c, v in b.items()} | {"times": times}
+        new = b["hash"] % U(PHRASE) == 0
+        new[:1] = True
+        new[1:] |= b["row"][1:] != b["row"][:-1]
+        self.head = np.flatnonzero(new)  # first block of each phrase
+        self.end = np.append(self.head[1:], len(new)) if len(new) else self.head
+        self.hash = run_hash((b["hash"] ^ b["key"]) + times.astype(U) * U(0x9FB21C651E98DF25), self.head, self.end)
+        self.n = np.add.reduceat(b["n"] * times, self.head) if len(new) else b["n"]
+
+
+def indexed(docs: DataFrame, width: int = WINDOW, k: int = GRAM) -> DataFrame:
+    """(doc_id, start, key, hash) of every block and, with null key, every phrase of every document with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                words = Words(part.column("text"), PLAIN)
-                b = window_blocks(Runs(words.hash), words.first, width, k)
+                p = Phrases(Words(part.column("text"), PLAIN), width, k)
+                b, h = p.block, p.head
+                row = np.concatenate((b["row"], b["row"][h]))
+                key = np.concatenate((b["key"], np.zeros(len(h), U)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(b["row"])), pa.array(b["start"].astype(np.int32)), pa.array(signed(b["key"])), pa.array(signed(b["hash"]))],
+                    [
+                        part.column("doc_id").take(pa.array(row)),
+                        pa.array(np.concatenate((b["start"], b["start"][h])).astype(np.int32)),
+                        pa.array(signed(key), mask=np.arange(len(key)) >= len(b["row"])),
+                        pa.array(signed(np.concatenate((b["hash"], p.hash)))),
+                    ],
                     ["doc_id", "start", "key", "hash"],
                 )
 
     return text_rows(docs).where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, start int, key long, hash long")
 
 
-def candidates(docs: DataFrame, repeated: KeyBitmap, shared: KeyBitmap, width: int = WINDOW, k: int = GRAM) -> DataFrame:
-    """Blocks that may be repeated as they are, or that share their key with another block;
-    for the latter ``windows`` has the hash of every window."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((repeated, shared))
+BLOCKS = "array<struct<start:int,n:int,times:int,key:long,hash:long,windows:array<long>>>"
+
+
+def candidates(docs: DataFrame, phrases: KeyBitmap, repeated: KeyBitmap, shared: KeyBitmap, width: int = WINDOW, k: int = GRAM) -> DataFrame:
+    """Phrases that may be repeated, or that have blocks that may be repeated or share
+    their key with another block; ``blocks`` has those, the latter with the hash of every window."""
+    sent = docs.sparkSession.sparkContext.broadcast((phrases, repeated, shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated, shared = sent.value
+        phrases, repeated, shared = sent.value
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), PLAIN)
-                hashes = Runs(words.hash)
-                b = window_blocks(hashes, words.first, width, k)
-                some = shared.has(b["key"])
-                pick = np.flatnonzero(some | repeated.has(b["key"] ^ b["hash"]))
-                some = some[pick]
+                p = Phrases(words, width, k)
+                b = p.block
+                open_ = shared.has(b["key"])
+                some = open_ | repeated.has(b["key"] ^ b["hash"])
+                total = np.concatenate(([0], np.cumsum(some)))
+                count = total[p.end] - total[p.head]
+                again = phrases.has(p.hash)
+                keep = np.flatnonzero((count > 0) | again)
+                # a phrase's blocks go on if one of them does; a kept phrase without any has an empty list
+                pick = np.flatnonzero(some)
+                open_ = open_[pick]
                 start, n, row = b["start"][pick], b["n"][pick], b["row"][pick]
-                g = signed(hashes.grams(width))
-                counts = np.where(some, n, 0)
-                ends = np.cumsum(counts)
-                at = np.repeat(words.first[row] + start - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(g[at]), mask=pa.array(~some))
+                g = signed(p.hashes.grams(width))
+                size = np.where(open_, n, 0)
+                ends = np.cumsum(size)
+                at = np.repeat(words.first[row] + start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+                windows = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(g[at]), mask=pa.array(~open_))
+                block = pa.StructArray.from_arrays(
+                    [*(pa.array(x.astype(np.int32)) for x in (start, n, b["times"][pick])), pa.array(signed(b["key"][pick])), pa.array(signed(b["hash"][pick])), windows],
+                    ["start", "n", "times", "key", "hash", "windows"],
+                )
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count[keep]))).astype(np.int32)), block)
+                head = p.head[keep]
+                take = pa.array(b["row"][head])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id").take(pa.array(row)),
-                        part.column("_h").take(pa.array(row)),
-                        pa.array(start.astype(np.int32)),
-                        pa.array(n.astype(np.int32)),
-                        pa.array(signed(b["key"][pick])),
-                        pa.array(signed(b["hash"][pick])),
+                        part.column("doc_id").take(take),
+                        part.column("_h").take(take),
+                        pa.array(b["start"][head].astype(np.int32)),
+                        pa.array(p.n[keep].astype(np.int32)),
+                        pa.array(signed(p.hash[keep])),
+                        pa.array(again[keep]),
                         lists,
                     ],
-                    ["doc_id", "_h", "start", "n", "key", "hash", "windows"],
+                    ["doc_id", "_h", "start", "n", "phrase", "again", "blocks"],
                 )
 
     rows = text_rows(docs).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, _h long, start int, n int, key long, hash long, windows array<long>")
+    return rows.mapInArrow(run, f"doc_id long, _h long, start int, n int, phrase long, again boolean, blocks {BLOCKS}")
 
 
 def earlier_places(docs: DataFrame, width: int = WINDOW, k: int = GRAM) -> DataFrame:
-    """(doc_id, _h, start, n, ref): runs of n windows from word ``start`` on that also occur
-    in an earlier document, at ref = (doc_id, start)."""
-    index = blocks(docs, width, k).groupBy("key", "hash").agg(F.min(F.struct("doc_id", "start")).alias("ref"), F.max("doc_id").alias("last"))
+    """(doc_id, _h, start, n, times, step, ref): n windows from word ``start`` on that also occur in
+    an earlier document, at ref = (doc_id, start); the same again ``step`` words on, ``times`` in all."""
+    index = indexed(docs, width, k).groupBy("key", "hash").agg(F.min(F.struct("doc_id", "start")).alias("ref"), F.max("doc_id").alias("last"))
     index = materialize(index, "rlz-index")
-    whole = index.where("ref.doc_id < last").select("key", "hash", "ref")
-    several = index.groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.min("ref.doc_id").alias("lo"), F.max("last").alias("hi"))
+    again = index.where("ref.doc_id < last")
+    phrases = again.where("key is null").select(F.col("hash").alias("phrase"), "ref")
+    whole = again.where("key is not null").select("key", "hash", "ref")
+    several = index.where("key is not null").groupBy("key").agg(F.min("hash").alias("a"), F.max("hash").alias("b"), F.min("ref.doc_id").alias("lo"), F.max("last").alias("hi"))
     several = materialize(several.where("a <> b and lo < hi").select("key"), "rlz-keys")
-    near = materialize(
-        candidates(docs, KeyBitmap(whole.select(F.col("key").bitwiseXOR(F.col("hash")).alias("x")), "x"), KeyBitmap(several, "key"), width, k), "rlz-candidates"
-    )
-    place = ["doc_id", "_h", "start", "n", "ref"]
-    factors = near.select("doc_id", "_h", "start", "n", "key", "hash").join(whole, ["key", "hash"]).where("ref.doc_id < doc_id").select(place)
+    repeated = KeyBitmap(whole.select(F.col("key").bitwiseXOR(F.col("hash")).alias("x")), "x")
+    near = candidates(docs, KeyBitmap(phrases, "phrase"), repeated, KeyBitmap(several, "key"), width, k)
+    near = materialize(near, "rlz-candidates")
+    place = ["doc_id", "_h", "start", "n", "times", "step", "ref"]
+    found = materialize(near.where("again").join(phrases, "phrase", "left"), "rlz-phrases")
+    long_factors = found.where("ref.doc_id < doc_id").withColumns({"times": F.lit(1), "step": F.lit(0)}).select(place)
+    # a document with a phrase's earliest place goes on with its blocks; the others have them there already
+    rest = found.where("ref is null or ref.doc_id >= doc_id").select("doc_id", "_h", "blocks").union(near.where("not again").select("doc_id", "_h", "blocks"))
+    near = materialize(rest.select("doc_id", "_h", F.explode("blocks").alias("b")).select("doc_id", "_h", "b.*"), "rlz-blocks")
+    factors = near.select("doc_id", "_h", "start", "n", "times", F.col("n").alias("step"), "key", "hash")
+    factors = factors.join(whole, ["key", "hash"]).where("ref.doc_id < doc_id").select(place)
+    factors = long_factors.unionByName(factors)
 
     open_blocks = near.where("windows is not null").join(several, "key").join(whole, ["key", "hash"], "left")
-    open_blocks = materialize(open_blocks.where("ref is null or ref.doc_id >= doc_id").select("doc_id", "_h", "start", "key", "windows"), "rlz-boundary")
-    each = open_blocks.select("doc_id", "_h", "start", "key", F.posexplode("windows").alias("i", "window"))
-    each = each.select("doc_id", "_h", (F.col("start") + F.col("i")).alias("start"), "key", "window")
+    open_blocks = materialize(open_blocks.where("ref is null or ref.doc_id >= doc_id").select("doc_id", "_h", "start", "times", F.col("n").alias("step"), "key", "windows"), "rlz-boundary")
+    each = open_blocks.select("doc_id", "_h", "start", "times", "step", "key", F.posexplode("windows").alias("i", "window"))
+    each = each.select("doc_id", "_h", (F.col("start") + F.col("i")).alias("start"), "times", "step", "key", "window")
     first = each.groupBy("key", "window").agg(F.min(F.struct("doc_id", "start")).alias("ref"), F.max("doc_id").alias("last")).where("ref.doc_id < last")
     boundary = each.join(first.select("key", "window", "ref"), ["key", "window"]).where("ref.doc_id < doc_id")
     return factors.unionByName(boundary.withColumn("n", F.lit(1)).select(place))
@@ -130,8 +186,8 @@ def parse(places: list[dict], width: int = WINDOW) -> list[tuple[int, int, int,
     From the leftmost place not yet covered on, a factor follows one source for as long
     as the places go on with it; the next factor may begin at any place after that."""
     out: list[tuple[int, int, int, int]] = []
-    for p in sorted(places, key=lambda p: (p["start"], -p["n"])):
-        start, n, doc, ref = p["start"], p["n"], p["ref"]["doc_id"], p["ref"]["start"]
+    each = [(p["start"] + i * p["step"], p["n"], p["ref"]["doc_id"], p["ref"]["start"]) for p in places for i in range(p["times"])]
+    for start, n, doc, ref in sorted(each, key=lambda p: (p[0], -p[1])):
         if out:
             a, length, d, r = out[-1]
             if d == doc and ref - r == start - a and start <= a + length - width + 1:
@@ -158,7 +214,7 @@ SCHEMA = (
 def deduplicate(docs: DataFrame, width: int = WINDOW, k: int = GRAM) -> DataFrame:
     """Per document row: n_words, n_removed, kept_sha256 (kept words joined by one space),
     ``cleaned`` (the text without the removed words, null if nothing is removed) and ``factors``."""
-    found = earlier_places(docs, width, k).groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", "n", "ref")).alias("places"))
+    found = earlier_places(docs, width, k).groupBy("doc_id", "_h").agg(F.collect_list(F.struct("start", "n", "times", "step", "ref")).alias("places"))
     found = materialize(found, "rlz-places")
     cut = KeyBitmap(found.select(F.xxhash64("doc_id", "_h").alias("x")), "x")
     sent = docs.sparkSession.sparkContext.broadcast(cut)
