@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import crc_mod, materialize, slices
+from marketlens.llm.common import SLICE_BYTES, crc_mod, materialize, slices
 from marketlens.llm.textvec import LOWER, U, Words
 
 FOLDS, HELD_OUT = 4, 2
@@ -275,7 +275,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            # forward-backward steps through all texts of a slice at once: fewer, larger slices
+            for part in slices(batch, limit=4 * SLICE_BYTES):
                 lang, score, runs = sent.value.label(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(runs, RUNS)], ["doc_id", "lang_pred", "score", "runs"])
 
