@@ -17,6 +17,7 @@ encoded one by one, so repeated rows give repeated results; other columns are ig
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -25,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from marketlens.llm.common import slices, text_rows
 
@@ -253,6 +253,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for part in slices(batch):
                 texts = [t.encode() if t else b"" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tool.encode(texts), pa.binary())], ["doc_id", "ids"])
+        tool.cache.clear()  # the worker may go on with other work
 
     return text_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -273,6 +274,21 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (encoded, then decoded again)."""
-    coded = encode(docs, path).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (encoded, then decoded again).
+
+    Both ways in one pass, so that a task needs one Python worker with one vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = codec(path)
+        for batch in batches:
+            for part in slices(batch):
+                ids = tool.encode([t.encode() if t else b"" for t in part.column("text").to_pylist()])
+                columns = [
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(tool.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tool.cache.clear()
+
+    return text_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -53,6 +53,13 @@ def test_encoding_equals_the_tokenizer(spark, wide):
     assert counted(bpe.round_trip(docs, VOCABULARY).collect()) == counted(want)
 
 
+def test_encode_and_decode_apart(spark):
+    rows = [(i, t) for i, t in enumerate([*TEXTS, None, ""])]
+    coded = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY)
+    got = {r.doc_id: r.decoded for r in bpe.decode(coded.withColumn("more", F.lit(1)), VOCABULARY).collect()}
+    assert got == {i: c[1] for (i, _), c in zip(rows, reference_codes([t for _, t in rows]))}
+
+
 def test_encoding_of_the_table(spark):
     rows = [(r.doc_id, r.text) for r in sf(spark, "documents").select("doc_id", "text").collect()]
     want = [(i, *digests(*c)) for (i, _), c in zip(rows, reference_codes([t for _, t in rows]))]
