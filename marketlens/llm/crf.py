@@ -6,11 +6,13 @@ a learned weight per language, and neighbouring words are tied by learned transi
 Forward-backward gives the marginals; a text's language is the one with the largest mean
 marginal over its words with letters, and ``runs`` are the stretches of words of one language.
 
-Learning: at most ``TRAIN_DOCS`` texts per language (of at most ``TRAIN_BYTES`` bytes each)
-outside the held-out fold, picked by a hash of the id; only their text and lang are used.
+Learning: about ``TRAIN_DOCS`` whole texts of every value of lang outside the held-out fold,
+picked by a hash of the id, of any length; only their text and lang are used.  All languages
+share ``SAMPLE_BYTES`` evenly, and each has one text at least, however long.
 Their words are dealt into sequences that switch language every few words, so that the
 transitions are learnt for code-switched text, and the conditional likelihood is raised by
-stochastic gradient steps.  The model is a table of fixed size, sent to every task.
+stochastic gradient steps.  The model is a table of ``TABLE`` rows and one column per language,
+sent to every task.
 
 Scale: one scan for the sample, one for the predictions, no shuffle of texts.  Inside a task
 all features of a slice are looked up at once, and forward-backward steps through all texts
@@ -28,16 +30,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import SLICE_BYTES, crc_mod, materialize, slices
 from marketlens.llm.textvec import LOWER, U, Words
 
 FOLDS, HELD_OUT = 4, 2
-TRAIN_DOCS, TRAIN_BYTES = 500, 20_000
-#: The most frequent values of lang that are learned.
-MAX_LANGS = 200
+TRAIN_DOCS, SAMPLE_BYTES = 500, 40_000_000
+#: Languages whose trigram sums are held at a time.
+LANG_BLOCK = 8
 #: Rows of the weight table for affixes and trigrams, words per lexicon.
 TABLE, LEXICON = 1 << 16, 2000
 #: Training: sequences of so many words, words per segment, sequences a step, steps.
@@ -84,10 +86,13 @@ class Features:
         out = np.zeros((len(self.start), weights.shape[1]))
         for rows in self.affixes:
             out += weights[rows]
-        total = np.zeros((len(self.trigram) + 1, weights.shape[1]))
-        np.cumsum(weights[self.trigram], axis=0, out=total[1:])
-        last = np.maximum(self.start, self.end - 2)
-        out += total[np.minimum(last, len(self.trigram))] - total[np.minimum(self.start, len(self.trigram))]
+        last = np.minimum(np.maximum(self.start, self.end - 2), len(self.trigram))
+        start = np.minimum(self.start, len(self.trigram))
+        for j in range(0, weights.shape[1], LANG_BLOCK):
+            block = weights[:, j : j + LANG_BLOCK]
+            total = np.zeros((len(self.trigram) + 1, block.shape[1]))
+            np.cumsum(block[self.trigram], axis=0, out=total[1:])
+            out[:, j : j + LANG_BLOCK] += total[last] - total[start]
         has = self.lexicon >= 0
         out[has] += lex[self.lexicon[has]]
         return out
@@ -118,8 +123,9 @@ def forward_backward(e: np.ndarray, first: np.ndarray, move: np.ndarray, moves:
         k = live[t]
         at = begin[:k] + t
         if moves is not None and t + 1 < longest:
-            pair = alpha[at[: live[t + 1]]][:, :, None] * move * ahead[:, None, :]
-            moves += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
+            a = alpha[at[: live[t + 1]]]
+            z = ((a @ move) * ahead).sum(1, keepdims=True)
+            moves += move * ((a / z).T @ ahead)
         m = alpha[at] * beta[:k]
         alpha[at] = m / m.sum(1, keepdims=True)
         ahead = p[at] * beta[:k]
@@ -174,24 +180,35 @@ class Model:
         return (total[words.end] - total[words.start]) > 0
 
 
-def training_rows(docs: DataFrame, per_lang: int = TRAIN_DOCS) -> DataFrame:
-    """(text, lang) of about ``per_lang`` texts of each language outside the held-out fold."""
+def training_rows(docs: DataFrame, per_lang: int = TRAIN_DOCS, sample_bytes: int | None = None) -> DataFrame:
+    """(doc_id, text, lang) of about ``per_lang`` texts of each language outside the held-out fold."""
     text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), lang.alias("lang"))
-    rows = rows.where((crc_mod("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(MAX_LANGS)
-    share = counts.select("lang", F.least(F.lit(per_lang) / F.col("c"), F.lit(1.0)).alias("share"))
-    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    return picked.select("doc_id", "text", "lang")
+    rows = rows.where((crc_mod("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c"), F.min("place").alias("lowest"))
+    share = counts.select("lang", "lowest", F.least(F.lit(per_lang) / F.col("c"), F.lit(1.0)).alias("share"))
+    picked = rows.join(F.broadcast(share), "lang").where((F.col("place") < F.col("share") * 1_000_000) | (F.col("place") == F.col("lowest")))
+    # of a language's picked texts, whole ones until its bytes are used; the first in any case
+    picked = picked.withColumn("size", F.octet_length("text"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "size", F.xxhash64("text"))
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    langs = counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("langs"))
+    picked = picked.withColumns({"nth": F.row_number().over(order), "before": before}).crossJoin(F.broadcast(langs))
+    budget = F.lit(SAMPLE_BYTES if sample_bytes is None else sample_bytes) / F.col("langs")
+    return picked.where((F.col("nth") == 1) | ((F.col("nth") <= 2 * per_lang) & (F.col("before") + F.col("size") <= budget))).select("doc_id", "text", "lang")
 
 
 def learn_lexicon(words: Words, label: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Words that one language has nearly to itself, at most LEXICON for each."""
     known, at = np.unique(words.hash, return_inverse=True)
-    counts = np.zeros((len(known), k))
-    np.add.at(counts, (at, label), 1)
-    total, best = counts.sum(1), counts.argmax(1)
-    own = (counts.max(1) >= 0.9 * total) & (total >= 3)
+    pair, n = np.unique(at * k + label, return_counts=True)  # of the languages a word is in
+    word, lang = pair // k, pair % k
+    total = np.bincount(word, weights=n, minlength=len(known))
+    order = np.lexsort((lang, -n, word))
+    top = order[np.searchsorted(word, np.arange(len(known)))]
+    best = lang[top]
+    own = (n[top] >= 0.9 * total) & (total >= 3)
     keep = []
     for j in range(k):
         mine = np.flatnonzero(own & (best == j))
@@ -211,12 +228,11 @@ def train(docs: DataFrame) -> Model:
     label = np.repeat(np.array([index[x] for x in sample.column("lang").to_pylist()], np.int64), np.diff(words.first))
     lexicon = learn_lexicon(words, label, k)
     f = Features(words, lexicon)
-    weights = np.zeros((TABLE, k))
-    for j in range(k):  # start from each feature's smoothed log-odds, scaled down
-        mine = np.zeros(TABLE)
-        for rows in f.affixes:
-            mine += np.bincount(rows[label == j], minlength=TABLE)
-        weights[:, j] = mine
+    weights = np.zeros(TABLE * k)
+    for rows in f.affixes:  # start from each feature's smoothed log-odds, scaled down
+        cell, n = np.unique(rows.astype(np.int64) * k + label, return_counts=True)
+        weights[cell] += n
+    weights = weights.reshape(TABLE, k)
     share = weights.sum(0) / max(1, weights.sum())
     weights = 0.2 * (np.log(weights + share) - np.log(weights.sum(1, keepdims=True) + 1) - np.log(share))
     lex, move = np.eye(k) * 1.0, np.eye(k) * 1.0
@@ -256,10 +272,13 @@ def train(docs: DataFrame) -> Model:
         inner = np.setdiff1d(np.arange(len(at)), first[1:] - 1)
         m = -expected
         np.add.at(m, (y[inner], y[inner + 1]), 1)
-        w = np.column_stack([np.bincount(flat, weights=miss[owner, j], minlength=TABLE) for j in range(k)])
+        seen_rows, cell = np.unique(flat, return_inverse=True)
+        w = np.column_stack([np.bincount(cell, weights=miss[owner, j]) for j in range(k)])
         v = np.zeros((k, k))
         np.add.at(v, f.lexicon[at][has], miss[has])
-        for param, grad, seen, rate in ((weights, w, grad_w, 0.1), (lex, v, grad_l, 0.1), (move, m / 20, grad_m, 0.1)):
+        grad_w[seen_rows] += w**2
+        weights[seen_rows] += 0.1 * w / np.sqrt(grad_w[seen_rows])
+        for param, grad, seen, rate in ((lex, v, grad_l, 0.1), (move, m / 20, grad_m, 0.1)):
             seen += grad**2
             param += rate * grad / np.sqrt(seen)
     return Model(langs, lexicon, weights.astype(np.float32), lex, np.exp(move))
@@ -271,12 +290,14 @@ RUNS = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("n", p
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per document: doc_id, lang_pred, score and runs of words of one language."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+    model = model or train(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    limit = 4 * SLICE_BYTES * 4 // max(4, len(model.langs))  # marginals have a column per language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # forward-backward steps through all texts of a slice at once: fewer, larger slices
-            for part in slices(batch, limit=4 * SLICE_BYTES):
+            for part in slices(batch, limit=limit):
                 lang, score, runs = sent.value.label(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(runs, RUNS)], ["doc_id", "lang_pred", "score", "runs"])
 

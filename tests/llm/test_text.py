@@ -297,6 +297,22 @@ def test_code_switched_words_are_labelled(spark):
     assert [(r.lang, r.n) for r in crf.identify(docs, model).first().runs] == [("en", 6), ("fr", 6), ("de", 6)]
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than any limit, a rare one, and one whose texts are all long."""
+    monkeypatch.setattr(crf, "STEPS", 20)
+    rows = [(i, f"word{i % 203} {'abcdefghij'[i % 10] * 5}", f"l{i % 203}") for i in range(203 * 6)]
+    rows += [(5000 + i, "zuvo qexi " * 2500, "long") for i in range(8)] + [(6000 + i, "tail wozu", "rare") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % crf.FOLDS != crf.HELD_OUT]
+    assert {r[2] for r in train} >= {"long", "rare"}
+    sample = crf.training_rows(docs, sample_bytes=1000).collect()
+    assert {r.lang for r in sample} == {r[2] for r in train}
+    assert sum(r.lang == "long" for r in sample) == 1 and {len(r.text) for r in sample if r.lang == "long"} == {25000}
+    model = crf.train(docs)
+    assert set(model.langs) == {r[2] for r in train}
+    assert model.label(crf.pa.array(["zuvo qexi zuvo"]))[0] == ["long"]
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 
