@@ -2,7 +2,9 @@
 
 1. A document classifier turns each text into evidence: two logistic heads (low quality,
    toxic) over surface measurements and the log-odds of words and word beginnings.  It is
-   fitted on a bounded sample of labelled rows (``TRAIN_DOCS``, a parameter).
+   fitted on a bounded sample of labelled ids (``TRAIN_DOCS``, a parameter), dealt evenly over
+   the kinds of label, so that a rare kind is there as a whole or with its full part; the
+   heads' constants are corrected to the rates among all labelled ids.
 2. Grouped aggregation sums the evidence of all documents per path and per host.
    A host's rate of bad documents is shrunk towards the global rate, a path's towards
    its host's; how strongly is estimated from the spread between hosts (between paths)
@@ -161,9 +163,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton's method (the constant is not penalised)."""
+def logistic(x: np.ndarray, y: np.ndarray, stands_for: np.ndarray, penalty: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Ridge logistic regression by Newton's method (the constant is not penalised).  A row
+    stands for so many labelled ids: that weighs rows within a class, and the constant
+    moves from the rates of the rows to those of the ids."""
     x = np.column_stack([np.ones(len(x)), x])
+    mean = np.array([stands_for[y == k].mean() if (y == k).any() else 1.0 for k in (0, 1)])
+    weight = stands_for / mean[y.astype(np.int64)]
     w = np.zeros(x.shape[1])
     rate = (y.sum() + 0.5) / (len(y) + 1)
     w[0] = np.log(rate / (1 - rate))
@@ -171,22 +177,39 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 30
     ridge[0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (y - p)) - ridge * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
+    w[0] += np.log(mean[1] / mean[0])
     return w
 
 
+def deal(sizes: list[int], limit: int) -> list[int]:
+    """``limit`` places dealt evenly over groups, what a small group leaves going to the others."""
+    out = [0] * len(sizes)
+    left = limit
+    for done, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        out[i] = min(sizes[i], left // (len(sizes) - done))
+        left -= out[i]
+    return out
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> DataFrame:
-    """(doc_id, low, toxic, text) of at most ``limit`` labelled ids, chosen by a hash of the id."""
+    """(doc_id, low, toxic, stands_for, text) of at most ``limit`` labelled ids, chosen by a hash
+    of the id within each kind of label; each stands for so many ids of its kind."""
     bad = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max((F.coalesce("quality", F.lit(1)) == 0).cast("int")).alias("low"), F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("int")).alias("toxic")
     )
-    # thin out by the hash first, so that the last task gets few more rows than the limit
-    share = min(1.0, 1.2 * limit / max(1, labels.count()))
-    chosen = bad.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    kinds = bad.groupBy(*HEADS).agg(F.count(F.lit(1)).alias("n")).orderBy(*HEADS).collect()
+    chosen = bad.where(F.lit(False)).withColumn("stands_for", F.lit(1.0))
+    for kind, quota in zip(kinds, deal([k["n"] for k in kinds], limit)):
+        rows = bad.where((F.col("low") == kind["low"]) & (F.col("toxic") == kind["toxic"]))
+        # thin out by the hash first, so that the last task gets few more rows than the limit
+        share = min(1.0, (1.2 * quota + 50) / kind["n"])
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+        rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(quota)
+        chosen = chosen.union(rows.withColumn("stands_for", F.lit(kind["n"] / max(1, quota))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id")
 
@@ -228,14 +251,15 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model:
         for batch in batches:
             for part in slices(batch):
                 x = blank.matrix(Measured(part.column("text")))
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column("low"), part.column("toxic")], ["x", "low", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *(part.column(c) for c in (*HEADS, "stands_for"))], ["x", *HEADS, "stands_for"])
 
-    sample = rows.mapInArrow(matrix, "x array<double>, low int, toxic int").toArrow()
+    sample = rows.mapInArrow(matrix, "x array<double>, low int, toxic int, stands_for double").toArrow()
     width = N_SURFACE + 4 * len(HEADS)
     x = sample.column("x").combine_chunks().flatten().to_numpy().reshape(-1, width)
     center = x.mean(0) if len(x) else np.zeros(width)
     scale = np.where((s := x.std(0) if len(x) else np.ones(width)) > 1e-9, s, 1.0)
-    weights = np.vstack([logistic(np.clip((x - center) / scale, -20, 20), sample.column(h).to_numpy().astype(np.float64)) for h in HEADS])
+    stands_for = sample.column("stands_for").to_numpy()
+    weights = np.vstack([logistic(np.clip((x - center) / scale, -20, 20), sample.column(h).to_numpy().astype(np.float64), stands_for) for h in HEADS])
     return Model(lexicon, weights, center, scale)
 
 

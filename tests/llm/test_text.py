@@ -356,6 +356,18 @@ def test_sparse_sites_shrink_to_their_prior(spark):
     assert got[900].p_reject > got[901].p_reject
 
 
+def test_sample_holds_the_rare_labels(spark):
+    """Ten label rows an id, 8 toxic ids of 2,000: 200 ids are used, all toxic ones among them."""
+    docs = spark.createDataFrame([(i, "plain words of a text", "s", "en") for i in range(2000)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 250 == 7)) for i in range(2000) for _ in range(10)], "doc_id long, quality int, toxic int")
+    rows = quality.training_rows(docs, labels, 200).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == 200 and sum(r.toxic for r in rows) == 8
+    model = quality.train(docs, labels, 200)
+    p = model.predict(quality.Measured(quality.pa.array(["plain words of a text"])))[0]
+    assert abs(p[1] - 8 / 2000) < 0.0005 and p[0] < 0.01
+    assert quality.deal([1, 100, 5], 30) == [1, 24, 5] and quality.deal([3, 4], 100) == [3, 4]
+
+
 def test_classifier_takes_odd_tables(spark, wide, empty):
     labels = spark.createDataFrame([(i, i % 5 and 1, 0) for i in range(40)] + [(3, 0, 1), (3, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")
     out = quality.classify(wide, labels)
