@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.session import ensure_checkpoint_dir
+from marketlens.sources.tables import Tables
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int | None) -> DataFrame:
@@ -57,6 +59,71 @@ def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(scalar))
 
 
+#: Columns of the items on which large joins are split, and the tables joined on them.
+SPLIT_KEYS = {"product_id": "products", "seller_id": "sellers"}
+#: A value is hot if it holds this share of the rows or more; so at most 1/HOT_SHARE values are.
+HOT_SHARE = 0.005
+#: Values that the frequency sketch follows: its counts are off by a share of about 1/TRACKED at most.
+TRACKED = 16_384
+
+
+def hot_candidates(df: DataFrame, columns: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
+    """(column_name, value): at most 1/share values of each column, among them every one that holds
+    ``share`` of the rows, by one frequency sketch over the columns (a partial aggregate of fixed size)."""
+    most = int(1 / share) + 1
+    sketch = lambda c: F.expr(f"approx_top_k(cast({c} as string), {most}, {TRACKED})")
+    found = df.agg(F.count(F.lit(1)).alias("n"), *(sketch(c).alias(c) for c in columns))
+    each = [found.select(F.lit(c).alias("column_name"), "n", F.explode(c).alias("v")) for c in columns]
+    slack = share - 2 / TRACKED
+    out = reduce(DataFrame.unionByName, each).where(F.col("v.item").isNotNull() & (F.col("v.count") >= F.col("n") * slack))
+    return out.select("column_name", F.col("v.item").alias("value"))
+
+
+#: Rows that a hot value may have in the dimension that is broadcast for it.
+MAX_COPIES = 100
+
+
+def hot_keys(t: Tables, dimensions: Mapping[str, str] = SPLIT_KEYS, share: float = HOT_SHARE) -> dict[str, list[str]]:
+    """By column of the items, the values that hold about ``share`` of the rows or more.
+
+    ``dimensions``: the table that is joined on each column.  A value with more than MAX_COPIES rows
+    there (its key is declared unique, but nothing enforces that) is left out, so that what
+    ``split_join`` broadcasts is at most MAX_COPIES / share rows.  At most 1/share values of a column reach the driver.
+    """
+    out: dict[str, list[str]] = {}
+    found = [(row.column_name, row.value) for row in hot_candidates(t.order_items, list(dimensions), share).collect()]
+    for column, table in dimensions.items():
+        values = sorted(v for c, v in found if c == column)
+        rows = getattr(t, table).where(F.col(column).isin(*values)).groupBy(column).count().where(F.col("count") > MAX_COPIES)
+        copied = {r[column] for r in rows.collect()} if values else set()
+        out[column] = [v for v in values if v not in copied]
+    return out
+
+
+def with_hot_keys(t: Tables, share: float = HOT_SHARE) -> Tables:
+    """The same tables with the items' hot values: one scan of those columns."""
+    return t.replace(hot=hot_keys(t, share=share))
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence[str]) -> DataFrame:
+    """Inner equi-join of ``left`` with ``right`` on a string ``key`` where ``hot`` values hold much of ``left``.
+
+    Rows of hot values meet their rows of ``right`` by broadcast, whose size ``hot_keys`` has
+    bounded.  All others take the shuffle.  One read of ``left``: hot rows pass the shuffled join under
+    made-up keys of their own, spread evenly, and match nothing there.
+    """
+    if not hot:
+        return left.join(right, key)
+    columns = [c for c in right.columns if c != key]
+    is_hot = F.col(key).isin(*hot)
+    few = right.where(is_hot).select(key, F.struct(*columns).alias("__hot"))
+    rest = right.where(~is_hot).select(F.col(key).alias("__key"), F.struct(*columns).alias("__rest"))
+    own = F.concat(F.lit("\0hot "), F.xxhash64(F.monotonically_increasing_id()).cast("string"))
+    marked = left.join(F.broadcast(few), key, "left").withColumn("__key", F.when(is_hot, own).otherwise(F.col(key)))
+    joined = marked.join(rest, "__key", "left").withColumn("__found", F.when(is_hot, F.col("__hot")).otherwise(F.col("__rest")))
+    return joined.where("__found is not null").select(*left.columns, *(F.col("__found")[c].alias(c) for c in columns))
+
+
 def review_stats(reviews: DataFrame) -> DataFrame:
     """Reviews reduced to one row per order.
 

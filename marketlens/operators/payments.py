@@ -58,18 +58,40 @@ def installment_satisfaction(t: Tables, payment_type: str = CREDIT_CARD) -> Data
     ).transform(sort_small, F.col("payment_installments").asc_nulls_first())
 
 
-def payment_risk_tiers(t: Tables, rule: PaymentRiskRule = PaymentRiskRule(), payment_type: str = CREDIT_CARD) -> DataFrame:
+def tier_sums(t: Tables, rule: PaymentRiskRule = PaymentRiskRule(), payment_type: str = CREDIT_CARD) -> DataFrame:
+    """Per risk tier: sums over payment × review rows, from which ``tiers_of_sums`` makes the report."""
     w = fanout_weight()
     rows = credit_payments(t, payment_type).withColumn(
         "payment_risk_tier", rule.label(F.col("payment_installments"), F.col("payment_value"))
     ).join(review_stats(t.reviews), "order_id", "left")
+    weighted = lambda c: (F.sum(F.col(c) * w), F.sum(F.when(F.col(c).isNotNull(), w)))
+    (value_sum, value_cnt), (instalment_sum, instalment_cnt) = weighted("payment_value"), weighted("payment_installments")
     return rows.groupBy("payment_risk_tier").agg(
         F.sum(w).alias("total_orders"),
-        _weighted_avg("payment_value", w).alias("avg_order_value"),
-        _weighted_avg("payment_installments", w).alias("avg_installments"),
-        r(ratio(F.sum(review_score_sum()), F.sum(review_score_cnt()))).alias("avg_review_score"),
-        r(F.sum(F.col("payment_value") * w)).alias("total_exposure"),
-    ).transform(sort_small, F.col("total_exposure").desc_nulls_last(), F.col("payment_risk_tier").asc_nulls_first())
+        value_sum.alias("value_sum"),
+        value_cnt.alias("value_cnt"),
+        instalment_sum.alias("instalment_sum"),
+        instalment_cnt.alias("instalment_cnt"),
+        F.sum(review_score_sum()).alias("rv_sum"),
+        F.sum(review_score_cnt()).alias("rv_cnt"),
+    )
+
+
+def tiers_of_sums(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        "payment_risk_tier",
+        "total_orders",
+        r(ratio("value_sum", "value_cnt")).alias("avg_order_value"),
+        r(ratio("instalment_sum", "instalment_cnt")).alias("avg_installments"),
+        r(ratio("rv_sum", "rv_cnt")).alias("avg_review_score"),
+        r("value_sum").alias("total_exposure"),
+    )
+
+
+def payment_risk_tiers(t: Tables, rule: PaymentRiskRule = PaymentRiskRule(), payment_type: str = CREDIT_CARD) -> DataFrame:
+    return tiers_of_sums(tier_sums(t, rule, payment_type)).transform(
+        sort_small, F.col("total_exposure").desc_nulls_last(), F.col("payment_risk_tier").asc_nulls_first()
+    )
 
 
 def payment_risk_by_payment(t: Tables, rule: PaymentRiskRule = PaymentRiskRule(), payment_type: str = CREDIT_CARD) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from marketlens.functions.numeric import pct
+from marketlens.functions.rules import EXCLUDED_STATUSES
+from marketlens.operators.common import hot_candidates, sort_small, with_scalar
 from marketlens.sources.schemas import PRIMARY_KEYS, SCHEMAS, VARCHAR_WIDTHS
-from marketlens.operators.common import sort_small
 from marketlens.sources.tables import TABLE_NAMES, Tables
 
 
@@ -118,3 +120,131 @@ def orphan_and_length_audit(t: Tables) -> DataFrame:
 def _entry(names: tuple[str, str, str, str], value: Column) -> Column:
     audit, table, column, rule = names
     return F.struct(F.lit(audit).alias("audit"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), F.lit(rule).alias("rule"), value.alias("value"))
+
+
+# ---------------------------------------------------------------- collation
+
+#: Text that statements compare, group or sort by.
+COMPARED = {
+    "customers": ("customer_city", "customer_state"),
+    "orders": ("order_status",),
+    "products": ("product_category_name",),
+    "sellers": ("seller_city", "seller_state"),
+    "payments": ("payment_type",),
+    "geolocation": ("geolocation_city", "geolocation_state"),
+}
+#: The published server's default comparison: neither case nor accents count.
+COLLATION = "UNICODE_CI_AI"
+
+
+def collated(t: Tables, collation: str = COLLATION) -> Tables:
+    """The same tables with the compared text columns under a collation, so that every job on them
+    filters, groups, joins and sorts by it: ``'Canceled' = 'canceled'``."""
+    frames = {name: getattr(t, name).withColumns({c: F.collate(F.col(c), collation) for c in columns}) for name, columns in COMPARED.items()}
+    return t.replace(**frames)
+
+
+def collation_audit(t: Tables, collation: str = COLLATION) -> DataFrame:
+    """Per compared column: different values, different values under the collation, groups of
+    values that become one, and the rows in them.
+
+    Values are counted first (a partial aggregate over one scan a table), so the collation is
+    applied to values and not to rows.
+    """
+    found = []
+    for table, columns in COMPARED.items():
+        entries = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns))
+        rows = getattr(t, table).select(F.explode(entries).alias("e")).where("e.value is not null")
+        found.append(rows.groupBy("e.column_name", "e.value").agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), "column_name", "value", "n"))
+    key = F.collate(F.col("value"), collation).alias("key")
+    groups = _union(found).groupBy("table_name", "column_name", key).agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n"))
+    several = F.col("spellings") > 1
+    out = groups.groupBy("table_name", "column_name").agg(
+        F.sum("spellings").alias("distinct_values"),
+        F.count(F.lit(1)).alias("distinct_under_collation"),
+        F.sum(F.when(several, 1).otherwise(0)).alias("merged_groups"),
+        F.sum(F.when(several, F.col("n")).otherwise(0)).alias("merged_rows"),
+    )
+    return out.transform(sort_small, "table_name", "column_name")
+
+
+# ---------------------------------------------------------------- rows lost in inner joins
+
+#: Inner joins of the statements, in order: of items with a flag that a row must have to enter, or of
+#: orders.  Flags are those of ``_item_flags`` and ``_order_flags``.
+ITEM_JOINS = {
+    "revenue_leakage_by_status": ("any", ("orders",)),
+    "seller_cancellation_ranking": ("any", ("orders", "sellers")),
+    "freight_margin_risk_items": ("priced", ("products", "sellers")),
+    "category_margin_risk": ("priced", ("products",)),
+    "seller_category_benchmark": ("any", ("orders", "products", "sellers")),
+    "seller_classification": ("any", ("orders", "sellers")),
+}
+ORDER_JOINS = {
+    "revenue_leakage_by_status": ("any", ("order_items",)),
+    "rfm_scores": ("kept", ("customers", "order_items")),
+    "cohort_retention": ("kept", ("customers",)),
+}
+
+
+def _marked(df: DataFrame, parent: DataFrame, key: str, flag: str) -> DataFrame:
+    """``df`` with a flag: does ``parent`` have the key?  Parent keys are made distinct first, so no row multiplies."""
+    there = parent.where(F.col(key).isNotNull()).select(key).distinct().withColumn(flag, F.lit(True))
+    return df.join(there, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def _item_flags(t: Tables) -> DataFrame:
+    """Numbers of items by what they find: reduced to (product, seller) before those joins."""
+    items = t.order_items.select("order_id", "product_id", "seller_id", F.coalesce(F.col("price") > 0, F.lit(False)).alias("priced"))
+    few = _marked(items, t.orders, "order_id", "orders").groupBy("product_id", "seller_id", "priced", "orders").agg(F.count(F.lit(1)).alias("n"))
+    few = _marked(_marked(few, t.products, "product_id", "products"), t.sellers, "seller_id", "sellers")
+    return few.groupBy("priced", "orders", "products", "sellers").agg(F.sum("n").alias("n")).withColumn("any", F.lit(True))
+
+
+def _order_flags(t: Tables, excluded: tuple[str, ...]) -> DataFrame:
+    kept = F.coalesce(~F.col("order_status").isin(*excluded), F.lit(False))
+    orders = t.orders.select("order_id", "customer_id", kept.alias("kept"))
+    rows = _marked(_marked(orders, t.order_items, "order_id", "order_items"), t.customers, "customer_id", "customers")
+    return rows.groupBy("kept", "order_items", "customers").agg(F.count(F.lit(1)).alias("n")).withColumn("any", F.lit(True))
+
+
+def _losses(flags: DataFrame, driving: str, joins: dict) -> DataFrame:
+    steps = []
+    for statement, (enter, parents) in joins.items():
+        enters = F.col(enter)
+        for step, parent in enumerate(parents, 1):
+            steps.append(F.struct(F.lit(statement).alias("statement"), F.lit(step).alias("step"), F.lit(parent).alias("joined_to"), enters.alias("enters"), (enters & ~F.col(parent)).alias("lost")))
+            enters = enters & F.col(parent)
+    rows = flags.select("n", F.explode(F.array(*steps)).alias("s"))
+    count = lambda flag: F.coalesce(F.sum(F.when(F.col(f"s.{flag}"), F.col("n"))), F.lit(0)).cast("bigint")
+    return rows.groupBy("s.statement", "s.step", "s.joined_to").agg(count("enters").alias("rows_in"), count("lost").alias("rows_lost")).withColumn("driving_table", F.lit(driving))
+
+
+def join_loss_by_statement(t: Tables, excluded: tuple[str, ...] = EXCLUDED_STATUSES) -> DataFrame:
+    """Per statement and inner join: rows of the driving table that enter the join, and those that find
+    no partner and silently drop out.
+
+    Items and orders are each read once as driving table, whatever the number of statements: a row's flags say which
+    parents it has, and every statement's losses follow from the numbers of rows by flags.
+    """
+    frames = [_losses(_item_flags(t), "order_items", ITEM_JOINS), _losses(_order_flags(t, excluded), "orders", ORDER_JOINS)]
+    columns = ["statement", "driving_table", "step", "joined_to", "rows_in", "rows_lost"]
+    return _union(frames).select(columns).transform(sort_small, "statement", "driving_table", "step")
+
+
+# ---------------------------------------------------------------- heavy hitters
+
+def heavy_hitter_audit(t: Tables, share: float = 0.01) -> DataFrame:
+    """Products and sellers that hold ``share`` of the items or more, with their exact numbers of rows.
+
+    A frequency sketch finds at most 1/share candidates a column; only their rows are counted
+    in a second pass.  These are the values at which joins are split (``common.split_join``).
+    """
+    columns = ["product_id", "seller_id"]
+    candidates = hot_candidates(t.order_items, columns, share)
+    entries = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns))
+    rows = t.order_items.select(F.explode(entries).alias("e")).select("e.*").join(F.broadcast(candidates), ["column_name", "value"])
+    counts = rows.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows"))
+    out = with_scalar(counts, t.order_items.agg(F.count(F.lit(1)).alias("all_rows")))
+    out = out.where(F.col("rows") >= F.col("all_rows") * F.lit(share)).select("column_name", "value", "rows", pct("rows", "all_rows").alias("pct_of_rows"))
+    return out.transform(sort_small, "column_name", F.col("rows").desc(), "value")

@@ -1,9 +1,7 @@
 """Executive summary: KPI table, recommendations and dashboard cards.
 
-The published summary is typed in by hand.  Here every number is computed
-from the analyses above: each analysis is reduced to one row of figures,
-the rows are placed side by side (cross join of one-row frames: bounded,
-broadcast) and the KPI / recommendation rows are produced from that one
+The published summary is typed in by hand.  Here every number is computed: ``summary`` reduces the
+analyses to one row of figures, and the KPI / recommendation rows are produced from that one
 wide row.  Nothing is collected to the driver; all text is
 formatted by Spark expressions after the numbers are rounded.
 """
@@ -11,17 +9,15 @@ formatted by Spark expressions after the numbers are rounded.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions import rules as R
 from marketlens.functions import published as P
-from marketlens.functions.numeric import as_dec2, avg2, pct, r, ratio
-from marketlens.operators import delivery, payments, revenue, sellers
-from marketlens.operators.common import checkpoint_once, fanout_weight, review_score_cnt, review_score_sum, review_stats, sort_small
+from marketlens.functions.numeric import r, ratio
+from marketlens.operators.common import checkpoint_once, sort_small
+from marketlens.operators.summary import DEFAULT_RULES, SummaryRules, figures
 from marketlens.sources.tables import Tables
 
 
@@ -57,195 +53,6 @@ def na(x: Column) -> Column:
     return F.coalesce(x, F.lit("n/a"))
 
 
-# ---------------------------------------------------------------- figures
-
-@dataclass(frozen=True)
-class SummaryRules:
-    """Every threshold and status of the analyses behind the summary."""
-
-    delivery: R.DeliveryRule = R.DeliveryRule()
-    rfm: R.RfmRule = R.RfmRule()
-    segments: R.SegmentRuleB = R.SegmentRuleB()
-    seller: R.SellerRule = R.SellerRule()
-    payment: R.PaymentRiskRule = R.PaymentRiskRule()
-    cancelled: str = R.CANCELED
-    delivered: str = R.DELIVERED
-    excluded: tuple[str, ...] = R.EXCLUDED_STATUSES
-    pipeline: tuple[str, ...] = R.PIPELINE_STATUSES
-    credit: str = R.CREDIT_CARD
-    min_orders: int = 10
-
-
-DEFAULT_RULES = SummaryRules()
-
-
-def _pick(label_col: str, label: str, value_col: str, agg=F.max) -> Column:
-    return agg(F.when(F.col(label_col) == label, F.col(value_col)))
-
-
-def _side_by_side(frames: list[DataFrame]) -> DataFrame:
-    # Each frame is a global aggregate: exactly one row, so the product is one row.
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), frames)
-
-
-def _order_facts(t: Tables, rules: SummaryRules) -> DataFrame:
-    """One row per order (or order id of items): status, dates, item sums, review stats, person."""
-    orders = t.orders.select(
-        "order_id",
-        "customer_id",
-        F.lit(1).alias("is_order"),
-        "order_status",
-        F.col("order_purchase_timestamp").alias("bought"),
-        F.col(delivery.DELIVERED_AT).alias("arrived"),
-        F.col(delivery.ESTIMATED_AT).alias("promised"),
-    )
-    items = t.order_items.groupBy("order_id").agg(
-        F.sum("price").alias("price_sum"), F.count("price").alias("price_cnt"), F.count(F.lit(1)).alias("items")
-    )
-    people = t.customers.select("customer_id", "customer_unique_id", F.lit(1).alias("known"))
-    return orders.join(items, "order_id", "full").join(review_stats(t.reviews), "order_id", "left").join(people, "customer_id", "left")
-
-
-def _order_figures(t: Tables, as_of: dt.date | str, rules: SummaryRules) -> DataFrame:
-    """Revenue, delivery and customer figures from one pass over orders, items and reviews.
-
-    Every order goes to up to three groups: its status and delivery tier, its person and,
-    if critically late, its delivery date.  One aggregation makes all groups, a second one
-    the figures.
-    """
-    c = F.col
-    status = c("order_status")
-    late = F.datediff("arrived", "promised")
-    dated = (status == rules.delivered) & c("arrived").isNotNull() & c("promised").isNotNull()
-    tier = F.when(dated, F.substring(rules.delivery.label(c("arrived"), c("promised"), tiered=True), 1, 1))
-    kept = (c("is_order") == 1) & ~status.isin(*rules.excluded)
-    none = F.lit(None).cast("string")
-    grain = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
-    groups = F.array(
-        grain("status", status, tier),
-        F.when(kept & (c("known") == 1), grain("person", c("customer_unique_id"), none)),
-        F.when(tier == "4", grain("date", F.to_date("arrived").cast("string"), none)),
-    )
-    has_items = (c("is_order") == 1) & c("items").isNotNull()
-    w = fanout_weight()
-    rows = _order_facts(t, rules).withColumn("late", late).withColumn("w", w).withColumn("has_items", has_items).withColumn("g", F.explode(groups))
-    grouped = rows.where(c("g").isNotNull()).groupBy("g.kind", "g.a", "g.b").agg(
-        F.sum("is_order").alias("n"),
-        F.count(F.when(c("has_items"), 1)).alias("n_items"),
-        F.sum(F.when(c("has_items"), c("price_sum"))).alias("price_sum"),
-        F.sum(F.when(c("has_items"), c("price_cnt"))).alias("price_cnt"),
-        F.sum(F.when(c("is_order") == 1, c("w"))).alias("w"),
-        F.sum(F.when(c("is_order") == 1, review_score_sum())).alias("rv_sum"),
-        F.sum(F.when(c("is_order") == 1, review_score_cnt())).alias("rv_cnt"),
-        F.sum(c("items") * review_score_sum()).alias("item_rv_sum"),
-        F.sum(c("items") * review_score_cnt()).alias("item_rv_cnt"),
-        F.min("late").alias("least_late"),
-        F.max("late").alias("most_late"),
-        F.max(F.struct("late", F.to_date("arrived").alias("on"))).alias("worst"),
-        F.max(F.when(c("has_items"), c("bought"))).alias("last_bought"),
-    )
-    copies = t.customers.groupBy("customer_unique_id").agg(F.count(F.lit(1)).alias("customer_rows"))
-    grouped = grouped.join(copies, (c("kind") == "person") & (c("a") == c("customer_unique_id")), "left")
-
-    is_status, is_person = c("kind") == "status", c("kind") == "person"
-    spend, days = r("price_sum"), F.datediff(F.lit(str(as_of)).cast("date"), c("last_bought"))
-    segment = rules.segments.label(rules.rfm.recency_score(c("days")), rules.rfm.frequency_score(c("n_items")), rules.rfm.monetary_score(c("spend")), c("days"), c("n_items"), c("spend"))
-    grouped = grouped.withColumns({"spend": spend, "days": days}).withColumn("segment", F.when(is_person & (c("n_items") > 0), segment))
-
-    def of(condition: Column, value: Column | str) -> Column:
-        return F.sum(F.when(condition, c(value) if isinstance(value, str) else value))
-
-    cancelled = is_status & (c("a") == rules.cancelled)
-    pipeline = is_status & c("a").isin(*rules.pipeline)
-    on_time, critical = is_status & (c("b") == "1"), is_status & (c("b") == "4")
-    some = is_status & (c("n_items") > 0)
-    person = is_person & c("a").isNotNull()
-    champion, cold = c("segment") == R.SEG_CHAMPION, c("segment") == R.SEG_CANNOT_LOSE
-
-    def mean(condition: Column, value: Column, n: int = 2) -> Column:
-        return r(ratio(of(condition, value), F.count(F.when(condition, value))), n)
-
-    repeat = of(person, F.when(c("n") >= 2, c("customer_rows")).otherwise(0)).cast("bigint")
-    date = F.max(F.when(c("kind") == "date", F.struct(c("n"), c("a").alias("on"), "least_late", "most_late")))
-    figures = grouped.agg(
-        r(of(some, "price_sum")).alias("gross_revenue"),
-        r(of(cancelled & some, "price_sum")).alias("cancel_revenue"),
-        of(cancelled & some, "n_items").alias("cancel_orders"),
-        r(of(pipeline & some, "price_sum")).alias("pipeline_revenue"),
-        of(pipeline & some, "n_items").alias("pipeline_orders"),
-        of(some, "n_items").alias("orders_with_items"),
-        r(ratio(of(some, "price_sum"), of(some, "price_cnt"))).alias("avg_item_price"),
-        pct(of(cancelled, "n"), of(is_status, "n")).alias("cancel_share_pct"),
-        pct(of(on_time, "w"), of(is_status & c("b").isNotNull(), "n")).alias("on_time_pct"),
-        r(ratio(of(on_time, "rv_sum"), of(on_time, "rv_cnt"))).alias("on_time_review"),
-        r(ratio(of(critical, "rv_sum"), of(critical, "rv_cnt"))).alias("critical_review"),
-        of(critical, "w").alias("critical_rows"),
-        F.max(F.when(is_status & c("b").isNotNull(), c("worst"))).alias("worst"),
-        date.alias("date"),
-        F.count(F.when(person, 1)).alias("total_unique_customers"),
-        repeat.alias("repeat_customers"),
-        pct(repeat, F.count(F.when(person, 1))).alias("retention_rate_pct"),
-        of(champion, F.lit(1)).alias("champions"),
-        mean(champion, as_dec2("spend")).alias("champion_spend"),
-        of(cold, F.lit(1)).alias("cold_customers"),
-        mean(cold, as_dec2("spend")).alias("cold_spend"),
-        mean(cold, c("days"), 0).alias("cold_days"),
-        r(ratio(of(is_status, "item_rv_sum"), of(is_status, "item_rv_cnt"))).alias("platform_review"),
-    )
-    return figures.select(
-        "*",
-        c("worst.late").alias("worst_delay_days"),
-        F.year("worst.on").alias("worst_year"),
-        c("date.on").alias("date_on"),
-        c("date.n").alias("date_orders"),
-        c("date.least_late").alias("date_least"),
-        c("date.most_late").alias("date_most"),
-    ).drop("worst", "date")
-
-
-def figures(t: Tables, as_of: dt.date | str = R.DEFAULT_AS_OF, rules: SummaryRules = DEFAULT_RULES) -> DataFrame:
-    """One row with every number the summary needs."""
-    # Top-5 loss categories once; the first of them by the report order
-    # (loss desc, category asc with NULL first) is the top category.
-    first = F.min_by(
-        F.struct("product_category_name", "avg_freight_pct"),
-        F.struct((-F.col("total_money_lost")).alias("neg_loss"), F.col("product_category_name")),
-    )
-    freight = revenue.category_margin_risk(t, k=5).agg(r(F.sum("total_money_lost")).alias("freight_loss_top5"), first.alias("top1")).select(
-        "freight_loss_top5",
-        F.col("top1.product_category_name").alias("top_freight_category"),
-        F.col("top1.avg_freight_pct").alias("top_freight_pct"),
-    )
-    seller_count = t.sellers.agg(F.count(F.lit(1)).alias("sellers"))
-    label = "seller_classification"
-    cls = sellers.seller_classification_summary(t, rules.seller, rules.cancelled, rules.min_orders).agg(
-        _pick(label, R.SELLER_ELITE, "total_sellers").alias("elite_sellers"),
-        _pick(label, R.SELLER_ELITE, "avg_revenue").alias("elite_revenue"),
-        _pick(label, R.SELLER_HIGH_CANCEL, "total_sellers").alias("high_cancel_sellers"),
-        _pick(label, R.SELLER_HIGH_CANCEL, "avg_cancellation_rate").alias("high_cancel_rate"),
-        _pick(label, R.SELLER_UNDERMONETISED, "total_sellers").alias("undermonetised_sellers"),
-        _pick(label, R.SELLER_UNDERMONETISED, "avg_review_score").alias("undermonetised_review"),
-        _pick(label, R.SELLER_UNDERMONETISED, "avg_revenue").alias("undermonetised_revenue"),
-    )
-    by_credit = F.col("payment_type") == rules.credit
-    paid = t.payments.agg(
-        F.countDistinct(F.when(by_credit, F.col("order_id"))).alias("credit_orders"),
-        F.countDistinct("order_id").alias("paid_orders"),
-        avg2(F.when(by_credit, F.col("payment_installments"))).alias("credit_installments"),
-        F.count(F.when(by_credit, 1)).alias("credit_rows"),
-    ).select(F.when(F.col("credit_rows") > 0, pct("credit_orders", "paid_orders")).alias("credit_share"), "credit_installments")
-    tiers = payments.payment_risk_tiers(t, rules.payment, rules.credit).agg(
-        _pick("payment_risk_tier", R.PAY_HIGH, "total_exposure").alias("high_risk_exposure"),
-        _pick("payment_risk_tier", R.PAY_HIGH, "total_orders").alias("high_risk_rows"),
-        _pick("payment_risk_tier", R.PAY_HIGH, "avg_review_score").alias("high_risk_review"),
-        F.min("avg_review_score").alias("least_tier_review"),
-        _pick("payment_risk_tier", R.PAY_NONE, "total_orders").alias("paid_in_full_rows"),
-        _pick("payment_risk_tier", R.PAY_NONE, "avg_review_score").alias("paid_in_full_review"),
-    )
-    wide = _side_by_side([_order_figures(t, as_of, rules), freight, seller_count, cls, paid, tiers])
-    return wide.withColumn("dormant_value", F.col("cold_customers").cast("double") * F.col("cold_spend"))
-
-
 # ---------------------------------------------------------------- KPI table
 
 def _kpi_rows(f: DataFrame) -> DataFrame:

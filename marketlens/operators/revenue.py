@@ -12,12 +12,19 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.numeric import as_dec10, pct, r, ratio, sum_if, wavg2
 from marketlens.functions.rules import CANCELED, FreightRule
-from marketlens.operators.common import sort_small, top_k, with_group_total
+from marketlens.operators.common import sort_small, split_join, top_k, with_group_total
 from marketlens.sources.tables import Tables
 
 
-def order_status_breakdown(t: Tables) -> DataFrame:
-    by_status = t.orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("total_orders"))
+def order_status_breakdown(t: Tables, collation: str | None = None) -> DataFrame:
+    """``collation``: statuses that it takes for equal are one group, shown by its least spelling."""
+    status = F.col("order_status")
+    if collation is None:
+        by_status = t.orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("total_orders"))
+    else:
+        spelled = t.orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("n"))
+        merged = spelled.groupBy(F.collate(status, collation).alias("key")).agg(F.min("order_status").alias("order_status"), F.sum("n").alias("total_orders"))
+        by_status = merged.drop("key")
     # Every order falls in exactly one status group, so the total is the sum of the groups.
     return with_group_total(by_status, "total_orders", "all_orders").select(
         "order_status",
@@ -135,9 +142,9 @@ def _freight_pct():
 
 def freight_margin_risk_items(t: Tables, rule: FreightRule = FreightRule(), k: int | None = 20) -> DataFrame:
     items = t.order_items.where(F.col("price") > 0).select("order_id", "product_id", "seller_id", "price", "freight_value")
-    joined = items.join(t.products.select("product_id", "product_category_name"), "product_id").join(
-        t.sellers.select("seller_id", "seller_state"), "seller_id"
-    )
+    # Both joins are at item grain, where a product or seller may hold a large share of the rows.
+    joined = split_join(items, t.products.select("product_id", "product_category_name"), "product_id", t.hot.get("product_id", ()))
+    joined = split_join(joined, t.sellers.select("seller_id", "seller_state"), "seller_id", t.hot.get("seller_id", ()))
     out = joined.select(
         "order_id",
         r("price").alias("product_price"),
@@ -155,10 +162,11 @@ def freight_margin_risk_items(t: Tables, rule: FreightRule = FreightRule(), k: i
     return top_k(out, order, k)
 
 
-def category_margin_risk(t: Tables, k: int | None = 15) -> DataFrame:
+def product_freight_sums(t: Tables) -> DataFrame:
+    """Per product: sums over its priced items, from which category averages are made."""
     p, f = F.col("price"), F.col("freight_value")
     critical = f >= p
-    per_product = t.order_items.where(p > 0).groupBy("product_id").agg(
+    return t.order_items.where(p > 0).groupBy("product_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(p).alias("price_sum"),
         F.count(p).alias("price_cnt"),
@@ -169,9 +177,11 @@ def category_margin_risk(t: Tables, k: int | None = 15) -> DataFrame:
         sum_if(critical).alias("critical"),
         sum_if(critical, f - p).alias("lost"),
     )
-    per_category = per_product.join(t.products.select("product_id", "product_category_name"), "product_id").groupBy(
-        "product_category_name"
-    ).agg(
+
+
+def category_freight(per_product: DataFrame, k: int | None = 15) -> DataFrame:
+    """The report of categories from ``product_freight_sums`` with their products' category."""
+    per_category = per_product.groupBy("product_category_name").agg(
         F.sum("n").alias("total_items"),
         wavg2("price_sum", "price_cnt").alias("avg_product_price"),
         wavg2("freight_sum", "freight_cnt").alias("avg_freight_cost"),
@@ -185,3 +195,8 @@ def category_margin_risk(t: Tables, k: int | None = 15) -> DataFrame:
         [F.col("total_money_lost").desc_nulls_last(), F.col("product_category_name").asc_nulls_first()],
         k,
     )
+
+
+def category_margin_risk(t: Tables, k: int | None = 15) -> DataFrame:
+    categories = t.products.select("product_id", "product_category_name")
+    return category_freight(product_freight_sums(t).join(categories, "product_id"), k)

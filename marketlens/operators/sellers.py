@@ -20,6 +20,7 @@ from marketlens.operators.common import (
     review_score_sum,
     review_stats,
     sort_small,
+    split_join,
     top_k,
     with_scalar,
 )
@@ -45,7 +46,7 @@ def _fanout_metrics(cancelled: str) -> list:
 
 
 def seller_category_benchmark(t: Tables, cancelled: str = CANCELED, min_orders: int = 10, k: int | None = 30) -> DataFrame:
-    rows = _item_rows(t).join(t.products.select("product_id", "product_category_name"), "product_id")
+    rows = split_join(_item_rows(t), t.products.select("product_id", "product_category_name"), "product_id", t.hot.get("product_id", ()))
     per_group = rows.groupBy("seller_id", "product_category_name").agg(*_fanout_metrics(cancelled))
     out = (
         per_group.where(F.col("total_orders") >= min_orders)
@@ -76,6 +77,31 @@ def _known(t: Tables, df: DataFrame, check: bool) -> DataFrame:
     return df.join(t.sellers.select("seller_id"), "seller_id", "left_semi") if check else df
 
 
+def seller_sums(t: Tables, cancelled: str = CANCELED) -> DataFrame:
+    """Per seller: the sums that ``base_of_sums`` makes the rounded figures of."""
+    w = fanout_weight()
+    return _item_rows(t).groupBy("seller_id").agg(
+        F.countDistinct("order_id").alias("total_orders"),
+        F.sum(F.col("price") * w).alias("price_sum"),
+        F.sum(F.when(F.col("price").isNotNull(), w)).alias("price_cnt"),
+        F.sum(review_score_sum()).alias("rv_sum"),
+        F.sum(review_score_cnt()).alias("rv_cnt"),
+        F.sum(F.when(F.col("order_status") == cancelled, w).otherwise(0)).alias("cancellations"),
+    )
+
+
+def base_of_sums(sums: DataFrame, *others: str) -> DataFrame:
+    """Rounded revenue, review and cancellation rate per seller, with ``total_orders`` and ``others``."""
+    return sums.select(
+        "seller_id",
+        "total_orders",
+        r("price_sum").alias("total_revenue"),
+        r(ratio("rv_sum", "rv_cnt")).alias("avg_review_score"),
+        pct("cancellations", "total_orders").alias("cancellation_rate"),
+        *others,
+    )
+
+
 def seller_base(t: Tables, cancelled: str = CANCELED, min_orders: int = 10, check_sellers: bool = True) -> DataFrame:
     """Per seller with at least ``min_orders`` distinct orders: rounded revenue,
     review and cancellation rate over item × review rows (as published).

@@ -13,21 +13,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.functions.rules import TESTDATA_AS_OF
-from marketlens.operators import customers, delivery, payments, quality, report, revenue, sellers
+from marketlens.operators import customers, delivery, payments, quality, report, revenue, sellers, summary
 from marketlens.plans import oracle
+from marketlens.sources import ledger
 from marketlens.sources.marts import open_marts
 from marketlens.sources.tables import Tables
 from marketlens.sources.testdata import from_testdata
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Input directory -> root of marts published from it (see ``use_marts``).
+#: Input directory -> root of marts published from it (see ``use_marts``), and the tables
+#: opened there by session.
 _MARTS: dict[str, str] = {}
+_OPENED: dict[tuple[int, str], Tables] = {}
 
 
 def use_marts(sf_dir: str, root: str | None) -> None:
     """From now on queries on ``sf_dir`` read the marts published at ``root``
-    (``sources.marts.publish_marts``); None goes back to the derivation."""
+    (``sources.marts.publish_marts``), in the version that is the newest one at the first query;
+    naming the root again takes the newest one.  None goes back to the derivation."""
+    for key in [k for k in _OPENED if k[1] == sf_dir.rstrip("/")]:
+        del _OPENED[key]
     if root is None:
         _MARTS.pop(sf_dir.rstrip("/"), None)
     else:
@@ -38,7 +44,12 @@ def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     """The eight tables for ``sf_dir``: published marts if the caller named some,
     otherwise lazy projections of the raw tables.  Nothing is written here."""
     root = _MARTS.get(sf_dir.rstrip("/"))
-    return open_marts(spark, root) if root else from_testdata(spark, sf_dir)
+    if root is None:
+        return from_testdata(spark, sf_dir)
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    if key not in _OPENED:
+        _OPENED[key] = open_marts(spark, root)
+    return _OPENED[key]
 
 
 def _on_testdata(job: Callable[[Tables], DataFrame]) -> Query:
@@ -51,6 +62,8 @@ def _on_testdata(job: Callable[[Tables], DataFrame]) -> Query:
 
 
 AS_OF = TESTDATA_AS_OF
+#: Orders bought from this day on are the new ones of the incremental summary.
+NEW_SINCE = "1998-06-01"
 
 QUERIES: dict[str, Query] = {
     # load checks and audits
@@ -58,6 +71,10 @@ QUERIES: dict[str, Query] = {
     "key_uniqueness_audit": _on_testdata(quality.key_uniqueness_audit),
     "blank_value_audit": _on_testdata(quality.blank_value_audit),
     "orphan_and_length_audit": _on_testdata(quality.orphan_and_length_audit),
+    "heavy_hitter_audit": _on_testdata(quality.heavy_hitter_audit),
+    "collation_audit": _on_testdata(quality.collation_audit),
+    "join_loss_by_statement": _on_testdata(quality.join_loss_by_statement),
+    "load_coercion_audit": _on_testdata(ledger.load_coercion_audit),
     # revenue leakage
     "order_status_breakdown": _on_testdata(revenue.order_status_breakdown),
     "revenue_leakage_by_status": _on_testdata(revenue.revenue_leakage_by_status),
@@ -89,11 +106,12 @@ QUERIES: dict[str, Query] = {
     "payment_risk_by_payment": _on_testdata(payments.payment_risk_by_payment),
     # executive summary, computed from the analyses above
     "kpi_dashboard": _on_testdata(lambda t: report.kpi_dashboard(t, AS_OF)),
+    "kpi_dashboard_incremental": _on_testdata(lambda t: report.kpi_table(summary.incremental_figures(t, NEW_SINCE, AS_OF))),
     "recommendations": _on_testdata(lambda t: report.recommendations(t, AS_OF)),
     "dashboard_cards": _on_testdata(lambda t: report.dashboard_cards(t, AS_OF)),
 }
 
-_AS_OF_SQL = {"rfm_scores", "rfm_segments", "rfm_segment_summary", "kpi_dashboard", "recommendations", "dashboard_cards"}
+_AS_OF_SQL = {"rfm_scores", "rfm_segments", "rfm_segment_summary", "kpi_dashboard", "kpi_dashboard_incremental", "recommendations", "dashboard_cards"}
 
 ORACLE_SQL: dict[str, str] = {
     name: (getattr(oracle, name)(AS_OF) if name in _AS_OF_SQL else getattr(oracle, name)())

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,8 @@ class Tables:
     """Lazily defined DataFrames for the eight tables.
 
     Nothing here is read until a job asks for columns, so Catalyst prunes
-    every column (and raw input) a query does not touch.
+    every column (and raw input) a query does not touch.  ``hot`` has, by column of the items,
+    the values that are known to hold a large share of them (``common.hot_keys``).
     """
 
     customers: DataFrame
@@ -27,12 +29,13 @@ class Tables:
     payments: DataFrame
     reviews: DataFrame
     geolocation: DataFrame
+    hot: Mapping[str, list] = field(default_factory=dict, compare=False)
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in TABLE_NAMES}
 
-    def replace(self, **frames: DataFrame) -> "Tables":
-        return Tables(**{**self.as_dict(), **frames})
+    def replace(self, **changed) -> "Tables":
+        return Tables(**{**self.as_dict(), "hot": self.hot, **changed})
 
     @property
     def spark(self) -> SparkSession:
