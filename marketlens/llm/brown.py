@@ -4,23 +4,26 @@ The model learns from the documents outside one fold.  P(word | previous word) m
 class bigram, P(class | previous class) * P(word | class), with the word's own frequency.
 
 1. Count every word of the training texts (one row per word and batch is moved).
-2. Types.  The ``TYPES`` most frequent words are types; all other words belong to one of
-   ``SHAPES`` types by their last letters.  Bigrams of types are summed per task and then
-   over tasks: at most (TYPES + SHAPES + 1)^2 numbers, however large the corpus.
-3. Exchange clustering puts the types into ``CLASSES`` classes: each type in turn moves to
-   the class that gains most mutual information between neighbouring classes, until a pass
-   moves none.  This works on the table of step 2 alone, so its cost does not grow.
-4. Scores.  At most ``HEAD`` of the most frequent words are broadcast with their counts (a fixed number).
-   All rarer words meet their counts in a join by word hash: a rare word is in few texts, so
-   no join key is hot.  Everything else of a text's score is known in its task.
-
-A rare word w of shape s has P(w | s) = (c + 0.1) / (C + 0.1 (V + 1)), with C tokens and V
-words of that shape; (c + 0.1) is a factor of the mixed probability, so its logarithm can
-be added after the join.
+2. Contexts.  For every word that occurs ``LEAST`` times or more, count what stands beside it, by type:
+   the ``CONTEXT_WORDS`` most frequent words, ``CONTEXT_SHAPES`` groups of all others by their last letters, and the
+   end of a text.  Counts are summed per task, then by word over all tasks, in two levels where there are many tasks.
+3. Exchange clustering puts all these words into ``CLASSES`` classes.  In each pass every word
+   moves to the class whose contexts make its own most likely, all words at once over all tasks; then the
+   classes' contexts are summed anew.  Neither step can lower the likelihood; the passes end when no word
+   moves or the likelihood gains less than ``GAIN`` of itself.  A pass reads the table of step 2, not the texts.
+4. Transitions between classes are counted in one more scan.  Words below ``LEAST`` have classes by the
+   shape of their last letters.  Before a word stands its class, too, if the word is among the ``HEAD`` most
+   frequent ones (their classes are broadcast, a fixed number); any rarer word stands there by its shape.
+5. Scores.  Tokens of frequent words are scored in their task; all rarer words meet their counts and
+   classes in a join by word hash: a rare word is in few texts, so no join key is hot.
+
+The number of clustered words, and of their contexts, grows with the corpus; the driver holds class
+tables and the HEAD words.  All probabilities after one class sum to 1 over the words
+of the training texts and one unseen word for each shape.
 
 Defined results: null and empty texts are one end token; a null doc_id is neither learned
 from nor held out; repeated rows count and are scored each; with no training text every
-probability is 1 (the formula's value); other columns are ignored.
+probability is 1 (the formula's value); equal likelihoods go to the lower class; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +36,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import columns, crc_mod, materialize, slices, text_rows
+from marketlens.llm.common import KeyBitmap, columns, crc_mod, materialize, slices, text_rows
 from marketlens.llm.textvec import LOWER, U, Words, signed
 
-TYPES, SHAPES, CLASSES, HEAD = 1024, 256, 48, 1 << 17
+#: Words that occur so often get a class from their own contexts; the number of classes; shapes of all others.
+LEAST, CLASSES, SHAPES = 20, 64, 1024
+#: Frequent words whose counts and classes are broadcast.
+HEAD = 1 << 18
+CONTEXT_WORDS, CONTEXT_SHAPES = 95, 32
+#: Relative gain in likelihood below which the passes end.
+GAIN = 1e-5
 FOLDS, HELD_OUT = 10, 0
-#: Weight of the class bigram in the mixture, and the constant added to counts.
-CLASS_WEIGHT, ADD = 0.85, 0.1
+#: Weight of the class bigram in the mixture, the constant added to counts, and tokens that a class's
+#: overall frequency counts for after each class.
+CLASS_WEIGHT, ADD, PRIOR = 0.92, 0.1, 10.0
 #: Stands for the end of a text among the word hashes.
 END = -0x123456789ABCDEF
+#: Context types on one side; the last one is the end of a text.
+TYPES = CONTEXT_WORDS + CONTEXT_SHAPES + 1
+#: Classes, then shapes, then the end of a text.
+KINDS = CLASSES + SHAPES + 1
+#: Tokens whose contexts are summed at a time, entries and words of a merged group, and tasks merged in one level.
+TOKENS, ENTRIES, FAN = 2_000_000, 4_000_000, 64
 
 
 def shapes(words: Words) -> np.ndarray:
@@ -66,6 +82,11 @@ def with_ends(words: Words, values: np.ndarray, end) -> tuple[np.ndarray, np.nda
     return out, rows
 
 
+def shifted(values: np.ndarray, first) -> np.ndarray:
+    """What stands before each token; before a text stands an end, as after the text before it."""
+    return np.concatenate(([first], values[:-1]))
+
+
 def training(docs: DataFrame) -> DataFrame:
     fold = crc_mod("doc_id", FOLDS)
     return docs.where(fold != HELD_OUT)
@@ -100,177 +121,310 @@ class Lookup:
         return np.where(self.sorted[at] == h, self.order[at], -1)
 
 
-def types_of(place: np.ndarray, words: Words) -> np.ndarray:
-    """Type of each word: its place among the frequent words, or its shape's type."""
-    return np.where((place >= 0) & (place < TYPES), place, TYPES + shapes(words))
+def frequent(words: DataFrame, limit: int | None = None) -> DataFrame:
+    """The words above a frequency that at most ``limit`` (HEAD) words exceed.
+
+    The frequency comes from a histogram of logarithms (a few hundred rows), so that no
+    task has to merge the most frequent words of all others.
+    """
+    size = F.floor(F.log2("c") * 32)
+    bins = columns(words.groupBy(size.alias("bin")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("bin")))
+    fits = bins["bin"][np.cumsum(bins["k"]) <= (HEAD if limit is None else limit)]
+    return words.where(size >= int(fits.min())) if len(fits) else words.limit(0)
+
+
+# ------------------------------------------------------------------ contexts
+
+def summed(word: np.ndarray, side: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sum ``n`` by (word, side): distinct words, bounds of their entries, the entries' sides and sums.
+    Words are small integers."""
+    key = word * (2 * TYPES) + side
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    total = np.add.reduceat(n, head) if len(key) else n
+    word, side = np.divmod(key[head], 2 * TYPES)
+    edges = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+    return word[edges], np.append(edges, len(word)), side, total
 
 
-N_TYPES = TYPES + SHAPES + 1  # the last one: end of text
+def vector_rows(w: np.ndarray, bounds: np.ndarray, side: np.ndarray, n: np.ndarray, part: int) -> pa.RecordBatch:
+    """(w, part, side, n) with the entries as bytes."""
+    side, n = side.astype(np.uint8).tobytes(), n.astype("<u4").tobytes()
+    cut = lambda data, wide: pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer((bounds * wide).astype(np.int32).tobytes()), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(w), part, np.int32)), cut(side, 1), cut(n, 4)], ["w", "part", "side", "n"])
 
 
-def type_bigrams(docs: DataFrame, top: np.ndarray) -> np.ndarray:
-    """Counts of neighbouring types in the training texts (a text is preceded by an end)."""
-    sent = docs.sparkSession.sparkContext.broadcast(Lookup(top))
+VECTORS = "w long, part int, side binary, n binary"
+
+
+def entries(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, side and count of each entry."""
+    side = rows.column("side").to_pylist()
+    lengths = np.array([len(s) for s in side], np.int64)
+    row = np.repeat(np.arange(len(side)), lengths)
+    return row, np.frombuffer(b"".join(side), np.uint8).astype(np.int64), np.frombuffer(b"".join(rows.column("n").to_pylist()), "<u4").astype(np.int64)
+
+
+def merge(group: pa.Table) -> pa.Table:
+    """One row for each word of the group."""
+    row, side, n = entries(group)
+    w, place = np.unique(group.column("w").to_numpy(), return_inverse=True)
+    word, bounds, side, n = summed(place[row], side, n)
+    return pa.Table.from_batches([vector_rows(w[word], bounds, side, n, 0)])
+
+
+def contexts(docs: DataFrame, words: DataFrame, top: np.ndarray) -> DataFrame:
+    """(w, side, n) of the words that are to be clustered; ``top``: the most frequent words."""
+    sc = docs.sparkSession.sparkContext
+    sent = sc.broadcast((Lookup(top[:CONTEXT_WORDS]), KeyBitmap(words.where(F.col("c") >= LEAST), "w")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(N_TYPES * N_TYPES, np.int64)
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        types, wanted = sent.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            h, side = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            held.clear()
+            w, place = np.unique(h, return_inverse=True)
+            word, bounds, side, n = summed(place, side, np.ones(len(side), np.int64))
+            return vector_rows(w[word], bounds, side, n, part)
+
         for batch in batches:
-            for part in slices(batch):
-                words = Words(part.column("text"), LOWER)
-                seq, _ = with_ends(words, types_of(sent.value(signed(words.hash)), words), N_TYPES - 1)
-                pair = np.concatenate(([N_TYPES - 1], seq[:-1])) * N_TYPES + seq
-                which, n = np.unique(pair, return_counts=True)
-                total[which] += n
-        which = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(total[which])], ["pair", "n"])
+            for piece in slices(batch):
+                tokens = Words(piece.column("text"), LOWER)
+                h = signed(tokens.hash)
+                place = types(h)
+                kind, _ = with_ends(tokens, np.where(place >= 0, place, CONTEXT_WORDS + shapes(tokens) % CONTEXT_SHAPES), TYPES - 1)
+                seq, _ = with_ends(tokens, h, END)
+                mine = np.flatnonzero(wanted.has(seq.view(U)) & (seq != END))
+                before, after = shifted(kind, TYPES - 1)[mine], np.append(kind[1:], TYPES - 1)[mine]
+                held.append((np.concatenate((seq[mine], seq[mine])), np.concatenate((before, after + TYPES))))
+                if sum(len(x[0]) for x in held) >= 2 * TOKENS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    rows = materialize(training(text_rows(docs)).select("text").mapInArrow(run, VECTORS), "brown-contexts")
+    size, parts = rows.agg(F.coalesce(F.sum(F.length("side")), F.lit(0)), F.coalesce(F.max("part"), F.lit(0)) + 1).first()
+    bucket = F.pmod("w", F.lit(max(1, -(-size // ENTRIES)))).alias("bucket")
+    if parts > FAN:  # a frequent word has a row from every task: groups of tasks first
+        rows = rows.groupBy(bucket, F.floor(F.col("part") / FAN).alias("level")).applyInArrow(merge, VECTORS)
+    return rows.groupBy(bucket).applyInArrow(merge, VECTORS).drop("part")
+
+
+# ------------------------------------------------------------------ classes
+
+def dense(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """The rows' counts by side."""
+    row, side, n = entries(rows)
+    out = np.zeros((len(rows), 2 * TYPES), np.float32)
+    out[row, side] = n
+    return out
+
+
+def profiles(sums: np.ndarray) -> np.ndarray:
+    """Logarithms of the classes' context probabilities, left and right sides apart; a little of what all words have is mixed in."""
+    out = np.empty_like(sums)
+    for half in (slice(0, TYPES), slice(TYPES, 2 * TYPES)):
+        everywhere = sums[:, half].sum(0) + ADD
+        mixed = sums[:, half] + everywhere / everywhere.sum()
+        out[:, half] = np.log(mixed / mixed.sum(1, keepdims=True))
+    return out
+
+
+def assign(counts: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The likeliest class of each row, and the logarithm of its likelihood."""
+    fit = counts @ logs.astype(np.float32).T
+    label = fit.argmax(1)
+    return label, fit[np.arange(len(label)), label].astype(np.float64)
+
+
+def exchange(vectors: DataFrame, seeds: np.ndarray) -> tuple[np.ndarray, int]:
+    """Context profiles of the classes at the end of the passes, and the number of passes.  ``seeds``: a word's contexts for each class."""
+    sc = vectors.sparkSession.sparkContext
+    logs, last, best, passes = profiles(seeds), None, -np.inf, 0
+    while True:
+        sent = sc.broadcast((logs, last))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, old = sent.value
+            total, fit, moved = np.zeros((len(now), 2 * TYPES)), 0.0, 0
+            for batch in batches:
+                for start in range(0, len(batch), 4096):
+                    counts = dense(batch.slice(start, 4096))
+                    label, values = assign(counts, now)
+                    np.add.at(total, label, counts)
+                    fit += values.sum()
+                    moved += len(label) if old is None else int((label != assign(counts, old)[0]).sum())
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(total.ravel()[at], [fit, moved]))], ["at", "n"])
+
+        got = columns(vectors.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")))
+        by = dict(zip(got["at"][got["at"] < 0].tolist(), got["n"][got["at"] < 0].tolist()))
+        sums = np.zeros(logs.size)
+        sums[got["at"][got["at"] >= 0]] = got["n"][got["at"] >= 0]
+        sent.destroy()
+        passes += 1
+        fit = by.get(-1, 0.0)
+        if by.get(-2, 0) == 0 or fit - best <= GAIN * abs(fit):
+            return logs, passes
+        last, best, logs = logs, fit, profiles(sums.reshape(logs.shape))
+
+
+def classes(docs: DataFrame, words: DataFrame, top: np.ndarray) -> DataFrame:
+    """(w, c, label): the class of every word that occurs LEAST times or more."""
+    vectors = materialize(contexts(docs, words, top).join(words.where(F.col("c") >= LEAST).select("w", "c"), "w"), "brown-vectors")
+    first = vectors.where(F.col("w").isin([int(w) for w in top[:CLASSES]])).toArrow().combine_chunks()
+    seeds = np.zeros((CLASSES, 2 * TYPES))
+    if len(first):
+        order = np.lexsort((first.column("w").to_numpy(), -first.column("c").to_numpy()))
+        seeds[: len(order)] = dense(first)[order]
+    logs, _ = exchange(vectors, seeds)
+    sent = docs.sparkSession.sparkContext.broadcast(logs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = assign(dense(batch), sent.value)[0] if len(batch) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("c"), pa.array(label.astype(np.int32))], ["w", "c", "label"])
+
+    return materialize(vectors.mapInArrow(run, "w long, c long, label int"), "brown-classes")
 
-    rows = training(text_rows(docs)).select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    found = columns(rows)
-    out = np.zeros(N_TYPES * N_TYPES)
-    out[found["pair"]] = found["n"]
-    return out.reshape(N_TYPES, N_TYPES)
-
-
-def xlogx(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1))
-
-
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, passes: int = 8) -> np.ndarray:
-    """Class of each type.  Starts with types dealt by frequency; the end of text keeps a class of its own."""
-    n = len(bigrams)
-    weight = bigrams.sum(0)
-    order = np.argsort(-weight, kind="stable")
-    order = order[order != n - 1]
-    label = np.zeros(n, np.int64)
-    label[order] = np.arange(n - 1) % (classes - 1)
-    label[n - 1] = classes - 1
-    member = np.zeros((n, classes))
-    member[np.arange(n), label] = 1
-    right = bigrams @ member  # followers of each type by class
-    left = bigrams.T @ member
-    table = member.T @ right
-    for _ in range(passes):
-        moved = 0
-        for t in order[weight[order] > 0]:
-            old, self_ = label[t], bigrams[t, t]
-            out, into = right[t].copy(), left[t].copy()
-            out[old] -= self_  # without the type itself
-            into[old] -= self_
-            table[old, :] -= out
-            table[:, old] -= into
-            table[old, old] -= self_
-            # gain of each class's row and column if the type joins it
-            rows = xlogx(table + out).sum(1) - xlogx(table).sum(1)
-            cols = xlogx(table + into[:, None]).sum(0) - xlogx(table).sum(0)
-            d = np.diag(table)
-            corner = xlogx(d + out + into + self_) - xlogx(d + out) - xlogx(d + into) + xlogx(d)
-            size_out, size_in = table.sum(1), table.sum(0)
-            mass_out, mass_in = out.sum() + self_, into.sum() + self_
-            gain = rows + cols + corner - xlogx(size_out + mass_out) + xlogx(size_out) - xlogx(size_in + mass_in) + xlogx(size_in)
-            gain[classes - 1] = -np.inf
-            new = int(np.argmax(gain)) if gain.max() > gain[old] + 1e-9 else old
-            table[new, :] += out
-            table[:, new] += into
-            table[new, new] += self_
-            if new != old:
-                moved += 1
-                label[t] = new
-                left[:, old] -= bigrams[t, :]
-                left[:, new] += bigrams[t, :]
-                right[:, old] -= bigrams[:, t]
-                right[:, new] += bigrams[:, t]
-        if not moved:
-            break
-    return label
 
+# ------------------------------------------------------------------ model
 
 @dataclass
 class Model:
-    """Bounded tables: counts of the head words and log-probability parts by type."""
+    """Tables of bounded size: the head words with their counts and classes, and probabilities by class."""
 
     head: Lookup
     counts: np.ndarray  # of the head words
-    label: np.ndarray
-    transition: np.ndarray  # classes x classes
-    emission: np.ndarray  # P(type | class) by type
-    within: np.ndarray  # by type: 1 for a frequent word; for a shape 1 / (C + 0.1 (V + 1))
+    label: np.ndarray  # of the head words: a class, or -1 for a shape
+    move: np.ndarray  # P(kind | kind before)
+    mass: np.ndarray  # by class: tokens of its words
+    within: np.ndarray  # by shape: what its words' (c + ADD) are divided by
     n: float
     v: float
+    end_count: float = 0.0
 
     @property
     def total(self) -> float:
         return self.n + ADD * (self.v + 1)
 
+    @property
+    def weight(self) -> float:
+        return CLASS_WEIGHT if self.n else 0.0
+
+    def kinds(self, place: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        """Class or shape of words by their place among the head words."""
+        label = self.label[place] if len(self.label) else np.full(len(place), -1)
+        return np.where((place >= 0) & (label >= 0), label, CLASSES + shape)
+
+    def mixed(self, before: np.ndarray, shape: np.ndarray, c: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """P(word | kind before) of words with their count (0: unseen) and class (-1: their shape)."""
+        own = label >= 0
+        by_class = self.move[before, np.where(own, label, CLASSES + shape)]
+        emitted = np.where(own, c / np.maximum(self.mass[np.maximum(label, 0)], 1), (c + ADD) / self.within[shape])
+        plain = np.where(c > 0, c + ADD, ADD / (SHAPES if self.n else 1)) / self.total
+        return self.weight * by_class * emitted + (1 - self.weight) * plain
+
     def parts(self, texts: pa.Array) -> dict[str, object]:
-        """Per text: tokens, known head tokens, both scores without rare words' log(c + 0.1), and those words."""
+        """Per text: tokens, known head tokens, both scores without the words beyond the head, and those
+        words with the kind before them and their shape."""
         words = Words(texts, LOWER)
-        h = signed(words.hash)
+        h, shape = signed(words.hash), shapes(words)
         place = self.head(h)
-        seq, row = with_ends(words, types_of(place, words), N_TYPES - 1)
-        c, _ = with_ends(words, np.where(place >= 0, self.counts[place] if len(self.counts) else 0.0, np.nan), self.end_count)
-        cls = self.label[seq]
-        before = np.concatenate(([self.label[N_TYPES - 1]], cls[:-1]))
-        by_class = self.transition[before, cls] * self.emission[seq]
-        own = seq < TYPES
-        own[seq == N_TYPES - 1] = True
-        rare = np.isnan(c)
-        weight = CLASS_WEIGHT if self.n else 0.0
-        with np.errstate(divide="ignore"):
-            # a frequent word's type is the word; else (c + 0.1) is a factor of both parts
-            bracket = weight * by_class * np.where(own, 1.0, self.within[seq]) + (1 - weight) * np.where(own, c + ADD, 1.0) / self.total
-            score = np.log10(bracket) + np.where(own | rare, 0.0, np.log10(np.where(rare, 1.0, c + ADD)))
-            base = np.where(rare, 0.0, np.log10(np.where(rare, 1.0, c + ADD))) - np.log10(self.total)
+        seq, row = with_ends(words, self.kinds(place, shape), KINDS - 1)
+        before = shifted(seq, KINDS - 1)
+        c = np.where(place >= 0, self.counts[place] if len(self.counts) else 0.0, 0.0)
+        label = np.where(place >= 0, self.label[place] if len(self.label) else -1, -1)
+        ends = seq == KINDS - 1
+        score, base, known = np.zeros(len(seq)), np.zeros(len(seq)), np.zeros(len(seq))
+        at = np.flatnonzero(~ends)
+        here = place >= 0
+        score[at[here]] = np.log10(self.mixed(before[at[here]], shape[here], c[here], label[here]))
+        base[at[here]] = np.log10((c[here] + ADD) / self.total)
+        known[at[here]] = c[here] > 0
+        end = (self.end_count + ADD) / self.total
+        score[ends] = np.log10(self.weight * self.move[before[ends], KINDS - 1] + (1 - self.weight) * end)
+        base[ends], known[ends] = np.log10(end), self.end_count > 0
         n = len(texts)
-        sums = [np.bincount(row, weights=x, minlength=n) for x in (np.ones(len(row)), np.where(rare, 0, c > 0), score, base)]
-        word_rare = place < 0
-        bounds = np.concatenate(([0], np.cumsum(word_rare)))[words.first]
-        return {"n_tokens": sums[0], "n_known": sums[1], "score": sums[2], "base": sums[3], "rare": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h[word_rare]))}
+        sums = [np.bincount(row, weights=x, minlength=n) for x in (np.ones(len(row)), known, score, base)]
+        bounds = np.concatenate(([0], np.cumsum(~here)))[words.first]
+        rare = pa.StructArray.from_arrays([pa.array(h[~here]), pa.array(before[at[~here]].astype(np.int32)), pa.array(shape[~here].astype(np.int32))], ["w", "before", "shape"])
+        return {"n_tokens": sums[0], "n_known": sums[1], "score": sums[2], "base": sums[3], "rare": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), rare)}
 
-    end_count: float = 0.0
 
+def transitions(docs: DataFrame, model: Model, labels: DataFrame) -> np.ndarray:
+    """Counts of neighbouring kinds in the training texts (a text is preceded by an end)."""
+    sent = docs.sparkSession.sparkContext.broadcast((model, KeyBitmap(labels, "w")))
 
-def frequent(words: DataFrame, limit: int | None = None) -> DataFrame:
-    """The words above a frequency that at most ``limit`` (HEAD) words exceed.
-
-    The frequency comes from a histogram of logarithms (a few hundred rows), so that no
-    task has to merge the most frequent words of all others.
-    """
-    size = F.floor(F.log2("c") * 32)
-    bins = columns(words.groupBy(size.alias("bin")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("bin")))
-    fits = bins["bin"][np.cumsum(bins["k"]) <= (HEAD if limit is None else limit)]
-    return words.where(size >= int(fits.min())) if len(fits) else words.limit(0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wanted = sent.value
+        total = np.zeros(KINDS * KINDS, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                words = Words(part.column("text"), LOWER)
+                h, shape = signed(words.hash), shapes(words)
+                place = known.head(h)
+                seq, _ = with_ends(words, known.kinds(place, shape), KINDS - 1)
+                later, _ = with_ends(words, (place < 0) & wanted.has(h.view(U)), False)  # classes that only the join knows
+                hash_, _ = with_ends(words, h, END)
+                before = shifted(seq, KINDS - 1)
+                which, n = np.unique(before[~later] * KINDS + seq[~later], return_counts=True)
+                total[which] += n
+                open_ = np.flatnonzero(later)
+                if len(open_):
+                    columns_ = [hash_[open_], before[open_] * KINDS + seq[open_], np.ones(len(open_), np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns_], ["w", "pair", "n"])
+        which = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([None] * len(which), pa.int64()), pa.array(which), pa.array(total[which])], ["w", "pair", "n"])
+
+    rows = training(text_rows(docs)).select("text").mapInArrow(run, "w long, pair long, n long").groupBy("w", "pair").agg(F.sum("n").alias("n"))
+    rows = materialize(rows, "brown-transitions")
+    later = rows.where("w is not null").join(labels.select("w", "label"), "w", "left")
+    pair = F.when(F.col("label").isNotNull(), F.expr(f"pair div {KINDS}") * KINDS + F.col("label")).otherwise(F.col("pair"))
+    found = columns(rows.where("w is null").select("pair", "n").unionByName(later.select(pair.alias("pair"), "n")).groupBy("pair").agg(F.sum("n").alias("n")))
+    out = np.zeros(KINDS * KINDS)
+    out[found["pair"]] = found["n"]
+    return out.reshape(KINDS, KINDS)
 
 
-def train(docs: DataFrame, counts: DataFrame) -> Model:
+def train(docs: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the class of every clustered word (w, c, label)."""
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.max(F.when(F.col("w") == END, F.col("c"))), F.lit(0)).alias("e")).first()
     words = counts.where(F.col("w") != END)
-    head = columns(frequent(words))
+    head = columns(frequent(words.select("w", "c")))
     order = np.lexsort((head["w"], -head["c"]))
     w, c = head["w"][order], head["c"][order].astype(np.float64)
-    by_shape = columns(words.groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")))
+    labels = classes(docs, words, w)
+    known = columns(frequent(words.select("w", "c")).join(labels.select("w", "label"), "w").select("w", "label"))
+    lookup = Lookup(w)
+    label = np.full(len(w), -1)
+    label[lookup(known["w"])] = known["label"]
+    by_class = columns(labels.groupBy("label").agg(F.sum("c").alias("c")))
+    mass = np.zeros(CLASSES)
+    mass[by_class["label"]] = by_class["c"]
+    by_shape = columns(words.where(F.col("c") < LEAST).groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")))
     size, kinds = np.zeros(SHAPES), np.zeros(SHAPES)
     size[by_shape["shape"]], kinds[by_shape["shape"]] = by_shape["c"], by_shape["v"]
-    top = head["shape"][order][:TYPES].astype(np.int64)
-    np.subtract.at(size, top, c[:TYPES])
-    np.subtract.at(kinds, top, 1)
-    bigrams = type_bigrams(docs, w[:TYPES])
-    label = exchange(bigrams)
-    member = np.zeros((N_TYPES, CLASSES))
-    member[np.arange(N_TYPES), label] = 1
-    table = member.T @ bigrams @ member
-    transition = (table + ADD) / (table.sum(1, keepdims=True) + ADD * CLASSES)
-    weight = bigrams.sum(0)
-    mass, kinds_in = member.T @ weight, member.sum(0)
-    emission = (weight + ADD) / (mass + ADD * kinds_in)[label]
-    within = np.ones(N_TYPES)
-    within[TYPES : TYPES + SHAPES] = 1 / (size + ADD * (kinds + 1))
-    return Model(Lookup(w), c, label, transition, emission, within, float(total["n"]), float(total["v"]), float(total["e"]))
+    model = Model(lookup, c, label, np.zeros((1, 1)), mass, size + ADD * (kinds + 1), float(total["n"]), float(total["v"]), float(total["e"]))
+    table = transitions(docs, model, labels)
+    overall = np.concatenate((mass, size + ADD, [model.end_count])) + (0.0 if model.n else 1.0)
+    model.move = (table + PRIOR * overall / overall.sum()) / (table.sum(1, keepdims=True) + PRIOR)
+    return model, labels
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     counts = materialize(word_counts(docs), "brown-counts")
-    model = train(docs, counts)
+    return score(docs, counts, *train(docs, counts))
+
+
+def score(docs: DataFrame, counts: DataFrame, model: Model, labels: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,19 +436,31 @@ def scores(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_tokens", "n_known", "score", "base", "rare"],
                 )
 
-    rows = text_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, score double, base double, rare array<long>")
+    def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, shape, c, label = (batch.column(k).to_numpy() for k in ("before", "shape", "c", "label"))
+            c = c.astype(np.float64)
+            logs = np.log10(sent.value.mixed(before, shape, c, label))
+            yield pa.RecordBatch.from_arrays([batch.column("r"), pa.array(logs), pa.array(np.log10((c + ADD) / sent.value.total)), pa.array((c > 0).astype(np.int64))], ["r", "score", "base", "known"])
+
+    schema = "doc_id long, n_tokens long, n_known long, score double, base double, rare array<struct<w:long,before:int,shape:int>>"
+    rows = text_rows(docs).select("doc_id", "text").mapInArrow(run, schema)
     rows = materialize(rows.withColumn("r", F.monotonically_increasing_id()), "brown-parts")
-    rare = rows.select("r", F.explode("rare").alias("w")).join(counts.select("w", "c"), "w", "left")
-    logs = rare.groupBy("r").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADD))).alias("logs"), F.count("c").alias("known"))
-    all_ = rows.drop("rare").join(logs, "r", "left").withColumns({"logs": F.coalesce("logs", F.lit(0.0)), "known": F.coalesce("known", F.lit(0))})
-    score = F.col("score") + F.col("logs")
+    # words beyond the head: their counts, and classes if they have any
+    beyond = counts.select("w", "c").join(labels.select("w", "label"), "w", "left")
+    rare = rows.select("r", F.explode("rare").alias("t")).select("r", "t.*").join(beyond, "w", "left")
+    rare = rare.select("r", "before", "shape", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("label", F.lit(-1)).alias("label"))
+    sums = rare.mapInArrow(late, "r long, score double, base double, known long").groupBy("r").agg(*(F.sum(c).alias(f"late_{c}") for c in ("score", "base", "known")))
+    all_ = rows.drop("rare").join(sums, "r", "left")
+    plus = lambda c, d, zero: F.col(c) + F.coalesce(d, F.lit(zero))
+    total = plus("score", "late_score", 0.0)
     return all_.select(
         "doc_id",
         F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.col("known")).alias("n_known"),
+        plus("n_known", "late_known", 0).alias("n_known"),
         F.lit(int(model.n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("logs")).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        plus("base", "late_base", 0.0).alias("base_score"),
+        total.alias("score"),
+        F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )
