@@ -135,22 +135,26 @@ def frequent(words: DataFrame, limit: int | None = None) -> DataFrame:
 
 # ------------------------------------------------------------------ contexts
 
-def summed(word: np.ndarray, side: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sum ``n`` by (word, side): distinct words, bounds of their entries, the entries' sides and sums.
-    Words are small integers."""
+def summed(word: np.ndarray, side: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sum ``n`` (below 2^32; none: ones) by (word, side): distinct words, bounds of their entries, the
+    entries' sides and sums.  Words are integers below 2^22."""
     key = word * (2 * TYPES) + side
-    order = np.argsort(key, kind="stable")
-    key, n = key[order], n[order]
-    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    total = np.add.reduceat(n, head) if len(key) else n
-    word, side = np.divmod(key[head], 2 * TYPES)
+    if n is None:
+        key, total = np.unique(key, return_counts=True)
+    else:  # sorted as one number with the counts
+        both = np.sort(key << 32 | n)
+        key = both >> 32
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        total = np.add.reduceat(both & 0xFFFFFFFF, head) if len(key) else both
+        key = key[head]
+    word, side = np.divmod(key, 2 * TYPES)
     edges = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
     return word[edges], np.append(edges, len(word)), side, total
 
 
 def vector_rows(w: np.ndarray, bounds: np.ndarray, side: np.ndarray, n: np.ndarray, part: int) -> pa.RecordBatch:
-    """(w, part, side, n) with the entries as bytes."""
-    side, n = side.astype(np.uint8).tobytes(), n.astype("<u4").tobytes()
+    """(w, part, side, n) with the entries as bytes; counts above 2^32 - 1, of contexts only, stay there."""
+    side, n = side.astype(np.uint8).tobytes(), np.minimum(n, 0xFFFFFFFF).astype("<u4").tobytes()
     cut = lambda data, wide: pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer((bounds * wide).astype(np.int32).tobytes()), pa.py_buffer(data)])
     return pa.RecordBatch.from_arrays([pa.array(w), pa.array(np.full(len(w), part, np.int32)), cut(side, 1), cut(n, 4)], ["w", "part", "side", "n"])
 
@@ -184,13 +188,14 @@ def contexts(docs: DataFrame, words: DataFrame, top: np.ndarray) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         types, wanted = sent.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            h, side = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            h, before, after = (np.concatenate([x[k] for x in held]) for k in (0, 1, 2))
             held.clear()
-            w, place = np.unique(h, return_inverse=True)
-            word, bounds, side, n = summed(place, side, np.ones(len(side), np.int64))
+            w = np.unique(h)
+            place = np.searchsorted(w, h)
+            word, bounds, side, n = summed(np.concatenate((place, place)), np.concatenate((before, after + TYPES)))
             return vector_rows(w[word], bounds, side, n, part)
 
         for batch in batches:
@@ -202,8 +207,8 @@ def contexts(docs: DataFrame, words: DataFrame, top: np.ndarray) -> DataFrame:
                 seq, _ = with_ends(tokens, h, END)
                 mine = np.flatnonzero(wanted.has(seq.view(U)) & (seq != END))
                 before, after = shifted(kind, TYPES - 1)[mine], np.append(kind[1:], TYPES - 1)[mine]
-                held.append((np.concatenate((seq[mine], seq[mine])), np.concatenate((before, after + TYPES))))
-                if sum(len(x[0]) for x in held) >= 2 * TOKENS:
+                held.append((seq[mine], before, after))
+                if sum(len(x[0]) for x in held) >= TOKENS:
                     yield flush()
         if held:
             yield flush()
@@ -244,35 +249,34 @@ def assign(counts: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def exchange(vectors: DataFrame, seeds: np.ndarray) -> tuple[np.ndarray, int]:
-    """Context profiles of the classes at the end of the passes, and the number of passes.  ``seeds``: a word's contexts for each class."""
+    """Context profiles of the classes at the end of the passes, and the number of passes.  ``seeds``: a
+    word's contexts for each class.  When no word moves, the classes' sums and the likelihood stay as they are."""
     sc = vectors.sparkSession.sparkContext
-    logs, last, best, passes = profiles(seeds), None, -np.inf, 0
+    logs, best, passes = profiles(seeds), -np.inf, 0
     while True:
-        sent = sc.broadcast((logs, last))
+        sent = sc.broadcast(logs)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now, old = sent.value
-            total, fit, moved = np.zeros((len(now), 2 * TYPES)), 0.0, 0
+            total, fit = np.zeros((len(sent.value), 2 * TYPES)), 0.0
             for batch in batches:
-                for start in range(0, len(batch), 4096):
-                    counts = dense(batch.slice(start, 4096))
-                    label, values = assign(counts, now)
-                    np.add.at(total, label, counts)
-                    fit += values.sum()
-                    moved += len(label) if old is None else int((label != assign(counts, old)[0]).sum())
+                counts = dense(batch)
+                label, values = assign(counts, sent.value)
+                member = np.zeros((len(label), len(total)))
+                member[np.arange(len(label)), label] = 1
+                total += member.T @ counts
+                fit += values.sum()
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(total.ravel()[at], [fit, moved]))], ["at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total.ravel()[at], fit))], ["at", "n"])
 
-        got = columns(vectors.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")))
-        by = dict(zip(got["at"][got["at"] < 0].tolist(), got["n"][got["at"] < 0].tolist()))
+        got = columns(vectors.select("side", "n").mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")))
+        fit = float(got["n"][got["at"] < 0].sum())
         sums = np.zeros(logs.size)
         sums[got["at"][got["at"] >= 0]] = got["n"][got["at"] >= 0]
         sent.destroy()
         passes += 1
-        fit = by.get(-1, 0.0)
-        if by.get(-2, 0) == 0 or fit - best <= GAIN * abs(fit):
+        if fit - best <= GAIN * abs(fit):
             return logs, passes
-        last, best, logs = logs, fit, profiles(sums.reshape(logs.shape))
+        best, logs = fit, profiles(sums.reshape(logs.shape))
 
 
 def classes(docs: DataFrame, words: DataFrame, top: np.ndarray) -> DataFrame:
