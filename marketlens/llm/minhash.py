@@ -3,26 +3,25 @@
 A document's set is its distinct word shingles, as 64-bit hashes; its sketch is the
 ``SKETCH`` smallest of them.  Documents are linked if 100 * |A and B| >= 80 * |A or B|.
 
-1. Equal sets form a class with one representative (its smallest doc_id), so thousands of
-   copies are one set from here on.
+1. Equal sets (equal size and two 64-bit signatures) form a class with one representative (its smallest
+   doc_id), so thousands of copies are one set from here on.
 2. Inverted lists of the sketch values: a class goes on only if at least ``AGREE`` of its
    ``SKETCH`` retained values are retained by another class, too.  A linked pair is expected
    to agree in 0.8 of the union sketch, so a link is missed here with probability below
    1e-13; classes of fewer shingles have whole sets as sketches and a lower bar in proportion.
-3. For the classes left, lists of their rarest shingles generate overlaps.  A pair that
-   is linked must share one of the ``n - ceil(0.8 n) + 1`` rarest of either set; with a
-   shingle's place in that order and the number of shingles that no other class has, each
-   pair's possible overlap is bounded before it is formed.
-4. Two rounds of pairs, so that a group of copies costs a star and not all its pairs.
-   First every member of a list is paired with the list's most central member, the one
-   with the fewest shingles of its own; then only members of one list that are still in
-   different components.  Each pair passes the union-sketch estimate, then exact Jaccard
-   on the full sets.
+3. The same lists generate pairs: every member of a list meets the list's most central one, which has
+   the fewest retained values of its own, so that a group of copies costs a star and not all its
+   pairs.  Each pair passes the union-sketch estimate, then exact Jaccard on the full sets.
+4. The exact remainder: a pair that is linked must share one of the ``n - ceil(0.8 n) + 1`` rarest
+   shingles of either full set; with a shingle's place in that order and the number of shingles that
+   no other class has, each pair's possible overlap is bounded before it is formed.  Lists of these shingles
+   whose members are still in different components get a star of their own, and after it
+   pairs across components; estimate and exact Jaccard as before.
 5. Links are contracted to components (``graph``).
 
 Scale: no list is collected; a list's centre is a partial aggregate and its members meet
 it in a join that AQE can split.  Full sets are read again and moved for the classes of
-step 3 only.  Intermediate tables go to the shared folder; the driver sees counts.
+step 2 only.  Intermediate tables go to the shared folder; the driver sees counts.
 
 Defined results: a text of fewer words than a shingle is one shingle; null, empty or blank
 text has the empty set and is linked with nothing; a null doc_id is linked with nothing,
@@ -45,6 +44,8 @@ from marketlens.llm.graph import components
 from marketlens.llm.textvec import LOWER, U, Words, grams, mix, run_hash, signed
 
 SKETCH, AGREE = 48, 15
+#: Copies of a class row that its members are dealt over.
+SALT = 16
 
 
 def shingle_sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -60,10 +61,13 @@ def shingle_sets(part: pa.RecordBatch, size: int) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> int:
+def signature(s: np.ndarray, seed: int) -> int:
     """64-bit hash of a set (order does not matter)."""
     with np.errstate(over="ignore"):
-        return int(signed(mix(np.array([mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(s))], U)))[0])
+        return int(signed(mix(np.array([mix(s ^ U(seed)).sum(dtype=U) + U(len(s))], U)))[0])
+
+
+SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
 def lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -72,18 +76,18 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, _h, n, sig, sketch) of every row."""
+    """(doc_id, _h, n, sig, sig2, sketch) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part, size)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("_h"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), lists([s[:SKETCH] for s in sets])],
-                    ["doc_id", "_h", "n", "sig", "sketch"],
+                    [part.column("doc_id"), part.column("_h"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([signature(s, seed) for s in sets], pa.int64()) for seed in SEEDS), lists([s[:SKETCH] for s in sets])],
+                    ["doc_id", "_h", "n", "sig", "sig2", "sketch"],
                 )
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, _h long, n long, sig long, sketch array<long>")
+    return text_rows(docs).mapInArrow(run, "doc_id long, _h long, n long, sig long, sig2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, chosen: KeyBitmap, size: int) -> DataFrame:
@@ -104,11 +108,18 @@ def full_sets(docs: DataFrame, chosen: KeyBitmap, size: int) -> DataFrame:
 
 
 def likely_classes(one: DataFrame) -> DataFrame:
-    """x of the classes that share enough retained values with others."""
+    """(x, alone) of the classes that share enough retained values with others; ``alone``: values that they do not share."""
     posts = one.select("x", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     shared = posts.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("v")
     agreeing = posts.join(shared, "v").groupBy("x", "s").agg(F.count(F.lit(1)).alias("c"))
-    return agreeing.where(F.col("c") * SKETCH >= F.col("s") * AGREE).select("x")
+    return agreeing.where(F.col("c") * SKETCH >= F.col("s") * AGREE).select("x", (F.col("s") - F.col("c")).alias("alone"))
+
+
+def retained_pairs(one: DataFrame, likely: DataFrame) -> DataFrame:
+    """(x, y): members and centres of the lists of retained values."""
+    posts = materialize(one.join(likely, "x").select("x", "alone", F.explode("sketch").alias("v")), "minhash-retained")
+    centre = posts.groupBy("v").agg(F.min(F.struct("alone", "x")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select("v", F.col("c.x").alias("y"))
+    return posts.join(centre, "v").where("x <> y").select("x", "y").distinct()
 
 
 def need(n, m, percent: int):
@@ -163,31 +174,44 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect what is linked: stars first, then pairs across components."""
-    listed = materialize(postings(sets, percent), "minhash-lists")
-    centre = listed.groupBy("v").agg(F.min(F.struct("own", "x", "n", "pos", "top")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select("v", "c.*")
-    star = listed.alias("a").join(centre.alias("b"), "v").where((F.col("a.x") != F.col("b.x")) & possible("a", "b", percent))
-    first = materialize(verified(star.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct(), sets, percent), "minhash-links")
-    label = components(first).select(F.col("node").alias("doc_id"), "component")
-    known = listed.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+def open_lists(listed: DataFrame, edges: DataFrame) -> DataFrame:
+    """The lists whose members are in different components, with these."""
+    label = components(edges).select(F.col("node").alias("doc_id"), "component")
+    known = listed.drop("component").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = known.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
-    open_ = materialize(known.join(split, "v"), "minhash-open")
-    cross = open_.alias("a").join(open_.alias("b"), (F.col("a.v") == F.col("b.v")) & (F.col("a.component") < F.col("b.component")) & possible("a", "b", percent))
-    second = verified(cross.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct(), sets, percent)
-    return first.unionByName(second)
+    return materialize(known.join(split, "v"), "minhash-open")
+
+
+def links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect what is linked: the pairs of the retained values, then stars and pairs of what these leave apart."""
+    first = materialize(verified(pairs, sets, percent), "minhash-links")
+    apart = open_lists(postings(sets, percent), first)
+    centre = apart.groupBy("v").agg(F.min(F.struct("own", "x", "n", "pos", "top", "component")).alias("c")).select("v", "c.*")
+    star = apart.alias("a").join(centre.alias("b"), "v").where((F.col("a.component") != F.col("b.component")) & possible("a", "b", percent))
+    second = verified(star.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct(), sets, percent)
+    second = materialize(first.unionByName(second), "minhash-links")
+    rest = open_lists(apart, second)
+    cross = rest.alias("a").join(rest.alias("b"), (F.col("a.v") == F.col("b.v")) & (F.col("a.component") < F.col("b.component")) & possible("a", "b", percent))
+    third = verified(cross.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct(), sets, percent)
+    return second.unionByName(third)
 
 
 def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per document row: doc_id, _h, n_shingles, component_id, kept."""
     rows = materialize(sketches(docs, size), "minhash-sketches")
     sets = rows.where("n > 0 and doc_id is not null")
-    classes = sets.groupBy("sig", "n").agg(F.min(F.struct("doc_id", "_h")).alias("rep"))
-    one = sets.join(classes, ["sig", "n"]).where("doc_id = rep.doc_id and _h = rep._h").select(F.xxhash64("doc_id", "_h").alias("x"), "sketch")
-    likely = materialize(likely_classes(materialize(one, "minhash-classes")), "minhash-likely")
+    key = ["sig", "sig2", "n"]
+    classes = sets.groupBy(*key).agg(F.min(F.struct("doc_id", "_h")).alias("rep"), F.count(F.lit(1)).alias("c"))
+    classes = materialize(classes, "minhash-classes")
+    one = sets.join(classes.select("rep.*"), ["doc_id", "_h"], "left_semi").select(F.xxhash64("doc_id", "_h").alias("x"), "sketch")
+    one = materialize(one.dropDuplicates(["x"]), "minhash-representatives")
+    likely = materialize(likely_classes(one), "minhash-likely")
     chosen = materialize(full_sets(docs, KeyBitmap(likely, "x"), size), "minhash-sets")
-    edges = links(chosen, percent)
-    member = sets.join(classes, ["sig", "n"]).select("doc_id", "_h", F.col("rep.doc_id").alias("rep"))
+    edges = links(chosen, retained_pairs(one, likely), percent)
+    # only classes of several members differ from their documents' own ids; their members are dealt over SALT copies of the class
+    named = classes.where("c > 1").select(*key, F.col("rep.doc_id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = sets.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALT)).cast("int"))
+    member = salted.join(named, [*key, "salt"], "left").select("doc_id", "_h", F.coalesce("rep", "doc_id").alias("rep"))
     member = materialize(member, "minhash-members")
     several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     same_id = several.select(F.col("lo").alias("u"), F.col("doc_id").alias("v")).union(several.select("hi", "doc_id"))
