@@ -182,7 +182,7 @@ def merged(*states: State) -> State:
 
 def split_by_purchase(t: Tables, since: dt.date | str) -> tuple[Tables, Tables]:
     """The tables cut into orders bought before ``since`` (or at no known time) and the rest,
-    each order with its items, payments, reviews and customer row; products and sellers come with the first part."""
+    each order with its items, payments, reviews and customer row; products, sellers and places come with the first part."""
     late = F.col("order_purchase_timestamp") >= F.lit(str(since)).cast("timestamp_ntz")
     new = t.orders.where(late)
     ids, people = new.select("order_id").distinct(), new.select("customer_id").distinct()
@@ -190,7 +190,8 @@ def split_by_purchase(t: Tables, since: dt.date | str) -> tuple[Tables, Tables]:
     for name in ("order_items", "payments", "reviews"):
         before[name], after[name] = (getattr(t, name).join(ids, "order_id", how) for how in ("left_anti", "left_semi"))
     before["customers"], after["customers"] = (t.customers.join(people, "customer_id", how) for how in ("left_anti", "left_semi"))
-    return t.replace(**before), t.replace(**after, products=t.products.where(F.lit(False)), sellers=t.sellers.where(F.lit(False)))
+    known = {name: getattr(t, name).where(F.lit(False)) for name in ("products", "sellers", "geolocation")}
+    return t.replace(**before), t.replace(**after, **known)
 
 
 # ---------------------------------------------------------------- state -> figures

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from marketlens.operators import quality
-from marketlens.sources.csv import corrupt_row_counts, ingest_csv, load_csv
+from marketlens.sources.csv import corrupt_row_counts, ingest_csv, load_csv, read_csv
 from marketlens.sources.schemas import SCHEMAS
 
 FILES = {
@@ -75,3 +77,48 @@ def test_ingest_publishes_bucketed_marts(spark, csv_paths, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan and "Exchange" not in plan, plan
+
+
+# ---------------------------------------------------------------- records over many lines, read in splits
+
+def _review_csv(path, n=400):
+    import csv
+
+    rows = [(f"r{i}", f"o{i}", str(i % 5 + 1), "t" * (i % 7), ["plain", "two\nlines", 'a "quote"\nand, comma\n\nblank', "", "x\n" * (i % 40)][i % 5], "2018-01-01 00:00:00", "2018-01-02 03:04:05") for i in range(n)]
+    with open(path, "w", newline="") as f:
+        out = csv.writer(f, lineterminator="\n")
+        out.writerow([f"c{i}" for i in range(7)])
+        out.writerows(rows)
+    return rows
+
+
+@pytest.mark.parametrize("split_bytes", ["134217728", "3000", "300", "64"])
+def test_records_that_cross_splits(spark, tmp_path, split_bytes):
+    """The same rows whatever the size of the splits, many of which lie inside one quoted field."""
+    os.makedirs(tmp_path / "csv")
+    rows = _review_csv(tmp_path / "csv" / "a.csv") + _review_csv(tmp_path / "csv" / "b.csv", 30)
+    settings = {"spark.sql.files.maxPartitionBytes": split_bytes, "spark.sql.files.openCostInBytes": "0"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = read_csv(spark, "reviews", str(tmp_path / "csv")).collect()
+        parts = spark.read.text(str(tmp_path / "csv")).rdd.getNumPartitions()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert split_bytes != "300" or parts > 50
+    want = sorted((r[0], r[1], int(r[2]), r[3] or None, r[4] or None) for r in rows)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.review_id, r.order_id, r.review_score, r.review_comment_title, r.review_comment_message) for r in got), key=key) == sorted(want, key=key)
+    assert all(r._corrupt_record is None for r in got)
+
+
+def test_split_records_equal_the_whole_reader(spark, tmp_path):
+    path = str(tmp_path / "r.csv")
+    with open(path, "wb") as f:
+        f.write(b'h,o,s,t,m,c,a\r\n"r1","o1",5,"x","one\r\ntwo",2018-01-01 00:00:00,\r\n\r\nr2,o2,bad,,,2018-13-01 00:00:00,2018-01-01 00:00:00\r\nr3,o3,1\r\n')
+    split, whole = (sorted(map(str, ((r.review_id, r.review_score, r.review_creation_date, r._corrupt_record is None) for r in read_csv(spark, "reviews", path, whole_files=w).collect()))) for w in (False, True))
+    assert split == whole and len(split) == 3 and sum("False" in r for r in split) == 2
+    with pytest.raises(Exception):
+        read_csv(spark, "reviews", path, lenient=False).collect()
