@@ -17,8 +17,8 @@ into blocks (about one per 75 bytes) and brought together by key.
 Scale: what moves is one short row per block, then candidate rows only, picked during the
 second and third scan by fixed-size key bitmaps (8 MB); false candidates fall out in exact
 joins.  A task expands a bounded batch of keys at a time.  A key whose open blocks exceed
-``GROUP_BYTES`` is not expanded in one task: its strings are counted by hash, spread over
-all tasks, with the same result.  Only texts with something to cut are shuffled.
+``GROUP_BYTES`` is split by the symbols that follow its gram on either side, again and again (``halves``),
+until each part fits or consists of one string.  Only texts with something to cut are shuffled.
 
 Defined results: null and empty texts have no bytes; rows are documents, so a repeated row
 repeats all its strings of LENGTH bytes or more; a null doc_id is a document like others;
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,11 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.bwt import repeated_windows
 from marketlens.llm.common import KeyBitmap, materialize, slices, text_rows
-from marketlens.llm.textvec import Runs, U, buffers, grams, mix, signed
+from marketlens.llm.textvec import Runs, U, buffers, mix, signed
 from marketlens.llm.windows import window_blocks
 
 LENGTH, GRAM = 200, 48
-#: One key's open blocks are expanded in one task up to this many bytes.
+#: One key's open blocks are expanded in one task up to this many bytes (two strings at least).
 GROUP_BYTES = 1 << 20
 
 
@@ -112,7 +113,7 @@ def candidates(docs: DataFrame, repeated: KeyBitmap, shared: KeyBitmap, length:
 
 
 def block_texts(docs: DataFrame, chosen: KeyBitmap, length: int, k: int) -> DataFrame:
-    """(doc_id, _h, start, key, block) of the chosen block places."""
+    """(doc_id, _h, start, gram, key, block) of the chosen block places; ``gram``: its place in the block."""
     sent = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +125,11 @@ def block_texts(docs: DataFrame, chosen: KeyBitmap, length: int, k: int) -> Data
                 a = bounds[row] + start
                 texts = [raw[i:j].tobytes() for i, j in zip(a.tolist(), (a + b["n"][pick] - 1 + length).tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(row)), part.column("_h").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(signed(b["key"][pick])), pa.array(texts, pa.binary())],
-                    ["doc_id", "_h", "start", "key", "block"],
+                    [part.column("doc_id").take(pa.array(row)), part.column("_h").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array((b["gram"][pick] - start).astype(np.int32)), pa.array(signed(b["key"][pick])), pa.array(texts, pa.binary())],
+                    ["doc_id", "_h", "start", "gram", "key", "block"],
                 )
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, _h long, start int, key long, block binary")
+    return text_rows(docs).mapInArrow(run, "doc_id long, _h long, start int, gram int, key long, block binary")
 
 
 PLACE = "doc_id long, _h long, start int, n int"
@@ -179,26 +180,59 @@ def expanded(blocks: DataFrame, length: int) -> DataFrame:
     return blocks.repartition("key").sortWithinPartitions("key").mapInArrow(run, PLACE)
 
 
-def counted(blocks: DataFrame, length: int) -> DataFrame:
-    """The same places, by counting every string's hash: for keys too large for one task."""
+PART = "doc_id long, _h long, start int, gram int, key long, block binary, a int, b int"
 
+
+def halves(parts: DataFrame, length: int) -> DataFrame:
+    """Each part's strings in two halves by the distance between a string's begin and the gram, ``a`` to ``b``.
+
+    Equal strings have equal distances.  All strings of a half contain the symbols from ``a`` before the
+    gram to ``length - b`` after its begin, which are the half's key."""
+    return parts.mapInArrow(halved(length), PART)
+
+
+def halved(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "block", 1 << 19):
-                raw = part.column("block").to_pylist()
-                ends = np.cumsum([len(b) for b in raw])
-                counts = np.array([len(b) for b in raw]) - length + 1
-                row = np.repeat(np.arange(len(raw)), counts)
-                off = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                g = grams(np.frombuffer(b"".join(raw), np.uint8).astype(U) + U(1), length)
-                at = (ends - [len(b) for b in raw])[row] + off
-                take = pa.array(row)
-                start = part.column("start").to_numpy(zero_copy_only=False)[row] + off
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("doc_id", "_h")), pa.array(start.astype(np.int32)), part.column("key").take(take), pa.array(signed(g[at]))], ["doc_id", "_h", "start", "key", "string"])
-
-    each = blocks.mapInArrow(run, "doc_id long, _h long, start int, key long, string long")
-    twice = each.groupBy("key", "string").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "string")
-    return each.join(twice, ["key", "string"], "left_semi").select("doc_id", "_h", "start", F.lit(1).alias("n"))
+                out = []
+                for r in part.to_pylist():
+                    block, gram, middle = r["block"], r["gram"], (r["a"] + r["b"]) // 2
+                    for a, b in ((r["a"], middle), (middle + 1, r["b"])):
+                        first, last = max(a, gram - (len(block) - length)), min(b, gram)  # distances that the block has
+                        if a <= b and first <= last:
+                            inside = block[gram - a : gram - b + length]
+                            salt = a.to_bytes(8, "little") + b.to_bytes(8, "little")
+                            key = int.from_bytes(hashlib.blake2b(inside, digest_size=8, salt=salt).digest(), "little", signed=True)
+                            out.append((r["doc_id"], r["_h"], r["start"] + gram - last, last, key, block[gram - last : gram - first + length], a, b))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), PART_TYPES)] if out else [pa.array([], k) for k in PART_TYPES], PART_NAMES)
+
+    return run
+
+
+PART_NAMES = ["doc_id", "_h", "start", "gram", "key", "block", "a", "b"]
+PART_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+
+
+def opened(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """Places of repeated strings among the blocks of each key, however many blocks it has.
+
+    A round expands the keys that fit and halves the strings of all others; after eight rounds or
+    so a key that is still too large consists of one string."""
+    parts = texts.withColumns({"a": F.lit(0), "b": F.lit(length - k)})
+    found = []
+    while True:
+        large = parts.groupBy("key").agg(F.sum(F.octet_length("block")).alias("size")).where(F.col("size") > GROUP_BYTES).select("key")
+        large = materialize(large, "suffix-large")
+        if large.isEmpty():
+            found.append(expanded(parts, length))
+            break
+        found.append(expanded(parts.join(large, "key", "left_anti"), length))
+        rest = parts.join(large, "key", "left_semi").select(PART_NAMES)
+        one = rest.where("a = b")  # equal strings; each is its whole block
+        found.append(one.select("doc_id", "_h", "start", F.lit(1).alias("n")))
+        parts = materialize(halves(rest.where("a < b"), length), "suffix-parts")
+    return reduce(DataFrame.unionByName, found)
 
 
 def repeated_places(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
@@ -217,11 +251,8 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> Dat
     reach = [open_.where(f"{s} is not null").groupBy("key", s).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", s) for s in ("left", "right")]
     chosen = open_.join(reach[0], ["key", "left"], "left_semi").select("key", "rid", "n").union(open_.join(reach[1], ["key", "right"], "left_semi").select("key", "rid", "n")).distinct()
     chosen = materialize(chosen, "suffix-chosen")
-    large = chosen.groupBy("key").agg(F.sum(F.col("n") + F.lit(length)).alias("size")).where(F.col("size") > GROUP_BYTES).select("key")
     texts = materialize(block_texts(docs, KeyBitmap(chosen, "rid"), length, k), "suffix-texts")
-    few = expanded(texts.join(large, "key", "left_anti"), length)
-    many = counted(texts.join(large, "key", "left_semi"), length)
-    return places.unionByName(few).unionByName(many)
+    return places.unionByName(opened(texts, length, k))
 
 
 def spans(places: list[dict], length: int) -> list[tuple[int, int]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -148,7 +149,41 @@ def removed_bytes(rows, length):
     return out
 
 
-@pytest.mark.parametrize("group_bytes", [suffix.GROUP_BYTES, 1500])
+def test_halves_keep_every_string_once():
+    """All strings of a block, each in one half; equal strings have equal keys."""
+    import pyarrow as pa
+
+    length, k = 20, 6
+    rng = random.Random(8)
+    strings: dict = {}
+    for r in range(40):
+        gram = rng.randrange(0, length - k + 1)
+        left, right = "".join(rng.choice("ab") for _ in range(gram)), "".join(rng.choice("ab") for _ in range(length - k))
+        block = (left + "GRAMMY" + right[: rng.randrange(length - k - gram, length - k + 1)]).encode()
+        for i in range(len(block) - length + 1):
+            strings[r, i] = block[i : i + length]
+        parts = [(r, 0, 0, gram, 7, block, 0, length - k)]
+        got = {}
+        while parts:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), suffix.PART_TYPES)], suffix.PART_NAMES)
+            out = [row for made in suffix.halved(length)(iter([batch])) for row in made.to_pylist()]
+            parts = []
+            for row in out:
+                assert row["block"][row["gram"] : row["gram"] + 6] == b"GRAMMY"
+                if row["a"] == row["b"]:
+                    assert len(row["block"]) == length and (r, row["start"]) not in got
+                    got[r, row["start"]] = row["key"]
+                else:
+                    parts.append(tuple(row[n] for n in suffix.PART_NAMES))
+        assert set(got) == {key for key in strings if key[0] == r}
+        strings |= {(key, "k"): v for key, v in got.items()}
+    keys = {}
+    for (r, i), text in [x for x in strings.items() if x[0][1] != "k"]:
+        assert keys.setdefault((text.find(b"GRAMMY"), text), strings[(r, i), "k"]) == strings[(r, i), "k"]
+    assert len(set(keys.values())) == len(keys)
+
+
+@pytest.mark.parametrize("group_bytes", [suffix.GROUP_BYTES, 1500, 400])
 def test_suffix_dedup_matches_brute_force(documents, monkeypatch, group_bytes):
     monkeypatch.setattr(suffix, "GROUP_BYTES", group_bytes)
     got = suffix.report(documents).collect()
