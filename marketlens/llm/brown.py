@@ -57,7 +57,7 @@ TYPES = CONTEXT_WORDS + CONTEXT_SHAPES + 1
 #: Classes, then shapes, then the end of a text.
 KINDS = CLASSES + SHAPES + 1
 #: Tokens whose contexts are summed at a time, entries and words of a merged group, and tasks merged in one level.
-TOKENS, ENTRIES, FAN = 2_000_000, 4_000_000, 64
+TOKENS, ENTRIES, FAN = 1_000_000, 4_000_000, 64
 
 
 def shapes(words: Words) -> np.ndarray:
