@@ -136,7 +136,7 @@ def with_faults(strings: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The same rows with the faults that exports have, at rows chosen by the digits of their key."""
     out = dict(strings)
     for table, (key, columns) in FAULTS.items():
-        number = F.regexp_replace(key, "[^0-9]", "").cast("bigint")
+        number = F.regexp_replace(key, "[^0-9]", "").try_cast("bigint")
         changed = {}
         for column, faults in columns.items():
             value = F.col(column)
