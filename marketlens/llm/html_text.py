@@ -49,8 +49,6 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Never text of the page.
 HARD_TAGS = frozenset("aside button dialog footer head menu nav search".split())
-#: Never text unless they wrap the article.
-SITE_TAGS = frozenset("form header".split())
 ARTICLE_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose whole content is skipped, to the end of the page or only if they are closed.
@@ -368,8 +366,8 @@ def word_marks(value: str) -> frozenset[str]:
 
 
 def marks(tag: str, attributes: str) -> tuple[bool, str]:
-    """Of an element: is it hidden, and its mark ("" for none, else marked, site, comment or hint)."""
-    said = "site" if tag in SITE_TAGS else ""
+    """Of an element: is it hidden, and its mark ("" for none, else marked, site, form, comment or hint)."""
+    said = {"form": "form", "header": "site"}.get(tag, "")
     if not attributes or tag in ("body", "html"):
         return False, said
     container = tag != "p" and tag not in HEADINGS and tag not in ("li", "td", "blockquote", "main")
@@ -568,7 +566,7 @@ def features(page: str) -> tuple[list[Block], list[tuple[float, ...]]]:
         for i, e in enumerate(elements):
             at = bisect_right(articles, i)
             wraps = at < len(articles) and articles[at] <= e.last
-            most = not articles and said[i] not in ("comment", "") and 2 * words(e) > upto[n]
+            most = (not articles or said[i] == "form") and said[i] not in ("comment", "") and 2 * words(e) > upto[n]
             if said[i] and not wraps and not most and i not in chosen:
                 out[i] = said[i]
         return out

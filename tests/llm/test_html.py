@@ -25,6 +25,8 @@ PAGES = {
     "widget wrapper without article": (f'{NAV}<div class="widget"><h1>Title</h1>{BODY}</div>{FOOT}', f"Title\n{MAIN}"),
     "page in a form": (f"<form action=/x><div>{NAV}<article>{BODY}</article></div></form>", MAIN),
     "page in a form without article": (f"<form action=/x>{NAV}<div>{BODY}</div></form>", MAIN),
+    "form in the article": (f"<article>{BODY}<form>Your mail <input> <p>Send it now</p></form></article>", MAIN),
+    "page in a form in main": (f"<main><form action=/x>{BODY}</form></main>", MAIN),
     "header holds the article": (f"<header><article>{BODY}</article></header>", MAIN),
     "several articles": (f"<article>{BODY}</article><article><p>{P[0]}</p></article>", f"{MAIN}\n{P[0]}"),
     "article inside main": (f"<main><article><h1>T</h1>{BODY}</article></main>", f"T\n{MAIN}"),
