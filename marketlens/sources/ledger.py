@@ -39,22 +39,33 @@ def strings_of(t: Tables) -> dict[str, DataFrame]:
     return {name: df.select([F.col(f.name).cast("string").alias(f.name) for f in SCHEMAS[name]]) for name, df in t.as_dict().items()}
 
 
+def _tried(strings: DataFrame, table: str) -> DataFrame:
+    """The strings, and for each column that is not text its trimmed string (``__t``) and what that reads as (``__v``).
+
+    Two projections, so that a string is trimmed and tried once however many conditions look at it."""
+    typed = [f for f in SCHEMAS[table] if not isinstance(f.dataType, StringType)]
+    trimmed = strings.withColumns({f"__t_{f.name}": F.coalesce(F.trim(F.col(f.name)), F.lit("")) for f in typed})
+    read = {}
+    for f in typed:
+        t = F.col(f"__t_{f.name}")
+        read[f"__v_{f.name}"] = F.try_to_timestamp(t, F.lit(TIMESTAMP_FORMAT)) if isinstance(f.dataType, TimestampNTZType) else t.try_cast("decimal(38,10)")
+    return trimmed.withColumns(read) if typed else trimmed
+
+
 def _failures(name: str, kind: DataType, width: int | None) -> dict[str, Column]:
-    """By reason, when the field fails; at most one holds."""
-    c = F.trim(F.col(name))
+    """By reason, when a tried field fails (NULL: it does not); at most one holds."""
     if isinstance(kind, StringType):
         return {"too_wide": F.length(name) > width} if width else {}
-    blank = F.col(name).isNull() | (c == "")
+    value, blank = F.col(f"__v_{name}"), F.col(f"__t_{name}") == ""
     if isinstance(kind, TimestampNTZType):
-        return {"blank": blank, "bad_date": ~blank & F.try_to_timestamp(c, F.lit(TIMESTAMP_FORMAT)).isNull()}
-    number = c.try_cast("decimal(38,10)")
-    out = {"blank": blank, "not_a_number": ~blank & number.isNull()}
+        return {"blank": blank, "bad_date": ~blank & value.isNull()}
+    out = {"blank": blank, "not_a_number": ~blank & value.isNull()}
     if isinstance(kind, IntegerType):
-        out["not_whole"] = number != F.floor(number)
-        out["out_of_range"] = (number == F.floor(number)) & ((number < -(1 << 31)) | (number > (1 << 31) - 1))
+        out["not_whole"] = value != F.floor(value)
+        out["out_of_range"] = (value == F.floor(value)) & ~value.between(-(1 << 31), (1 << 31) - 1)
     elif isinstance(kind, DecimalType):
         limit = F.lit("1" + "0" * (kind.precision - kind.scale)).cast("decimal(38,10)")
-        out["out_of_range"] = F.round(F.abs(number), kind.scale) >= limit
+        out["out_of_range"] = F.round(F.abs(value), kind.scale) >= limit
     return out
 
 
@@ -64,12 +75,11 @@ def bits(table: str) -> list[tuple[str, str]]:
     return [(f.name, reason) for f in SCHEMAS[table] for reason in _failures(f.name, f.dataType, widths.get(f.name))]
 
 
-def mask(table: str) -> Column:
-    """The bitmask of a row of strings: which fields fail, and why."""
+def _mask(table: str) -> Column:
+    """The bitmask of a row of tried strings: which fields fail, and why."""
     widths = VARCHAR_WIDTHS.get(table, {})
     failing = [c for f in SCHEMAS[table] for c in _failures(f.name, f.dataType, widths.get(f.name)).values()]
-    parts = [F.when(F.coalesce(c, F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(failing)]
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+    return reduce(lambda a, b: a + b, [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(failing)])
 
 
 def coerce(strings: DataFrame, table: str, as_server: bool = False) -> DataFrame:
@@ -80,15 +90,17 @@ def coerce(strings: DataFrame, table: str, as_server: bool = False) -> DataFrame
     widths = VARCHAR_WIDTHS.get(table, {})
     out = []
     for f in SCHEMAS[table]:
-        c, raw, kind = F.trim(F.col(f.name)), F.col(f.name), f.dataType
+        raw, value, kind = F.col(f.name), F.col(f"__v_{f.name}"), f.dataType
         failing = _failures(f.name, kind, widths.get(f.name))
         fails = F.coalesce(reduce(lambda a, b: a | b, failing.values()), F.lit(False)) if failing else F.lit(False)
         if isinstance(kind, StringType):
             out.append((F.substring(raw, 1, widths[f.name]) if as_server else F.when(~fails, raw)) if f.name in widths else raw)
         elif isinstance(kind, TimestampNTZType):
-            out.append(F.try_to_timestamp(c, F.lit(TIMESTAMP_FORMAT)).cast(kind))
+            out.append(value.cast(kind))
+        elif not as_server:
+            out.append(F.when(~fails, value.try_cast(kind)))
         else:
-            number = F.coalesce(c.try_cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)"))
+            number = F.coalesce(value, F.lit(0).cast("decimal(38,10)"))
             if isinstance(kind, IntegerType):
                 top = F.lit((1 << 31) - 1).cast("decimal(38,10)")
                 least = F.lit(-(1 << 31)).cast("decimal(38,10)")
@@ -96,9 +108,8 @@ def coerce(strings: DataFrame, table: str, as_server: bool = False) -> DataFrame
                 top = F.lit("9" * (kind.precision - kind.scale) + "." + "9" * kind.scale).cast("decimal(38,10)")
                 least = -top
             whole = F.round(number, getattr(kind, "scale", 0))
-            value = F.least(F.greatest(whole, least), top).try_cast(kind)
-            out.append(value if as_server else F.when(~fails, c.try_cast(kind)))
-    return strings.select(*(v.alias(f.name) for v, f in zip(out, SCHEMAS[table])), mask(table).alias(MASK))
+            out.append(F.least(F.greatest(whole, least), top).try_cast(kind))
+    return _tried(strings, table).select(*(v.alias(f.name) for v, f in zip(out, SCHEMAS[table])), _mask(table).alias(MASK))
 
 
 def coercion_counts(strings: dict[str, DataFrame]) -> DataFrame:
@@ -107,7 +118,7 @@ def coercion_counts(strings: dict[str, DataFrame]) -> DataFrame:
     One scan and one small aggregate of masks a table; reasons that never occur are not listed."""
     frames = []
     for table, df in strings.items():
-        masks = df.select(mask(table).alias("m")).where("m <> 0").groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+        masks = _tried(df, table).select(_mask(table).alias("m")).where("m <> 0").groupBy("m").agg(F.count(F.lit(1)).alias("n"))
         opened = F.array(*(F.when(F.col("m").bitwiseAND(F.lit(1 << i)) != 0, F.struct(F.lit(c).alias("column_name"), F.lit(w).alias("reason"))) for i, (c, w) in enumerate(bits(table))))
         each = masks.select(F.lit(table).alias("table_name"), F.explode(opened).alias("b"), "n").where("b is not null")
         frames.append(each.select("table_name", "b.*", "n"))
