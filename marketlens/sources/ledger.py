@@ -39,17 +39,38 @@ def strings_of(t: Tables) -> dict[str, DataFrame]:
     return {name: df.select([F.col(f.name).cast("string").alias(f.name) for f in SCHEMAS[name]]) for name, df in t.as_dict().items()}
 
 
-def _tried(strings: DataFrame, table: str) -> DataFrame:
-    """The strings, and for each column that is not text its trimmed string (``__t``) and what that reads as (``__v``).
+#: How dates are written that a cast reads as the format does (all others take the slower format).
+PLAIN_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"
 
-    Two projections, so that a string is trimmed and tried once however many conditions look at it."""
+
+def _plain(kind: DataType) -> str:
+    """Trimmed strings in a plain form: of a number, one that any column of the type takes as it is."""
+    if isinstance(kind, TimestampNTZType):
+        return PLAIN_TIME
+    if isinstance(kind, IntegerType):
+        return r"^-?[0-9]{1,9}\z"
+    return rf"^-?[0-9]{{1,{kind.precision - kind.scale - 1}}}([.][0-9]{{1,10}})?\z"
+
+
+def _tried(strings: DataFrame, table: str, values: bool = True) -> DataFrame:
+    """The strings, and for each column that is not text its trimmed string (``__t``), whether that is
+    plain (``__p``) and what it reads as (``__v``; without ``values``, numbers in a plain form are not read).
+
+    Projections of their own, so that a string is trimmed and tried once however many conditions look at it."""
     typed = [f for f in SCHEMAS[table] if not isinstance(f.dataType, StringType)]
+    if not typed:
+        return strings
     trimmed = strings.withColumns({f"__t_{f.name}": F.coalesce(F.trim(F.col(f.name)), F.lit("")) for f in typed})
+    formed = trimmed.withColumns({f"__p_{f.name}": F.col(f"__t_{f.name}").rlike(_plain(f.dataType)) for f in typed})
     read = {}
     for f in typed:
-        t = F.col(f"__t_{f.name}")
-        read[f"__v_{f.name}"] = F.try_to_timestamp(t, F.lit(TIMESTAMP_FORMAT)) if isinstance(f.dataType, TimestampNTZType) else t.try_cast("decimal(38,10)")
-    return trimmed.withColumns(read) if typed else trimmed
+        t, plain = F.col(f"__t_{f.name}"), F.col(f"__p_{f.name}")
+        if isinstance(f.dataType, TimestampNTZType):
+            value = F.when(plain, t.try_cast("timestamp")).when(t != "", F.try_to_timestamp(t, F.lit(TIMESTAMP_FORMAT)))
+        else:
+            value = F.when((t != "") if values else ~plain & (t != ""), t.try_cast("decimal(38,10)"))
+        read[f"__v_{f.name}"] = value
+    return formed.withColumns(read)
 
 
 def _failures(name: str, kind: DataType, width: int | None) -> dict[str, Column]:
@@ -78,8 +99,15 @@ def bits(table: str) -> list[tuple[str, str]]:
 def _mask(table: str) -> Column:
     """The bitmask of a row of tried strings: which fields fail, and why."""
     widths = VARCHAR_WIDTHS.get(table, {})
-    failing = [c for f in SCHEMAS[table] for c in _failures(f.name, f.dataType, widths.get(f.name)).values()]
-    return reduce(lambda a, b: a + b, [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(failing)])
+    fields, bit = [], 0
+    for f in SCHEMAS[table]:
+        passes = F.col(f"__p_{f.name}") if isinstance(f.dataType, IntegerType | DecimalType) else F.lit(False)
+        failing = F.when(passes, F.lit(0).cast("bigint"))
+        for c in _failures(f.name, f.dataType, widths.get(f.name)).values():
+            failing = failing.when(c, F.lit(1 << bit).cast("bigint"))
+            bit += 1
+        fields.append(failing.otherwise(F.lit(0).cast("bigint")))
+    return reduce(lambda a, b: a + b, fields)
 
 
 def coerce(strings: DataFrame, table: str, as_server: bool = False) -> DataFrame:
@@ -115,10 +143,11 @@ def coerce(strings: DataFrame, table: str, as_server: bool = False) -> DataFrame
 def coercion_counts(strings: dict[str, DataFrame]) -> DataFrame:
     """table_name, column_name, reason, rows: how many fields of each column fail for each reason.
 
-    One scan and one small aggregate of masks a table; reasons that never occur are not listed."""
+    One scan and one small aggregate of masks a table; reasons that never occur are not listed.  Rows
+    without failures stay until their mask is opened: a filter on the mask would try every field twice."""
     frames = []
     for table, df in strings.items():
-        masks = _tried(df, table).select(_mask(table).alias("m")).where("m <> 0").groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+        masks = _tried(df, table, values=False).select(_mask(table).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
         opened = F.array(*(F.when(F.col("m").bitwiseAND(F.lit(1 << i)) != 0, F.struct(F.lit(c).alias("column_name"), F.lit(w).alias("reason"))) for i, (c, w) in enumerate(bits(table))))
         each = masks.select(F.lit(table).alias("table_name"), F.explode(opened).alias("b"), "n").where("b is not null")
         frames.append(each.select("table_name", "b.*", "n"))
@@ -147,14 +176,15 @@ def with_faults(strings: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The same rows with the faults that exports have, at rows chosen by the digits of their key."""
     out = dict(strings)
     for table, (key, columns) in FAULTS.items():
-        number = F.regexp_replace(key, "[^0-9]", "").try_cast("bigint")
+        digits, number = F.regexp_replace(key, "[^0-9]", "").try_cast("bigint"), F.col("__number")
         changed = {}
         for column, faults in columns.items():
             value = F.col(column)
             for every, text in reversed(faults):
                 value = F.when(number % every == 0, F.lit(text)).otherwise(value)
             changed[column] = value
-        out[table] = out[table].withColumns(changed)
+        # The number in a projection of its own: one replacement a row, however many faults look at it.
+        out[table] = out[table].withColumn("__number", digits).withColumns(changed).drop("__number")
     return out
 
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql import functions as F
 
 from marketlens.operators import quality
+from marketlens.sources import ledger
 from marketlens.sources.tables import from_rows
 
 
@@ -20,8 +24,6 @@ def _order(number: int | None, status: str = "delivered", customer: str | None =
 
 
 def _item(order: int | None, seller: str | None, price: str | None = "10.00", product: str | None = "p1") -> tuple:
-    from decimal import Decimal
-
     return (None if order is None else f"o{order}", 1, product, seller, DAY, None if price is None else Decimal(price), None)
 
 
@@ -52,3 +54,31 @@ def test_orphans_are_counted_without_a_join(spark):
         ("orders", "order_status", "length <= 20"): 1,
         ("order_items", "product_id", "length <= 50"): 1,
     }
+
+
+ODD_TIMES = ["1998-02-28 02:30:00", "1998-02-30 00:00:00", "0000-00-00 00:00:00", "0000-01-01 00:00:00", "1998-1-2 00:00:00", "1998-01-01", "1998-01-01T00:00:00",
+             "1998-01-01 24:00:00", "1998-01-01 00:00:60", "1998-01-01 00:00:1Z", "+12345-01-01 00:00:00", "1998-01-01 00:00:00\n", "1998-01-01 00:00:00.5", "", "  ", "yesterday", None]
+ODD_NUMBERS = ["1", "-1", "007", "999999999", "2147483647", "2147483648", "-2147483648", "-2147483649", "1.0", "1.5", "+3", "1e3", "99999999.99", "99999999.995", "9999999.9999999999", "100000000",
+               "-99999999.995", ".5", "5.", "1,5", "", " ", " 7 ", "n/a", "٣", "1" * 30, "1" * 40, None]
+
+
+def test_ledger_tries_each_field_once(spark):
+    """A filter on the mask was pushed to the strings, so that every field was tried twice."""
+    strings = {"orders": spark.createDataFrame([("o", "c", "s", x, x, x, x, x) for x in ODD_TIMES], "order_id string, customer_id string, order_status string, order_purchase_timestamp string, order_approved_at string, order_delivered_carrier_date string, order_delivered_customer_date string, order_estimated_delivery_date string")}
+    counts = ledger.coercion_counts(strings)
+    assert _plan(counts).count("Filter") == 1  # of bits that are not set
+    t = F.coalesce(F.trim("order_purchase_timestamp"), F.lit(""))
+    bad = strings["orders"].where(t != "").where(F.try_to_timestamp(t, F.lit(ledger.TIMESTAMP_FORMAT)).isNull()).count()
+    assert {(x.column_name, x.reason): x.rows for x in counts.collect()} == {(c, reason): n for c in strings["orders"].columns[3:] for reason, n in (("blank", 3), ("bad_date", bad))}
+
+
+def test_plain_numbers_count_as_all_numbers_do(spark):
+    columns = "order_id string, payment_sequential string, payment_type string, payment_installments string, payment_value string"
+    strings = spark.createDataFrame([("o", x, "voucher", "1", x) for x in ODD_NUMBERS], columns)
+    got = {(x.column_name, x.reason): x.rows for x in ledger.coercion_counts({"payments": strings}).collect()}
+    masks = [x[0] for x in ledger.coerce(strings, "payments").select(ledger.MASK).collect()]
+    assert got == {b: n for i, b in enumerate(ledger.bits("payments")) if (n := sum(m >> i & 1 for m in masks))}
+    assert got["payment_sequential", "blank"] == 3 and got["payment_value", "not_a_number"] == got["payment_sequential", "not_a_number"]
+    assert got["payment_sequential", "not_whole"] == 6 and got["payment_value", "out_of_range"] == 8
+    read = {x: (a, b) for x, a, b in zip(ODD_NUMBERS, *zip(*ledger.coerce(strings, "payments").select("payment_sequential", "payment_value").collect()))}
+    assert read["007"] == (7, Decimal("7.00")) and read["2147483648"] == (None, None) and read["9999999.9999999999"] == (None, Decimal("10000000.00"))
