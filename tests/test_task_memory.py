@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from marketlens.operators import quality
+from marketlens.operators import quality, report, sellers
 from marketlens.sources import ledger
 from marketlens.sources.tables import from_rows
 
@@ -82,3 +82,34 @@ def test_plain_numbers_count_as_all_numbers_do(spark):
     assert got["payment_sequential", "not_whole"] == 6 and got["payment_value", "out_of_range"] == 8
     read = {x: (a, b) for x, a, b in zip(ODD_NUMBERS, *zip(*ledger.coerce(strings, "payments").select("payment_sequential", "payment_value").collect()))}
     assert read["007"] == (7, Decimal("7.00")) and read["2147483648"] == (None, None) and read["9999999.9999999999"] == (None, Decimal("10000000.00"))
+
+
+def _odd_orders(spark):
+    """Orders, items and reviews that come twice, without a key, or without each other; sellers without an id."""
+    return from_rows(
+        spark,
+        orders=[_order(1), _order(1), _order(1, "canceled"), _order(2, "canceled"), _order(3), _order(None), _order(4, None)],
+        order_items=[_item(1, "A"), _item(1, "A", "5.00", "p2"), _item(1, "B"), _item(2, "A"), _item(2, "A"), _item(3, None), _item(3, "A", None), _item(4, None, "2.00", None), _item(9, "A"), _item(None, "A")],
+        reviews=[("r1", "o1", 5, None, None, None, None), ("r1", "o1", 2, None, None, None, None), ("r2", "o2", None, None, None, None, None), ("r3", None, 1, None, None, None, None)],
+        products=[("p1", "x", *[None] * 7), ("p1", "x", *[None] * 7), ("p1", "y", *[None] * 7), ("p2", None, *[None] * 7), (None, "z", *[None] * 7)],
+        sellers=[("A", "Z", "city", "S"), ("B", "Z", "city", "S"), ("B", "Z", "town", "S"), (None, "Z", "x", "S")],
+    )
+
+
+def test_orders_of_a_seller_are_counted_without_a_table_of_pairs(spark):
+    t = _odd_orders(spark)
+    jobs = [sellers.seller_classification_by_order(t, min_orders=1), sellers.seller_classification(t, min_orders=1), sellers.seller_category_benchmark(t, min_orders=1), sellers.seller_sums(t), report.kpi_dashboard(t)]
+    for job in jobs:
+        assert "keys=[seller_id, order_id" not in (plan := _plan(job).replace("#", " #")).replace(" #", "#").translate({ord(c): None for c in "0123456789#L"}), plan
+
+
+def test_orders_of_a_seller_are_different_orders(spark):
+    t = _odd_orders(spark)
+    rows = t.order_items.join(t.orders, "order_id").join(t.products, "product_id", "left")
+    want = {tuple(x) for x in rows.groupBy("seller_id").agg(F.countDistinct("order_id")).collect()}
+    assert {(x.seller_id, x.total_orders) for x in sellers.seller_sums(t).collect()} == want == {("A", 3), ("B", 1), (None, 2)}
+    by_category = rows.join(t.products.select("product_id").distinct(), "product_id").where("seller_id is not null").groupBy("seller_id", "product_category_name").agg(F.countDistinct("order_id"))
+    got = {(x.seller_id, x.product_category_name, x.total_orders) for x in sellers.seller_category_benchmark(t, min_orders=1, k=None).collect()}
+    assert got == {tuple(x) for x in by_category.collect()} == {("A", "x", 3), ("A", "y", 3), ("A", None, 1), ("B", "x", 1), ("B", "y", 1)}
+    base = {x.seller_id: x for x in sellers.seller_base_by_order(t, min_orders=1).collect()}
+    assert (base["A"].total_revenue, base["A"].avg_review_score, base["A"].cancellation_rate) == (65.0, 3.5, 133.33)
