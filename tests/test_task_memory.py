@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from marketlens.operators import quality, report, sellers
+from marketlens.operators import quality, report, sellers, summary
 from marketlens.sources import ledger
 from marketlens.sources.tables import from_rows
 
@@ -113,3 +113,13 @@ def test_orders_of_a_seller_are_different_orders(spark):
     assert got == {tuple(x) for x in by_category.collect()} == {("A", "x", 3), ("A", "y", 3), ("A", None, 1), ("B", "x", 1), ("B", "y", 1)}
     base = {x.seller_id: x for x in sellers.seller_base_by_order(t, min_orders=1).collect()}
     assert (base["A"].total_revenue, base["A"].avg_review_score, base["A"].cancellation_rate) == (65.0, 3.5, 133.33)
+
+
+def test_order_groups_of_the_summary_are_hashed(spark):
+    late = lambda number, days: (f"o{number}", "c1", "delivered", DAY, None, None, DAY + dt.timedelta(days=days), DAY)
+    t = from_rows(spark, orders=[late(1, 3), late(2, 40), late(3, -2), _order(4)])
+    groups = summary._order_groups(t, summary.DEFAULT_RULES)
+    assert "SortAggregate" not in _plan(groups)
+    worst = {(x.a, x.b): tuple(x.worst) for x in groups.where("kind = 'status'").collect()}
+    assert worst["delivered", "1"] == (-2, dt.date(1997, 12, 30)) and worst["delivered", "4"] == (40, dt.date(1998, 2, 10))
+    assert worst["delivered", None] == (None, None)
