@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -123,3 +124,21 @@ def test_order_groups_of_the_summary_are_hashed(spark):
     worst = {(x.a, x.b): tuple(x.worst) for x in groups.where("kind = 'status'").collect()}
     assert worst["delivered", "1"] == (-2, dt.date(1997, 12, 30)) and worst["delivered", "4"] == (40, dt.date(1998, 2, 10))
     assert worst["delivered", None] == (None, None)
+
+
+def _payment(order: str | None, kind: str | None, instalments: int | None = 1) -> tuple:
+    return (order, 1, kind, instalments, Decimal("5.00"))
+
+
+def test_paying_orders_are_counted_without_copies_of_the_payments(spark):
+    """Two distinct counts expanded every payment to three rows of a hash table."""
+    rows = [_payment("o1", "credit_card", 3), _payment("o1", "credit_card", None), _payment("o1", "voucher", 7), _payment("o2", "voucher"), _payment("o2", None), _payment("o3", "credit_card", 2),
+            _payment("o3", "credit_card", 2), _payment(None, "credit_card", 4), _payment(None, "voucher")]
+    t = from_rows(spark, payments=rows)
+    sums = summary._payment_sums(t, summary.DEFAULT_RULES)
+    assert [f.dataType.simpleString() for f in sums.schema] == ["bigint"] * 5
+    assert [x.asDict() for x in sums.collect()] == [{"credit_orders": 2, "paid_orders": 3, "instalment_sum": 11, "instalment_cnt": 4, "credit_rows": 5}]
+    none = summary._payment_sums(from_rows(spark), summary.DEFAULT_RULES)
+    assert [tuple(x) for x in none.collect()] == [(0, 0, None, 0, 0)]
+    for job in (report.dashboard_cards(t), report.recommendations(t), report.kpi_dashboard(t)):
+        assert not re.search(r"Expand \[.*payment_type", _plan(job)) and not re.search(r"keys=\[seller_id#\d+L?, order_id", _plan(job))
