@@ -8,7 +8,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from marketlens.operators import quality, report, sellers, summary
+from marketlens.operators import payments, quality, report, sellers, summary
+from marketlens.operators.common import review_stats
 from marketlens.sources import ledger
 from marketlens.sources.tables import from_rows
 
@@ -142,3 +143,20 @@ def test_paying_orders_are_counted_without_copies_of_the_payments(spark):
     assert [tuple(x) for x in none.collect()] == [(0, 0, None, 0, 0)]
     for job in (report.dashboard_cards(t), report.recommendations(t), report.kpi_dashboard(t)):
         assert not re.search(r"Expand \[.*payment_type", _plan(job)) and not re.search(r"keys=\[seller_id#\d+L?, order_id", _plan(job))
+
+
+def test_reviews_are_summed_by_order_without_a_hash_table_of_orders(spark):
+    """Nearly every review is its order's only one, so both steps of the aggregation held them all."""
+    review = lambda order, score: ("r", order, score, None, None, None, None)
+    rows = [review("o1", 5), review("o1", 5), review("o1", None), review("o1", 2), review("o2", None), review("o2", None), review("o3", 4), review(None, 1), review(None, None)]
+    reviews = from_rows(spark, reviews=rows).reviews
+    stats = review_stats(reviews)
+    assert "Aggregate" not in _plan(stats)
+    assert [(f.name, f.dataType.simpleString()) for f in stats.schema] == [("order_id", "string"), ("rv_rows", "bigint"), ("rv_sum", "bigint"), ("rv_cnt", "bigint")]
+    want = reviews.groupBy("order_id").agg(F.count(F.lit(1)), F.sum("review_score"), F.count("review_score"))
+    got = sorted(map(tuple, stats.collect()), key=str)
+    assert got == sorted(map(tuple, want.collect()), key=str) == [("o1", 4, 12, 3), ("o2", 2, None, 0), ("o3", 1, 4, 1), (None, 2, 1, 1)]
+    assert review_stats(reviews.limit(0)).collect() == []
+    t = _odd_orders(spark)
+    for job in (sellers.seller_classification(t), sellers.seller_classification_by_order(t), sellers.seller_classification_summary(t), sellers.seller_category_benchmark(t), payments.payment_risk_tiers(t)):
+        assert not re.search(r"keys=\[order_id#\d+\]", _plan(job)), _plan(job)
